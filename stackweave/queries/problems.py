@@ -60,18 +60,18 @@ cur as (select bug_id, dup_id from (
 edge as (select bug_id, dup_id from cur where dup_id in (select bug_id from cur))"""
 _TREE = f"""with recursive {_CURRENT},
 walk as (
-  select bug_id, dup_id as at, [bug_id] as path, dup_id = bug_id as ring from edge
+  select bug_id, dup_id as top, [bug_id] as path, dup_id = bug_id as ring from edge
   union all
-  select w.bug_id, e.dup_id, list_prepend(w.at, w.path), e.dup_id = w.at or list_contains(w.path, e.dup_id)
-  from walk w join edge e on e.bug_id = w.at where not w.ring)"""
+  select w.bug_id, e.dup_id, list_prepend(w.top, w.path), e.dup_id = w.top or list_contains(w.path, e.dup_id)
+  from walk w join edge e on e.bug_id = w.top where not w.ring)"""
 SQL = {
     "p5_found": f"""{_TREE}
-select bug_id, case when ring then list_min(path[1 : list_position(path, at)]) else at end as root_id,
+select bug_id, case when ring then list_min(path[1 : list_position(path, top)]) else top end as root_id,
   (case when ring then -1 else len(path) end)::int as node_depth,
-  case when ring then '' else array_to_string(list_prepend(at, path), '/') end as node_path
-from walk w where ring or at not in (select bug_id from edge)""",
+  case when ring then '' else array_to_string(list_prepend(top, path), '/') end as node_path
+from walk w where ring or top not in (select bug_id from edge)""",
     "p5_descendants": f"""{_TREE},
-tree as (select bug_id, list_prepend(at, path) as path from walk where not ring and at not in (select bug_id from edge))
+tree as (select bug_id, list_prepend(top, path) as path from walk where not ring and top not in (select bug_id from edge))
 select path[i] as ancestor_id, bug_id, (len(path) - i)::int as distance
 from tree, unnest(range(1, len(path))) as t(i)""",
 }
