@@ -11,7 +11,7 @@ from ..operators.hierarchy import current_links, hierarchy
 from ..operators.timestamps import normalize_timestamps
 from ..session import materialize
 from ..tables import table
-from . import distinct, ngrams, runs, survivors
+from . import distinct, leakage, ngrams, runs, stuffing, survivors, tokenizer
 from .sql import SQL  # noqa: F401
 
 
@@ -116,7 +116,29 @@ def p6_votes(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.pivot_back(won, "root_id", _P6_FIELDS)
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"), "doc_id", "item_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where(F.col("longest_run") >= leakage.PASSAGE).select("doc_id", "item_id")
+
+
+def p9_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of the best local alignment of each document with each item whose seed it holds."""
+    return _leaks(spark, folder).select("doc_id", "item_id", "score", "longest_run")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = stuffing.find_stuffed(table(spark, folder, "documents"), "doc_id", "text")
+    return found.where(F.col("stuffed_words") * 2 > F.col("words")).select("doc_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_llr, p3_found, p3_counts, p3_ngrams, p4_found, p4_runs, p6_found, p6_votes)
+    for f in (p2_found, p2_llr, p3_found, p3_counts, p3_ngrams, p4_found, p4_runs, p6_found, p6_votes, p8_ids, p9_found, p9_alignments, p10_found)
 }
