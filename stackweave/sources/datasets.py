@@ -27,4 +27,4 @@ def dataset_lines(queries: DataFrame) -> DataFrame:
 def write_datasets(queries: DataFrame, path: str) -> None:
     """One text file a dataset, under a folder for its chunk."""
     text = F.concat_ws("\n", F.col("chunk").cast("string"), "ids", "duplicates")
-    dataset_lines(queries).select(F.col("chunk").alias("name"), text.alias("value")).repartition("name").write.partitionBy("name").option("lineSep", "\x00").mode("errorifexists").text(path)
+    dataset_lines(queries).select(F.col("chunk").alias("name"), text.alias("value")).repartition("name").write.partitionBy("name").mode("errorifexists").text(path)

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from ..schema import REPORT, STACK
 
 
+def _as_struct(columns: str) -> str:
+    return ", ".join(c.strip().replace(" ", ":", 1) for c in columns.split(","))
+
+
 def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Reports of one JSON array, or of JSON lines, which unlike an array can be read by many tasks.
 
     Null rows are dropped; an empty list as ``dup_id`` is null; a bare stack is a list of one.
     """
-    raw = spark.read.schema(REPORT).json(path, multiLine=not lines).where("bug_id is not null")
+    if lines:
+        raw = spark.read.schema(REPORT).json(path)
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<{_as_struct(REPORT)}>>")).alias("r"))
+        raw = whole.select("r.*")
+    raw = raw.where("bug_id is not null")
     text = F.when(F.col("stacktrace").startswith("["), F.col("stacktrace")).otherwise(F.concat(F.lit("["), "stacktrace", F.lit("]")))
     return raw.withColumn("dup_id", F.col("dup_id").try_cast("long")).withColumn("stacktrace", F.from_json(text, f"array<{STACK}>"))
 
