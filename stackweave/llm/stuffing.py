@@ -140,7 +140,7 @@ def stuffed(score: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The two-state path of least cost: True where the text is stuffed."""
     n = len(score)
     change = np.where(begins, SWITCH_LINE, SWITCH).tolist()
-    plain, full = 0.0, 0.0
+    plain, full = 0.0, -SWITCH_LINE
     from_full = [False] * n
     from_plain = [False] * n
     for i, s in enumerate(score.tolist()):
