@@ -1,8 +1,8 @@
 """Sequence similarity kernels.
 
 Dynamic programmes run over many pairs at a time: the pairs of an Arrow batch are sorted into groups of like
-lengths, padded, and each cell of the programme is one numpy operation over the whole group. A UDF gets two
-arrays of tokens and, where the kernel weighs tokens, two arrays of their document frequencies in percent.
+lengths, padded, and each cell of the programme is one numpy operation over the whole group. A kernel's function gets two
+arrays of tokens (texts or numbers) and, where it weighs tokens, two arrays of their document frequencies in percent.
 Empty or null stacks give null, which callers replace by the score of missing pairs.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +48,10 @@ class Weighted:
 
 
 def frame_weights(df: np.ndarray, length: np.ndarray, p: Weighted) -> np.ndarray:
-    """Local times global weight of padded frames: df in percent, one row a stack."""
-    pos = np.arange(df.shape[1], dtype=np.float64)[None, :]
+    """Local times global weight of padded frames: df in percent, one column a stack."""
+    pos = np.arange(df.shape[0], dtype=np.float64)[:, None]
     if p.linear:
-        return (1 - pos / length[:, None]) * (1 - df / 100)
+        return (1 - pos / length[None, :]) * (1 - df / 100)
     local = 1 / (pos + 1) ** p.pos_coef if p.reciprocal else np.exp(-p.pos_coef * pos)
     x = np.log(100 / np.where(df == 0, 100, df)) if p.idf else df
     if p.sigmoid:
@@ -62,46 +62,46 @@ def frame_weights(df: np.ndarray, length: np.ndarray, p: Weighted) -> np.ndarray
     return local * shared
 
 
-def _common_mass(q: np.ndarray, c: np.ndarray, wq: np.ndarray, wc: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _common_mass(g: "Group", wq: np.ndarray, wc: np.ndarray) -> np.ndarray:
     """Sum over tokens of the larger of both stacks' summed weights."""
-    rows = len(q)
-    inside_q = np.arange(q.shape[1])[None, :] < m[:, None]
-    inside_c = np.arange(c.shape[1])[None, :] < n[:, None]
-    pair = np.concatenate([np.broadcast_to(np.arange(rows)[:, None], q.shape)[inside_q], np.broadcast_to(np.arange(rows)[:, None], c.shape)[inside_c]])
-    tok = np.concatenate([q[inside_q], c[inside_c]])
-    a = np.concatenate([wq[inside_q], np.zeros(inside_c.sum())])
-    b = np.concatenate([np.zeros(inside_q.sum()), wc[inside_c]])
-    key = pair.astype(np.int64) * (int(tok.max(initial=0)) + 1) + tok
+    size = g.size
+    inside_q, inside_c = np.arange(len(g.q))[:, None] < g.m, np.arange(len(g.c))[:, None] < g.n
+    tokens = int(max(g.q.max(initial=0), g.c.max(initial=0))) + 1
+    pair = np.arange(size, dtype=np.int64) * tokens
+    key = np.concatenate([(g.q + pair)[inside_q], (g.c + pair)[inside_c]])
+    a = np.concatenate([wq[inside_q], np.zeros(int(inside_c.sum()))])
+    b = np.concatenate([np.zeros(int(inside_q.sum())), wc[inside_c]])
     unique, where = np.unique(key, return_inverse=True)
-    sa, sb = np.bincount(where, a), np.bincount(where, b)
-    return np.bincount(unique // (int(tok.max(initial=0)) + 1), np.maximum(sa, sb), rows)
+    return np.bincount(unique // tokens, np.maximum(np.bincount(where, a), np.bincount(where, b)), size)
 
 
 class Group:
-    """Padded pairs of like lengths."""
+    """Padded pairs of like lengths; frames go down the first axis, pairs along the second."""
 
-    def __init__(self, q: np.ndarray, c: np.ndarray, m: np.ndarray, n: np.ndarray, dq: np.ndarray | None, dc: np.ndarray | None, fq: np.ndarray | None = None, fc: np.ndarray | None = None) -> None:
+    def __init__(self, q: np.ndarray, c: np.ndarray, m: np.ndarray, n: np.ndarray, dq: np.ndarray | None = None, dc: np.ndarray | None = None, fq: np.ndarray | None = None, fc: np.ndarray | None = None) -> None:
         self.q, self.c, self.m, self.n, self.dq, self.dc, self.fq, self.fc = q, c, m, n, dq, dc, fq, fc
+        self.size = len(m)
+
+    def ramp(self, side: np.ndarray, step: float) -> np.ndarray:
+        """A border of the programme that grows by ``step``."""
+        return np.broadcast_to(step * np.arange(len(side) + 1.0)[:, None], (len(side) + 1, self.size))
 
     def run(self, first_row: np.ndarray, first_column: np.ndarray, cell: Callable, keep_two: bool = False) -> np.ndarray:
-        """Value at (m, n) of the programme whose inner cells are ``cell(i, j, up, left, diagonal, above)``.
+        """Value at (m, n) of the programme whose inner cells are ``cell(i, j, up, left, diagonal, crossed)``.
 
-        ``first_row`` is (pairs, columns + 1), ``first_column`` (pairs, rows + 1); i and j count from 0.
+        ``first_row`` is (columns + 1, pairs), ``first_column`` (rows + 1, pairs); i and j count from 0.
         """
-        rows, width = len(self.q), self.c.shape[1]
-        out = np.zeros(rows)
+        out, at = np.zeros(self.size), np.arange(self.size)
         before: np.ndarray | None = None
         above = first_row
-        at = np.arange(rows)
-        done = self.m == 0
-        out[done] = above[at[done], self.n[done]]
-        for i in range(self.q.shape[1]):
-            row = np.empty_like(above)
-            row[:, 0] = first_column[:, i + 1]
-            for j in range(width):
-                row[:, j + 1] = cell(i, j, above[:, j + 1], row[:, j], above[:, j], before[:, j - 1] if keep_two and before is not None and j > 0 else None)
+        for i in range(len(self.q)):
+            row = np.empty((len(self.c) + 1, self.size))
+            row[0] = first_column[i + 1]
+            for j in range(len(self.c)):
+                row[j + 1] = cell(i, j, above[j + 1], row[j], above[j], before[j - 1] if keep_two and before is not None and j > 0 else None)
             done = self.m == i + 1
-            out[done] = row[at[done], self.n[done]]
+            if done.any():
+                out[done] = row[self.n[done], at[done]]
             before, above = above, row
         return out
 
@@ -109,191 +109,214 @@ class Group:
 def weighted_alignment(g: Group, p: Weighted) -> np.ndarray:
     """Global alignment with weighted frames, divided by the stacks' common mass."""
     wq, wc = frame_weights(g.dq, g.m, p), frame_weights(g.dc, g.n, p)
-    rows = len(g.q)
-    zero = np.zeros((rows, 1))
-    first_row = np.concatenate([zero, -p.gap * np.cumsum(wc, 1)], 1)
-    first_column = np.concatenate([zero, -p.gap * np.cumsum(wq, 1)], 1)
+    zero = np.zeros((1, g.size))
+    first_row = np.concatenate([zero, -p.gap * np.cumsum(wc, 0)])
+    first_column = np.concatenate([zero, -p.gap * np.cumsum(wq, 0)])
 
     def cell(i: int, j: int, up: np.ndarray, left: np.ndarray, diagonal: np.ndarray, _: object) -> np.ndarray:
-        a, b = wq[:, i], wc[:, j]
+        a, b = wq[i], wc[j]
         high = np.maximum(a, b)
         hit = p.match * (1.0 if p.const_match else high * np.exp(-p.diff_coef * abs(i - j)))
         miss = -p.mismatch * (1.0 if p.const_mismatch else (a + b if p.total else high))
-        step = diagonal + np.where(g.q[:, i] == g.c[:, j], hit, miss)
+        step = diagonal + np.where(g.q[i] == g.c[j], hit, miss)
         return np.maximum(np.maximum(up - p.gap * (1.0 if p.const_gap else a), left - p.gap * (1.0 if p.const_gap else b)), step)
 
     score = g.run(first_row, first_column, cell)
     if p.no_norm:
         return score
-    mass = _common_mass(g.q, g.c, wq, wc, g.m, g.n)
-    return np.divide(score, mass, out=np.zeros(rows), where=mass != 0)
+    mass = _common_mass(g, wq, wc)
+    return np.divide(score, mass, out=np.zeros(g.size), where=mass != 0)
 
 
 def linear_alignment(g: Group, coef_gap: float = 1.0, gap: float = 0.5, mismatch: float = 0.0) -> np.ndarray:
     """Alignment with a constant gap and matches that fade with rarity, place and distance; not normalised."""
-    rows = len(g.q)
-    first_row = np.broadcast_to(-gap * np.arange(g.c.shape[1] + 1.0), (rows, g.c.shape[1] + 1))
-    first_column = np.broadcast_to(-gap * np.arange(g.q.shape[1] + 1.0), (rows, g.q.shape[1] + 1))
 
     def cell(i: int, j: int, up: np.ndarray, left: np.ndarray, diagonal: np.ndarray, _: object) -> np.ndarray:
-        hit = (1 - g.dq[:, i] / 100) * (1 - i / g.m) * np.exp(-coef_gap * abs(i - j) / 2)
-        return np.maximum(np.maximum(up, left) - gap, diagonal + np.where(g.q[:, i] == g.c[:, j], hit, -mismatch))
+        hit = (1 - g.dq[i] / 100) * (1 - i / g.m) * np.exp(-coef_gap * abs(i - j) / 2)
+        return np.maximum(np.maximum(up, left) - gap, diagonal + np.where(g.q[i] == g.c[j], hit, -mismatch))
 
-    return g.run(first_row, first_column, cell)
+    return g.run(g.ramp(g.c, -gap), g.ramp(g.q, -gap), cell)
 
 
 def optimal_alignment(g: Group, indel: float = 1.0, mismatch: float = 1.0, match: float = 1.0) -> np.ndarray:
     """Needleman-Wunsch, scaled between the score without any match and that of a full match; 0 if both are equal."""
-    rows = len(g.q)
-    first_row = np.broadcast_to(-indel * np.arange(g.c.shape[1] + 1.0), (rows, g.c.shape[1] + 1))
-    first_column = np.broadcast_to(-indel * np.arange(g.q.shape[1] + 1.0), (rows, g.q.shape[1] + 1))
-    real = lambda i, j, up, left, diagonal, _: np.maximum(np.maximum(up, left) - indel, diagonal + np.where(g.q[:, i] == g.c[:, j], match, -mismatch))
+    borders = g.ramp(g.c, -indel), g.ramp(g.q, -indel)
+    real = lambda i, j, up, left, diagonal, _: np.maximum(np.maximum(up, left) - indel, diagonal + np.where(g.q[i] == g.c[j], match, -mismatch))
     worst = lambda i, j, up, left, diagonal, _: np.maximum(np.maximum(up, left) - indel, diagonal - mismatch)
-    score, low = g.run(first_row, first_column, real), g.run(first_row, first_column, worst)
+    score, low = g.run(*borders, real), _by_length(g, -indel, -indel, worst)
     span = np.minimum(g.m, g.n) * match - low
-    return np.divide(score - low, span, out=np.zeros(rows), where=span != 0)
+    return np.divide(score - low, span, out=np.zeros(g.size), where=span != 0)
+
+
+def _by_length(g: Group, row_step: float, column_step: float, cell: Callable) -> np.ndarray:
+    """A programme that looks at no token: one run gives it for all lengths of the group."""
+    height, width = len(g.q), len(g.c)
+    table = np.zeros((height + 1, width + 1))
+    table[0] = row_step * np.arange(width + 1)
+    table[:, 0] = column_step * np.arange(height + 1)
+    for i in range(height):
+        for j in range(width):
+            table[i + 1, j + 1] = cell(i, j, table[i, j + 1], table[i + 1, j], table[i, j], None)
+    return table[g.m, g.n]
 
 
 def edit_similarity(g: Group, insert: float = 1.0, delete: float = 1.0, substitute: float = 1.0, transpose: float = 1.0, transpositions: bool = True) -> np.ndarray:
     """1 less the edit distance over that of stacks without a common token; 0 if the latter is 0."""
-    rows = len(g.q)
-    first_row = np.broadcast_to(insert * np.arange(g.c.shape[1] + 1.0), (rows, g.c.shape[1] + 1))
-    first_column = np.broadcast_to(delete * np.arange(g.q.shape[1] + 1.0), (rows, g.q.shape[1] + 1))
 
     def real(i: int, j: int, up: np.ndarray, left: np.ndarray, diagonal: np.ndarray, crossed: np.ndarray | None) -> np.ndarray:
-        best = np.minimum(np.minimum(up + delete, left + insert), diagonal + np.where(g.q[:, i] == g.c[:, j], 0.0, substitute))
+        best = np.minimum(np.minimum(up + delete, left + insert), diagonal + np.where(g.q[i] == g.c[j], 0.0, substitute))
         if transpositions and crossed is not None and i > 0:
-            swapped = (g.q[:, i] == g.c[:, j - 1]) & (g.q[:, i - 1] == g.c[:, j]) & (g.q[:, i] != g.c[:, j])
+            swapped = (g.q[i] == g.c[j - 1]) & (g.q[i - 1] == g.c[j]) & (g.q[i] != g.c[j])
             best = np.where(swapped, np.minimum(best, crossed + transpose), best)
         return best
 
     worst = lambda i, j, up, left, diagonal, _: np.minimum(np.minimum(up + delete, left + insert), diagonal + substitute)
-    distance, most = g.run(first_row, first_column, real, True), g.run(first_row, first_column, worst)
-    return np.where(most != 0, 1 - np.divide(distance, most, out=np.zeros(rows), where=most != 0), 0.0)
+    distance, most = g.run(g.ramp(g.c, insert), g.ramp(g.q, delete), real, True), _by_length(g, insert, delete, worst)
+    return np.where(most != 0, 1 - np.divide(distance, most, out=np.zeros(g.size), where=most != 0), 0.0)
 
 
 def positional_similarity(g: Group, c: float = 0.1, o: float = 0.2) -> np.ndarray:
     """Common subsequence whose matches fade with depth (c) and with the difference of depths (o)."""
-    rows = len(g.q)
-    first_row, first_column = np.zeros((rows, g.c.shape[1] + 1)), np.zeros((rows, g.q.shape[1] + 1))
-    cell = lambda i, j, up, left, diagonal, _: np.maximum(np.maximum(up, left), diagonal + np.where(g.q[:, i] == g.c[:, j], np.exp(-c * min(i, j)) * np.exp(-o * abs(i - j)), 0.0))
-    full = np.concatenate([[0.0], np.cumsum(np.exp(-c * np.arange(max(g.q.shape[1], g.c.shape[1]))))])
-    return g.run(first_row, first_column, cell) / full[np.minimum(g.m, g.n)]
+    cell = lambda i, j, up, left, diagonal, _: np.maximum(np.maximum(up, left), diagonal + np.where(g.q[i] == g.c[j], np.exp(-c * min(i, j)) * np.exp(-o * abs(i - j)), 0.0))
+    full = np.concatenate([[0.0], np.cumsum(np.exp(-c * np.arange(max(len(g.q), len(g.c)))))])
+    return g.run(g.ramp(g.c, 0.0), g.ramp(g.q, 0.0), cell) / full[np.minimum(g.m, g.n)]
 
 
 def merge_overlap(g: Group) -> np.ndarray:
     """Equal tokens met by two pointers that advance at the smaller token, over the shorter length."""
-    rows = len(g.q)
-    i, j, hits = np.zeros(rows, int), np.zeros(rows, int), np.zeros(rows)
-    at = np.arange(rows)
-    for _ in range(g.q.shape[1] + g.c.shape[1]):
+    i, j, hits = np.zeros(g.size, int), np.zeros(g.size, int), np.zeros(g.size)
+    at = np.arange(g.size)
+    for _ in range(len(g.q) + len(g.c)):
         live = (i < g.m) & (j < g.n)
         if not live.any():
             break
-        a, b = g.q[at, np.minimum(i, g.q.shape[1] - 1)], g.c[at, np.minimum(j, g.c.shape[1] - 1)]
+        a, b = g.q[np.minimum(i, len(g.q) - 1), at], g.c[np.minimum(j, len(g.c) - 1), at]
         hits += live & (a == b)
         i, j = i + (live & (a <= b)), j + (live & (a >= b))
     return hits / np.minimum(g.m, g.n)
 
 
 def module_distance(
-    g: Group, insert_same: float = 1.0, insert_new: float = 1.0, delete_same: float = 1.0, delete_last: float = 1.0, sub_module: float = 1.0, sub_function: float = 1.0, unknown_module: int = -2, unknown_same: bool = False
+    g: Group, insert_same: float = 1.0, insert_new: float = 1.0, delete_same: float = 1.0, delete_last: float = 1.0, sub_module: float = 1.0, sub_function: float = 1.0, unknown_same: bool = False
 ) -> np.ndarray:
-    """Edit distance of (function, module) pairs over that of the dearest edits. Tokens are modules, ``fq``/``fc`` functions; negative functions are unknown."""
-    rows, height, width = len(g.q), g.q.shape[1], g.c.shape[1]
+    """Edit distance of (function, module) pairs over that of the dearest edits. Tokens are modules, ``fq`` and ``fc`` functions; 0 is unknown in both."""
+    height, width = len(g.q), len(g.c)
 
     def same_module(i: int, j: int) -> np.ndarray:
         if i >= height or j >= width:
-            return np.zeros(rows, bool)
-        a, b = g.q[:, i], g.c[:, j]
-        inside = (i < g.m) & (j < g.n)
-        return inside & np.where((a == unknown_module) & (b == unknown_module), unknown_same, a == b)
+            return np.zeros(g.size, bool)
+        a, b = g.q[i], g.c[j]
+        return (i < g.m) & (j < g.n) & np.where((a == 0) & (b == 0), unknown_same, a == b)
 
     dearest_in, dearest_out = max(insert_same, insert_new), max(delete_same, delete_last)
     dearest_sub = max(sub_module, sub_function)
 
-    insert = lambda i, j: np.where(same_module(i, j) | same_module(i + 1, j), insert_same, insert_new)
-    delete = lambda i, j: np.where(same_module(i, j) | same_module(i, j + 1), delete_same, delete_last)
-    first_row = np.broadcast_to(dearest_in * np.arange(width + 1.0), (rows, width + 1))
-    first_column = np.broadcast_to(dearest_out * np.arange(height + 1.0), (rows, height + 1))
-
     def cell(i: int, j: int, up: np.ndarray, left: np.ndarray, diagonal: np.ndarray, _: object) -> np.ndarray:
-        equal_function = (g.fq[:, i] == g.fc[:, j]) & (g.fq[:, i] >= 0)
-        sub = np.where(~same_module(i, j), sub_module, np.where(equal_function, 0.0, sub_function))
-        return np.minimum(np.minimum(up + delete(i, j), left + insert(i, j)), diagonal + sub)
+        here = same_module(i, j)
+        insert = np.where(here | same_module(i + 1, j), insert_same, insert_new)
+        delete = np.where(here | same_module(i, j + 1), delete_same, delete_last)
+        equal_function = (g.fq[i] == g.fc[j]) & (g.fq[i] > 0)
+        sub = np.where(~here, sub_module, np.where(equal_function, 0.0, sub_function))
+        return np.minimum(np.minimum(up + delete, left + insert), diagonal + sub)
 
     worst = lambda i, j, up, left, diagonal, _: np.minimum(np.minimum(up + dearest_out, left + dearest_in), diagonal + dearest_sub)
-    most = g.run(first_row, first_column, worst)
-    distance = g.run(first_row, first_column, cell)
-    return np.divide(distance, most, out=np.zeros(rows), where=most != 0)
-
-
-def _codes(*columns: pd.Series) -> list[list[np.ndarray]]:
-    """Tokens of several columns as numbers that keep the tokens' order."""
-    flat = [np.concatenate([np.asarray(x, dtype=object) for x in c]) if len(c) else np.empty(0, object) for c in columns]
-    values = np.concatenate(flat)
-    _, inverse = np.unique(values.astype(str), return_inverse=True)
-    out, at = [], 0
-    for c in columns:
-        ends = np.cumsum([len(x) for x in c])
-        part = inverse[at : at + (ends[-1] if len(ends) else 0)]
-        out.append(np.split(part, ends[:-1]) if len(ends) else [])
-        at += len(part)
-    return out
-
-
-def _pad(rows: list[np.ndarray], width: int, fill: float, kind: type) -> np.ndarray:
-    out = np.full((len(rows), width), fill, kind)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
-
-
-def score_batch(kernel: Callable[[Group], np.ndarray], q: pd.Series, c: pd.Series, dq: pd.Series | None = None, dc: pd.Series | None = None) -> pd.Series:
-    """Scores of aligned series of token arrays; null where a side is null or empty."""
-    out = np.full(len(q), np.nan)
-    full = np.array([a is not None and b is not None and len(a) > 0 and len(b) > 0 for a, b in zip(q, c)], bool)
-    at = np.flatnonzero(full)
+    distance, most = g.run(g.ramp(g.c, dearest_in), g.ramp(g.q, dearest_out), cell), _by_length(g, dearest_in, dearest_out, worst)
+    return np.divide(distance, most, out=np.zeros(g.size), where=most != 0)
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Values, starts and lengths of a list column; null lists have length 0."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    length = np.diff(offsets)
+    if column.null_count:
+        length = np.where(column.is_valid().to_numpy(zero_copy_only=False), length, 0)
+    return column.values, offsets[:-1], length
+
+
+def _codes(a: pa.Array, b: pa.Array, first: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of both sides as numbers in the tokens' order; with ``first``, that token is 0 and the others follow."""
+    coded = pa.concat_arrays([a, b]).dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if first is None and pa.types.is_integer(coded.dictionary.type):
+        _, place = np.unique(coded.dictionary.to_numpy(zero_copy_only=False), return_inverse=True)
+        return place[index[: len(a)]], place[index[len(a) :]]
+    names = coded.dictionary.to_pylist()
+    place = np.empty(len(names), np.int64)
+    place[sorted(range(len(names)), key=lambda k: (names[k] != first, names[k]) if first is not None else names[k])] = np.arange(len(names))
+    if first is not None and first not in names:
+        place += 1
+    index = place[index] if len(names) else index
+    return index[: len(a)], index[len(a) :]
+
+
+def _pad(values: np.ndarray, starts: np.ndarray, length: np.ndarray, fill: float) -> np.ndarray:
+    """(longest, rows) of the lists that begin at ``starts``."""
+    at = np.arange(int(length.max()))[:, None]
+    inside = at < length
+    return np.where(inside, values[np.where(inside, starts + at, 0)], values.dtype.type(fill))
+
+
+def score_lists(kernel: Callable[[Group], np.ndarray], q: pa.Array, c: pa.Array, dq: pa.Array | None = None, dc: pa.Array | None = None, fq: pa.Array | None = None, fc: pa.Array | None = None) -> pa.Array:
+    """Scores of aligned list columns; null where a side is null or empty.
+
+    ``dq``/``dc`` are the tokens' frequencies, ``fq``/``fc`` a second text of each frame, whose empty text, like that of the tokens then, is unknown.
+    """
+    (vq, sq, m), (vc, sc, n) = _lists(q), _lists(c)
+    out = np.full(len(m), np.nan)
+    at = np.flatnonzero((m > 0) & (n > 0))
     if len(at):
-        cq, cc = _codes(q.iloc[at], c.iloc[at])
-        m, n = np.array([len(x) for x in cq]), np.array([len(x) for x in cc])
-        order = np.lexsort((n, m))
-        for s in range(0, len(order), _GROUP):
-            # Within a slice of like rows, again like columns.
-            for part in np.array_split(order[s : s + _GROUP][np.argsort(n[order[s : s + _GROUP]], kind="stable")], 4):
-                if not len(part):
-                    continue
-                height, width = int(m[part].max()), int(n[part].max())
-                frequency = [None, None]
-                if dq is not None:
-                    frequency = [_pad([np.asarray(d.iloc[at[k]], np.float64) for k in part], w, 0.0, np.float64) for d, w in ((dq, height), (dc, width))]
-                g = Group(_pad([cq[k] for k in part], height, -1, np.int64), _pad([cc[k] for k in part], width, -2, np.int64), m[part], n[part], *frequency)
-                out[at[part]] = kernel(g)
-    return pd.Series(out)
-
-
-def _null(scores: pd.Series) -> pd.Series:
-    return scores.astype("float64").where(scores.notna(), None)
+        kq, kc = _codes(vq, vc, "" if fq is not None else None)
+        extra: list[tuple[np.ndarray, np.ndarray] | None] = [None] * 4
+        if dq is not None:
+            extra[:2] = [(v.to_numpy(zero_copy_only=False), s) for v, s, _ in (_lists(dq), _lists(dc))]
+        if fq is not None:
+            (v1, s1, _), (v2, s2, _) = _lists(fq), _lists(fc)
+            extra[2:] = list(zip(_codes(v1, v2, ""), (s1, s2)))
+        order = at[np.lexsort((n[at], m[at]))]
+        for k in range(0, len(order), _GROUP):
+            slice_ = order[k : k + _GROUP]
+            # Rows are alike within a slice; halves by the columns keep these alike too.
+            slice_ = slice_[np.argsort(n[slice_], kind="stable")]
+            for part in np.array_split(slice_, 2 if len(slice_) > 512 else 1):
+                more = [None if e is None else _pad(e[0], e[1][part], (m if side % 2 == 0 else n)[part], 0) for side, e in enumerate(extra)]
+                g = Group(_pad(kq, sq[part], m[part], -1), _pad(kc, sc[part], n[part], -2), m[part], n[part], *more)
+                out[part] = kernel(g)
+    return pa.array(out, pa.float64(), from_pandas=True)
 
 
 def pair_kernel(kernel: Callable[[Group], np.ndarray]) -> Callable[[Column, Column], Column]:
     """A column builder over two token arrays."""
 
-    @F.pandas_udf("double")
-    def score(q: pd.Series, c: pd.Series) -> pd.Series:
-        return _null(score_batch(kernel, q, c))
+    def score(q: pa.Array, c: pa.Array) -> pa.Array:
+        return score_lists(kernel, q, c)
 
-    return score
+    return _arrow(score, 2)
 
 
 def weighted_kernel(kernel: Callable[[Group], np.ndarray]) -> Callable[[Column, Column, Column, Column], Column]:
     """A column builder over two token arrays and their document frequencies in percent."""
 
-    @F.pandas_udf("double")
-    def score(q: pd.Series, c: pd.Series, dq: pd.Series, dc: pd.Series) -> pd.Series:
-        return _null(score_batch(kernel, q, c, dq, dc))
+    def score(q: pa.Array, c: pa.Array, dq: pa.Array, dc: pa.Array) -> pa.Array:
+        return score_lists(kernel, q, c, dq, dc)
+
+    return _arrow(score, 4)
+
+
+def module_kernel(**costs: float) -> Callable[[Column, Column, Column, Column], Column]:
+    """A column builder over module and function arrays of both sides; empty texts are unknown modules and functions."""
+
+    def score(qm: pa.Array, cm: pa.Array, qf: pa.Array, cf: pa.Array) -> pa.Array:
+        return score_lists(lambda g: module_distance(g, **costs), qm, cm, fq=qf, fc=cf)
+
+    return _arrow(score, 4)
+
 
-    return score
+def _arrow(score: Callable, arguments: int) -> Callable[..., Column]:
+    # Annotations are texts in this module, so the kind of function is told here.
+    score.__annotations__ = dict.fromkeys(score.__code__.co_varnames[:arguments], pa.Array) | {"return": pa.Array}
+    return F.arrow_udf(score, "double")
 
 
 def common_prefix(q: Column, c: Column) -> Column:
@@ -317,33 +340,3 @@ def blend(text: Column, positional: Column, alpha: float) -> Column:
     low = alpha * positional + (1 - alpha) * text
     return F.when(low == 0, 0.0).otherwise(text * positional / low)
 
-
-def module_kernel(**costs: float) -> Callable[[Column, Column, Column, Column], Column]:
-    """A column builder over module and function arrays of both sides; empty texts are unknown modules and functions."""
-
-    @F.pandas_udf("double")
-    def score(qm: pd.Series, cm: pd.Series, qf: pd.Series, cf: pd.Series) -> pd.Series:
-        out = np.full(len(qm), np.nan)
-        full = np.array([a is not None and b is not None and len(a) > 0 and len(b) > 0 for a, b in zip(qm, cm)], bool)
-        at = np.flatnonzero(full)
-        if not len(at):
-            return _null(pd.Series(out))
-        # Known texts count from 0; the empty text is -2 for modules, -1 for functions.
-        coded = []
-        for series, unknown in (((qm, cm), -2), ((qf, cf), -1)):
-            index: dict[str, int] = {"": unknown}
-            for s in series:
-                for x in s.iloc[at]:
-                    for t in x:
-                        index.setdefault(t, len(index))
-            coded.append([[np.array([index[t] for t in x], np.int64) for x in s.iloc[at]] for s in series])
-        (mq, mc), (gq, gc) = coded
-        m, n = np.array([len(x) for x in mq]), np.array([len(x) for x in mc])
-        for part in np.array_split(np.lexsort((n, m)), max(1, len(at) // 512)):
-            height, width = int(m[part].max()), int(n[part].max())
-            pad = lambda rows, w, fill: _pad([rows[k] for k in part], w, fill, np.int64)  # noqa: B023, E731
-            g = Group(pad(mq, height, -8), pad(mc, width, -9), m[part], n[part], None, None, pad(gq, height, -8), pad(gc, width, -9))
-            out[at[part]] = module_distance(g, **costs)
-        return _null(pd.Series(out))
-
-    return score

@@ -14,18 +14,29 @@ NOT_RANKED = -999999999.99
 AGGREGATES = ("max", "avg_query", "avg_cand", "avg_short", "avg_long", "avg_query_cand")
 
 
-def stack_pairs(pairs: DataFrame, stacks: DataFrame) -> DataFrame:
-    """``query_id, cand_id, q_stack, c_stack, q, c`` and, if stacks have them, their frequencies ``dq`` and ``dc``."""
+def stack_pairs(pairs: DataFrame, stacks: DataFrame, coded: bool = True) -> DataFrame:
+    """``query_id, cand_id, q_stack, c_stack, q, c`` and, if stacks have them, their frequencies ``dq`` and ``dc``.
+
+    ``coded`` tokens are 64-bit hashes, which are an eighth of the size in the joins and serve all kernels that only compare for equality; two
+    tokens of one pair share a hash once in 10^19 comparisons. Kernels that need the tokens' order take them as they are.
+    """
     weighed = "df" in stacks.columns
+    if coded:
+        stacks = stacks.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
     side = lambda report, stack, tokens, df: stacks.select(
         F.col("bug_id").alias(report), F.col("stack_no").alias(stack), F.col("tokens").alias(tokens), *([F.col("df").alias(df)] if weighed else [])
     )
     return pairs.select("query_id", "cand_id").join(side("query_id", "q_stack", "q", "dq"), "query_id").join(side("cand_id", "c_stack", "c", "dc"), "cand_id")
 
 
-def score_cells(pairs: DataFrame, stacks: DataFrame, kernel: Callable[..., Column], weighted: bool = False) -> DataFrame:
-    """``query_id, cand_id, q_stack, c_stack, score`` of all stack pairs; rows spread evenly whatever the query."""
-    cells = stack_pairs(pairs, stacks)
+def score_cells(pairs: DataFrame, stacks: DataFrame, kernel: Callable[..., Column], weighted: bool = False, coded: bool = True) -> DataFrame:
+    """``query_id, cand_id, q_stack, c_stack, score`` of all stack pairs.
+
+    The narrow pairs are first spread by their key: candidates come out of a join on buckets, one of which may be hot, and kernels cost far more than that shuffle.
+    """
+    if not weighted:
+        stacks = stacks.select("bug_id", "stack_no", "tokens")
+    cells = stack_pairs(pairs.select("query_id", "cand_id").repartition("query_id", "cand_id"), stacks, coded)
     score = kernel(F.col("q"), F.col("c"), F.col("dq"), F.col("dc")) if weighted else kernel(F.col("q"), F.col("c"))
     return cells.select("query_id", "cand_id", "q_stack", "c_stack", score.alias("score"))
 

@@ -75,7 +75,7 @@ def score_pairs(asked: DataFrame, stacks: DataFrame, s: Settings) -> DataFrame:
     """``query_id, cand_id, score`` of all asked pairs, the missing score where a side has no stack left."""
     build, weighted = METHODS[s.method]
     kernel: Callable[..., Column] = build(**s.params)
-    scored = pairs.aggregate_cells(pairs.score_cells(asked, stacks, kernel, weighted), s.aggregate)
+    scored = pairs.aggregate_cells(pairs.score_cells(asked, stacks, kernel, weighted, s.method != "crash_graph"), s.aggregate)
     return pairs.with_missing(asked, scored)
 
 

@@ -216,19 +216,19 @@ def queries_evaluated(spark: SparkSession, folder: str) -> DataFrame:
 # Kernels, over all stack pairs of all recommended pairs.
 
 
-def _cells(spark: SparkSession, folder: str, kernel: Callable[..., Column], weighted: bool = False) -> DataFrame:
+def _cells(spark: SparkSession, folder: str, kernel: Callable[..., Column], weighted: bool = False, coded: bool = True) -> DataFrame:
     stacks = _weighed(spark, folder)[0] if weighted else _stacks(spark, folder)
-    cells = pairs.score_cells(_listed(spark, folder), stacks, kernel, weighted)
+    cells = pairs.score_cells(_listed(spark, folder), stacks, kernel, weighted, coded)
     return cells.withColumn("score", _six("score"))
 
 
-def _pair_query(name: str, make: Callable[[], Callable[..., Column]], weighted: bool = False) -> None:
-    _add(name, lambda spark, folder: _cells(spark, folder, make(), weighted))
+def _pair_query(name: str, make: Callable[[], Callable[..., Column]], weighted: bool = False, coded: bool = True) -> None:
+    _add(name, lambda spark, folder: _cells(spark, folder, make(), weighted, coded))
 
 
 _pair_query("sim_prefix", lambda: kernels.common_prefix)
 _pair_query("sim_crash_graph", lambda: lambda q, c: kernels.multiset_overlap(q, c))
-_pair_query("sim_crash_graph_merge", lambda: lambda q, c: kernels.pair_kernel(kernels.merge_overlap)(F.array_sort(q), F.array_sort(c)))
+_pair_query("sim_crash_graph_merge", lambda: lambda q, c: kernels.pair_kernel(kernels.merge_overlap)(F.array_sort(q), F.array_sort(c)), coded=False)
 _pair_query("sim_nw", lambda: kernels.pair_kernel(partial(kernels.optimal_alignment, indel=0.5, mismatch=1.0, match=2.0)))
 _pair_query("sim_pdm", lambda: kernels.pair_kernel(kernels.positional_similarity))
 _pair_query("sim_dl", lambda: kernels.pair_kernel(kernels.edit_similarity))

@@ -4,8 +4,7 @@ import math
 import random
 from functools import partial
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,9 +37,10 @@ def score(kind, given, pairs):
         "w": lambda g: k.weighted_alignment(g, k.Weighted(**given)), "l": partial(k.linear_alignment, **given), "o": partial(k.optimal_alignment, **given),
         "e": partial(k.edit_similarity, **given), "p": partial(k.positional_similarity, **given), "m": k.merge_overlap,
     }[kind]
-    q, c = pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs])
-    d = lambda s: pd.Series([[DF[x] for x in r] for r in s])
-    return k.score_batch(f, q, c, d(q), d(c)).tolist()
+    sides = [a for a, _ in pairs], [b for _, b in pairs]
+    q, c = (pa.array(s) for s in sides)
+    dq, dc = (pa.array([[DF[x] for x in r] for r in s]) for s in sides)
+    return k.score_lists(f, q, c, dq, dc).to_pylist()
 
 
 @pytest.mark.parametrize("kind,given,want", GOLDEN)
@@ -82,8 +82,9 @@ def test_properties():
 def test_zero_costs_and_missing_stacks():
     assert score("o", dict(indel=0, mismatch=0, match=0), PAIRS) == [0.0] * 5
     assert score("e", dict(insert=0, delete=0, substitute=0), PAIRS) == [0.0] * 5
-    out = k.score_batch(k.merge_overlap, pd.Series([None, [], [1]], dtype=object), pd.Series([[1], [1], [1]], dtype=object))
-    assert np.isnan(out[0]) and np.isnan(out[1]) and out[2] == 1.0
+    assert k.score_lists(k.merge_overlap, pa.array([None, [], [1]]), pa.array([[1], [1], [1]])).to_pylist() == [None, None, 1.0]
+    sliced = pa.array([[9, 9], [1, 2], None, [1]]).slice(1)
+    assert k.score_lists(k.merge_overlap, sliced, pa.array([[1, 2], [1], [1]])).to_pylist() == [1.0, None, 1.0]
     with pytest.raises(ValueError):
         k.Weighted(idf=True)
     with pytest.raises(ValueError):
