@@ -58,30 +58,57 @@ _MATERIAL = re.compile(
 )
 
 
-def _row(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks, their terms, their words, whether each begins a line, whether its line is working material."""
+#: Kinds of a chunk, one bit each.
+LINK, TAG, MODEL, FUNCTION, LURE, CODE = (1 << k for k in range(6))
+#: Chunks whose kinds a worker remembers.
+CACHE = 300_000
+_known: dict[str, tuple[int, str, int]] = {}
+
+
+def _chunk(c: str) -> tuple[int, str, int]:
+    """(words, term, kinds) of a piece of text without blanks."""
+    words = len(_WORD.findall(c))
+    term = c.strip(".,;:!?()[]{}\"'|*#<>/-–—·•").lower()
+    link = bool(_LINK.search(c))
+    tag = bool(_HASH.match(c))
+    model = bool(_MODEL.match(term.upper() if not c.islower() else c))
+    kinds = link * LINK + tag * TAG + model * MODEL + (term in LURES) * LURE
+    if term in FUNCTION_WORDS or _FOREIGN.search(term):
+        kinds += FUNCTION
+    if not (link or tag or model) and _CODE.search(c):
+        kinds += CODE
+    if len(c) <= 40:
+        if len(_known) > CACHE:
+            _known.clear()
+        _known[c] = words, term, kinds
+    return words, term, kinds
+
+
+def _row(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each chunk its term, words and kinds, whether it begins a line, whether its line is working material."""
     text = _TAG.sub(" ", _ANCHOR.sub(r" \1 ", text)) if "<" in text else text
     text = text.replace("](", " ")
-    chunks: list[str] = []
     terms: list[str] = []
     words: list[int] = []
+    kinds: list[int] = []
     begins: list[bool] = []
     material: list[bool] = []
+    known = _known.get
     for line in _BREAK.split(text):
-        line = _QUOTE.sub("", line)
-        if not line or line.isspace():
-            continue
-        form, fresh = bool(_MATERIAL.match(line)), True
+        if ">" in line:
+            line = _QUOTE.sub("", line)
+        held = len(terms)
         for c in line.split():
-            n = len(_WORD.findall(c))
+            n, term, kind = known(c) or _chunk(c)
             if n:
-                chunks.append(c)
-                terms.append(c.strip(".,;:!?()[]{}\"'|*#<>/-–—·•").lower())
+                terms.append(term)
                 words.append(n)
-                begins.append(fresh)
-                material.append(form)
-                fresh = False
-    return chunks, terms, np.array(words, np.int64), np.array(begins, bool), np.array(material, bool)
+                kinds.append(kind)
+        if len(terms) > held:
+            more = len(terms) - held
+            begins += [True] + [False] * (more - 1)
+            material += [bool(_MATERIAL.match(line))] * more
+    return terms, np.array(words, np.int64), np.array(kinds, np.int64), np.array(begins, bool), np.array(material, bool)
 
 
 def recurrence(codes: np.ndarray, lags: int = LAGS) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +116,20 @@ def recurrence(codes: np.ndarray, lags: int = LAGS) -> tuple[np.ndarray, np.ndar
     n = len(codes)
     gap = np.zeros(n, np.int64)
     hits = np.zeros(n, np.int64)
-    for lag in range(min(lags, n - 1), 0, -1):
-        same = codes[lag:] == codes[:-lag]
-        gap[lag:][same] = lag
-        gap[:-lag][same] = lag
-        hits[lag:] += same
-        hits[:-lag] += same
+    at = np.argsort(codes, kind="stable")
+    code = codes[at]
+    # Places of one term follow each other; the k-th next one is looked at while any is near.
+    for k in range(1, min(lags, n - 1) + 1):
+        near = (code[k:] == code[:-k]) & (at[k:] - at[:-k] <= lags)
+        if not near.any():
+            break
+        first, second = at[:-k][near], at[k:][near]
+        hits[first] += 1
+        hits[second] += 1
+        if k == 1:
+            gap[second] = second - first
+            ahead = second - first
+            gap[first] = np.where(gap[first] > 0, np.minimum(gap[first], ahead), ahead)
     return gap, hits
 
 
@@ -105,17 +140,12 @@ def _smooth(x: np.ndarray, reach: int = REACH) -> np.ndarray:
     return (total[hi] - total[lo]) / (hi - lo)
 
 
-def evidence(chunks: list[str], terms: list[str], material: np.ndarray) -> np.ndarray:
+def evidence(terms: list[str], kinds: np.ndarray, material: np.ndarray) -> np.ndarray:
     """For each chunk, how much it speaks for stuffing (positive) or against it."""
-    n = len(chunks)
+    n = len(terms)
     index: dict[str, int] = {}
     codes = np.array([index.setdefault(t, len(index)) for t in terms], np.int64)
-    link = np.array([bool(_LINK.search(c)) for c in chunks])
-    tag = np.array([bool(_HASH.match(c)) for c in chunks])
-    model = np.array([bool(_MODEL.match(t.upper() if not c.islower() else c)) for c, t in zip(chunks, terms)])
-    function = np.array([t in FUNCTION_WORDS or bool(_FOREIGN.search(t)) for t in terms])
-    lure = np.array([t in LURES for t in terms])
-    code = np.array([bool(_CODE.search(c)) for c in chunks]) & ~link & ~tag & ~model
+    link, tag, model, function, lure, code = ((kinds & k) > 0 for k in (LINK, TAG, MODEL, FUNCTION, LURE, CODE))
     content = ~(link | tag | function | code)
     gap, hits = recurrence(codes)
     repeated = content & (gap > 0) & (gap <= 8)
@@ -139,6 +169,10 @@ def evidence(chunks: list[str], terms: list[str], material: np.ndarray) -> np.nd
 def stuffed(score: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The two-state path of least cost: True where the text is stuffed."""
     n = len(score)
+    # A part pays if twice its sum is more than one border; the best sum over all parts tells whether any does.
+    total = np.concatenate([[0.0], np.cumsum(score)])
+    if 2 * (total - np.minimum.accumulate(total)).max() <= SWITCH_LINE:
+        return np.zeros(n, bool)
     change = np.where(begins, SWITCH_LINE, SWITCH).tolist()
     plain, full = 0.0, -SWITCH_LINE
     from_full = [False] * n
@@ -169,10 +203,10 @@ def stuffed_share(text: str | None) -> tuple[int, int]:
     """(words in stuffed parts, words) of a text; null, empty and wordless texts have none."""
     if not text:
         return 0, 0
-    chunks, terms, words, begins, material = _row(text)
-    if not chunks:
+    terms, words, kinds, begins, material = _row(text)
+    if not terms:
         return 0, 0
-    path = stuffed(evidence(chunks, terms, material), begins)
+    path = stuffed(evidence(terms, kinds, material), begins)
     return int(words[path].sum()), int(words.sum())
 
 
