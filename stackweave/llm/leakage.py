@@ -26,7 +26,7 @@ SEED = 5
 #: Words of a passage that gives an item away.
 PASSAGE = 13
 #: Words of all items that are broadcast at a time; further items are taken in further blocks.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
