@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import day
 
+#: Chunks of days in one window.
+PARTS = 16
+
 
 def universe(reports: DataFrame, queries: DataFrame) -> DataFrame:
     """Reports not later than the newest query by (ts, bug_id), and the queries themselves."""
@@ -18,12 +21,13 @@ def bucket_activity(reports: DataFrame, queries: DataFrame, window_days: int) ->
     """``query_id, bucket``: buckets with a member before the query and within ``window_days`` days of it.
 
     The newest earlier member of a bucket lies in the window if and only if some earlier member does, so members meet queries by
-    the window-sized chunk of days they fall in, an equi-join.
+    the chunk of days they fall in, an equi-join. A window has about ``PARTS`` chunks, so that the join has many keys; a member is in one chunk.
     """
     q = queries.select("bug_id").distinct().join(reports, "bug_id").select(F.col("bug_id").alias("query_id"), F.col("ts").alias("query_ts"))
-    chunk = lambda us: F.floor(day(us) / window_days)
-    q = q.withColumn("chunk", F.explode(F.array(chunk(F.col("query_ts")), chunk(F.col("query_ts")) - 1)))
-    r = reports.select("bug_id", "bucket", "ts", chunk(F.col("ts")).alias("chunk"))
+    size = max(1, window_days // PARTS)
+    chunk = lambda d: F.floor(d / size)
+    q = q.withColumn("chunk", F.explode(F.sequence(chunk(day(F.col("query_ts")) - window_days), chunk(day(F.col("query_ts"))))))
+    r = reports.select("bug_id", "bucket", "ts", chunk(day(F.col("ts"))).alias("chunk"))
     met = q.join(r, "chunk").where(F.struct(F.col("ts"), F.col("bug_id")) < F.struct(F.col("query_ts").alias("ts"), F.col("query_id").alias("bug_id")))
     return met.where(day(F.col("query_ts")) - day(F.col("ts")) <= window_days).select("query_id", "query_ts", "bucket").distinct()
 

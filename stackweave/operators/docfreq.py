@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import join_unique
+from ..session import materialize
+from .ordered import running_sums
+
 
 def document_frequency(stacks: DataFrame, by_stack: bool = False) -> DataFrame:
     """``token, df, percent``: reports, or stacks, that hold each token, and their share of all."""
@@ -25,15 +29,14 @@ def frequency_at_queries(stacks: DataFrame, queries: DataFrame, base: DataFrame)
 
     ``queries`` holds ``query_ord`` and ``bug_id``; ``base`` the other reports that count from the beginning. A query is
     added before it is scored, so the k-th sees the base and the first k queries; repeated queries count each time.
-    The running count is a window over one token's queries, not over its reports.
+    The running count goes over one token's queries, not over its reports, and no token's queries end in one task.
     """
     held = stacks.select("bug_id", F.explode("tokens").alias("token")).distinct()
     base_df = held.join(base.select("bug_id"), "bug_id", "left_semi").groupBy("token").agg(F.count("*").alias("base_df"))
     # A query without stacks counts as a document too.
     total = base.agg(F.count("*")).scalar()
     asked = queries.select("query_ord", "bug_id").join(held, "bug_id")
-    earlier = Window.partitionBy("token").orderBy("query_ord").rangeBetween(Window.unboundedPreceding, 0)
-    asked = asked.withColumn("added", F.count("*").over(earlier))
+    asked = running_sums(asked, ["query_ord"], {"added": F.lit(1).cast("long")}, by=["token"])
     return asked.join(base_df, "token", "left").select(
         "query_ord", "bug_id", "token", (F.coalesce("base_df", F.lit(0)) + F.col("added")).alias("df"), (total + F.col("query_ord") + 1).alias("total")
     )
@@ -45,8 +48,8 @@ def unit_tfidf(tokens: DataFrame) -> DataFrame:
     ``tokens`` holds ``doc_id`` and ``terms``, an array. Terms in every document weigh 0.
     """
     total = tokens.agg(F.count("*")).scalar().cast("double")
-    tf = tokens.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = tf.join(df, "term").select("doc_id", "term", (F.col("tf") * F.ln(total / F.col("df"))).alias("w"))
+    tf = materialize(tokens.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "tf")
+    df = materialize(tf.groupBy("term").agg(F.count("*").alias("df"), F.count("*").alias("n")), "df")
+    raw = join_unique(tf, df, ["term"], "n", ["doc_id"]).select("doc_id", "term", (F.col("tf") * F.ln(total / F.col("df"))).alias("w"))
     norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "doc_id").where(F.col("norm") > 0).select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .ordered import running_sums
+
 
 def hit_positions(ranked: DataFrame, masters: DataFrame, by_bucket: bool = True) -> DataFrame:
     """``query_id, position`` for each listed duplicate: place of the first right candidate, null if there is none.
@@ -38,9 +41,9 @@ def roc(best: DataFrame) -> DataFrame:
     counted = best.where("score is not null and positive is not null").groupBy("score").agg(
         F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("n")
     )
+    counted = materialize(counted, "roc")
     totals = counted.agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    w = Window.orderBy(F.desc("score"))
-    run = counted.select(F.col("score").alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    run = running_sums(counted, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")}).withColumnRenamed("score", "threshold")
     return run.select(
         "threshold", F.try_divide(F.col("tp"), totals.select("p").scalar()).alias("tpr"), F.try_divide(F.col("fp"), totals.select("n").scalar()).alias("fpr")
     )
@@ -51,8 +54,7 @@ def auc(best: DataFrame) -> DataFrame:
     counted = best.where("score is not null and positive is not null").groupBy("score").agg(
         F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("n")
     )
-    w = Window.orderBy("score")
-    below = counted.withColumn("lower", F.sum("n").over(w) - F.col("n"))
+    below = running_sums(counted, ["score"], {"upto": F.col("n")}).withColumn("lower", F.col("upto") - F.col("n"))
     won = F.sum(F.col("p") * (F.col("lower") + F.col("n") / 2))
     return below.agg(F.try_divide(won, F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 # Scores that stand for missing ones.
 NO_STACK = -9999999.99
 NOT_RANKED = -999999999.99
@@ -106,9 +108,9 @@ def top_tokens(stacks: DataFrame, frequency: DataFrame, k: float) -> DataFrame:
     """
     if not 0 < k <= 1:
         raise ValueError(k)
-    # Equal percentages share a rank, so the running count over distinct values is enough; those are at most one per document count.
+    # Equal percentages share a rank, so the running count over distinct values is enough.
     values = frequency.groupBy((100 - F.col("percent")).alias("rare")).agg(F.count("*").alias("n"))
-    ranked = values.withColumn("upto", F.sum("n").over(Window.orderBy("rare")))
+    ranked = running_sums(values, ["rare"], {"upto": F.col("n")})
     total = frequency.agg(F.count("*")).scalar()
     place = F.floor((1 - F.lit(k)) * total)
     least = ranked.where(F.col("upto") > F.least(place, total - 1)).agg(F.min("rare")).scalar()

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import number_rows
 from .pairs import NOT_RANKED
 
 
 def rank(scored: DataFrame) -> DataFrame:
-    """Adds ``rec_rank`` from 1 by (score, cand_id), both descending; a query is no candidate of itself."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("cand_id"))
-    return scored.where(F.col("query_id") != F.col("cand_id")).withColumn("rec_rank", F.row_number().over(w))
+    """Adds ``rec_rank`` from 1 by (score, cand_id), both descending; a query is no candidate of itself.
+
+    Whole lists: rows are ranged by (query, score), so a query with very many candidates is ranked by many tasks.
+    """
+    order = [F.desc("score"), F.desc("cand_id")]
+    numbered = number_rows(scored.where(F.col("query_id") != F.col("cand_id")), order, "rec_rank", ["query_id"])
+    return numbered.withColumn("rec_rank", (F.col("rec_rank") + 1).cast("int"))
 
 
-def top(ranked: DataFrame, n: int) -> DataFrame:
-    return ranked.where(F.col("rec_rank") <= n)
+def top(scored: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of each list, with ``rec_rank``. Each task keeps the best ``n`` of its own rows first, so nothing larger is shuffled."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("cand_id"))
+    kept = scored.where(F.col("query_id") != F.col("cand_id")).withColumn("rec_rank", F.row_number().over(w))
+    return kept.where(F.col("rec_rank") <= n)
 
 
 def top_or_first_hit(ranked: DataFrame, masters: DataFrame, n: int = 5) -> DataFrame:
@@ -34,8 +42,8 @@ def repair(ranked: DataFrame, candidates: DataFrame) -> DataFrame:
     asked = candidates.select("query_id", "cand_id")
     missing = asked.join(ranked.select("query_id", "cand_id"), ["query_id", "cand_id"], "left_anti").select("query_id", "cand_id", F.lit(NOT_RANKED).alias("score"))
     both = ranked.select("query_id", "cand_id", "score", F.col("rec_rank").alias("old")).unionByName(missing.withColumn("old", F.lit(None).cast("int")))
-    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("old"), F.desc("cand_id"))
-    return both.withColumn("rec_rank", F.row_number().over(w)).drop("old")
+    placed = number_rows(both, [F.asc_nulls_last("old"), F.desc("cand_id")], "rec_rank", ["query_id"])
+    return placed.select("query_id", "cand_id", "score", (F.col("rec_rank") + 1).cast("int").alias("rec_rank"))
 
 
 def violations(ranked: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as fr
 from ..functions.instants import epoch_us
+from ..joins import join_unique
+from ..session import materialize
+from .ordered import number_falls
 
 
 def canonical_reports(deliveries: DataFrame) -> DataFrame:
@@ -49,12 +52,8 @@ def encode(stacks: DataFrame, keep_unknown: bool = False) -> DataFrame:
 
 
 def split_by_depth(frames: DataFrame, keys: list[str], order: str, depth: str) -> DataFrame:
-    """Numbers the segments of concatenated traces: a depth that does not rise begins a new one. Adds ``segment`` from 0."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(order)
-    fresh = F.when(F.col(depth) > F.lag(depth).over(w), 0).when(F.lag(depth).over(w).isNull(), 0).otherwise(1)
-    return frames.withColumn("__fresh", fresh).withColumn("segment", F.sum("__fresh").over(w)).drop("__fresh")
+    """Numbers the segments of concatenated traces: a depth that does not rise begins a new one. Adds ``segment`` from 0; keys must not be null."""
+    return number_falls(frames, keys, order, depth, "segment")
 
 
 def distinct_stacks(stacks: DataFrame) -> DataFrame:
@@ -74,10 +73,10 @@ def remove_recursion(stacks: DataFrame, mode: str | None, keep_unknown: bool = F
 def with_frequencies(stacks: DataFrame, frequency: DataFrame, default: float = 0.0) -> DataFrame:
     """Adds ``df``: each token's document frequency in percent, aligned with ``tokens``.
 
-    The tokens are exploded and met with the table by a join, so the table may be of any size.
+    The tokens are exploded and met with the table, a written one, by a join that spreads hot tokens, so the table may be of any size.
     """
     flat = stacks.select("bug_id", "stack_no", F.posexplode("tokens").alias("at", "token"))
-    met = flat.join(frequency.select("token", "percent"), "token", "left")
+    met = join_unique(flat, frequency.select("token", "df", F.col("percent")), ["token"], "df", ["bug_id", "stack_no", "at"], "left")
     rows = met.groupBy("bug_id", "stack_no").agg(F.sort_array(F.collect_list(F.struct("at", "token", F.coalesce("percent", F.lit(default)).alias("p")))).alias("rows"))
     return rows.select("bug_id", "stack_no", F.col("rows.token").alias("tokens"), F.col("rows.p").alias("df"))
 
@@ -98,8 +97,9 @@ def bag(stacks: DataFrame, longest: int = 1) -> DataFrame:
 
 def flag_duplicates(reports: DataFrame) -> DataFrame:
     """Adds ``seen_before``: whether another member of the bucket is earlier by (ts, bug_id)."""
-    first = reports.groupBy("bucket").agg(F.min(F.struct("ts", "bug_id")).alias("first"))
-    return reports.join(first, "bucket").withColumn("seen_before", F.struct("ts", "bug_id") > F.col("first")).drop("first")
+    first = materialize(reports.groupBy("bucket").agg(F.min(F.struct("ts", "bug_id")).alias("first"), F.count("*").alias("n")), "first-members")
+    both = join_unique(reports, first, ["bucket"], "n", ["bug_id"])
+    return both.withColumn("seen_before", F.struct("ts", "bug_id") > F.col("first")).drop("first")
 
 
 def percent(count: Column, total: Column) -> Column:

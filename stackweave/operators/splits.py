@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.instants import DAY_US
-from ..session import materialize
-
-
-def number_rows(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
-    """Adds the place from 0 in the order of all rows, without bringing them to one task.
-
-    Rows are cut into ranges; each is numbered by itself and begins where the ranges before it end.
-    """
-    cut = materialize(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
-    # One row a range.
-    start = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__start")
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return cut.withColumn("__within", within).join(F.broadcast(start), "__part").withColumn(name, F.col("__start") + F.col("__within") - 1).drop("__part", "__start", "__within")
+from .ordered import number_rows
 
 
 def _border(duplicates: DataFrame, place: "F.Column | int") -> "F.Column":

@@ -118,7 +118,7 @@ def evaluate_two_stage(canonical: DataFrame, flat: DataFrame, text_scores: DataF
     ``text_scores`` holds ``query_id, cand_id, score``; candidates after ``n_top`` keep the score of unranked ones.
     """
     ranked = materialize(ranking.rank(text_scores), "text-ranked")
-    first = ranking.top(ranked, n_top)
+    first = ranked.where(F.col("rec_rank") <= n_top)
     stacks, _ = prepare(flat, s)
     exact = score_pairs(first, stacks, replace(s, method="pdm")).withColumnRenamed("score", "positional")
     both = ranked.join(exact, ["query_id", "cand_id"], "left")

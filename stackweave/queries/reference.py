@@ -12,7 +12,7 @@ from ..functions import frames as fr
 from ..functions import kernels, parsing, text
 from ..functions.instants import DAY_US, day, epoch_us
 from ..operators import candidates as cand
-from ..operators import canonical, docfreq, metrics, pairs, ranking, reports, splits
+from ..operators import canonical, docfreq, metrics, ordered, pairs, ranking, reports, splits
 from ..plans import scoring
 from ..session import materialize
 from ..sources import datasets, recommendations
@@ -145,7 +145,7 @@ def df_stacks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def df_asof(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "query_report").select("chunk_id", "query_ord", "bug_id").where("bug_id is not null").distinct()
-    numbered = materialize(splits.number_rows(asked, ["chunk_id", "query_ord", "bug_id"]).select(F.col("place").alias("query_ord"), "bug_id"), "numbered")
+    numbered = materialize(ordered.number_rows(asked, ["chunk_id", "query_ord", "bug_id"]).select(F.col("place").alias("query_ord"), "bug_id"), "numbered")
     canonical_ = materialize(_reports(spark, folder), "canonical")
     base = cand.universe(canonical_, numbered).join(numbered, "bug_id", "left_anti")
     return docfreq.frequency_at_queries(materialize(_stacks(spark, folder), "stacks"), numbered, base)
@@ -309,19 +309,24 @@ def filter_top_k(spark: SparkSession, folder: str) -> DataFrame:
 # Ranking and metrics.
 
 
-def _ranked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ranked list by prefix score, candidates, reports) of all evaluated queries."""
+def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates by prefix score, candidates, reports) of all evaluated queries."""
     canonical_ = materialize(_reports(spark, folder), "canonical")
     wanted = cand.evaluated(_asked(spark, folder), canonical_)
     asked = materialize(cand.candidates(canonical_, wanted, WINDOW), "candidates")
     cells = pairs.score_cells(asked, materialize(_stacks(spark, folder), "stacks"), kernels.common_prefix)
     scored = pairs.with_missing(asked, pairs.aggregate_cells(cells)).withColumn("score", _six("score"))
+    return scored, asked, canonical_
+
+
+def _ranked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scored, asked, canonical_ = _scored(spark, folder)
     return ranking.rank(scored), asked, canonical_
 
 
 @query
 def rank_top5(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.top(_ranked(spark, folder)[0], 5)
+    return ranking.top(_scored(spark, folder)[0], 5)
 
 
 @query
@@ -333,8 +338,8 @@ def rank_topn_first_hit(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def rank_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Top-five lists with all other candidates appended."""
-    ranked, asked, _ = _ranked(spark, folder)
-    return ranking.repair(materialize(ranking.top(ranked, 5), "top"), asked)
+    scored, asked, _ = _scored(spark, folder)
+    return ranking.repair(materialize(ranking.top(scored, 5), "top"), asked)
 
 
 @query
@@ -345,9 +350,9 @@ def rank_violations(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.violations(listed, cand.candidates(canonical_, _asked(spark, folder), WINDOW), _asked(spark, folder))
 
 
-def _stored_ranking(spark: SparkSession, folder: str) -> DataFrame:
+def _stored_first(spark: SparkSession, folder: str) -> DataFrame:
     stored = recommendations.dense_ranks(table(spark, folder, "recommendation")).where("score is not null")
-    return ranking.rank(stored.groupBy("query_id", "cand_id").agg(F.max("score").alias("score")))
+    return ranking.top(stored.groupBy("query_id", "cand_id").agg(F.max("score").alias("score")), 1)
 
 
 @query
@@ -370,7 +375,7 @@ def metric_rr_mrr(spark: SparkSession, folder: str) -> DataFrame:
 
 def _best(spark: SparkSession, folder: str) -> DataFrame:
     positive = _reports(spark, folder).select(F.col("bug_id").alias("query_id"), F.col("dup_id").isNotNull().alias("positive"))
-    return _stored_ranking(spark, folder).where("rec_rank = 1").join(positive, "query_id").select("score", "positive")
+    return _stored_first(spark, folder).join(positive, "query_id").select("score", "positive")
 
 
 @query
@@ -386,7 +391,7 @@ def metric_auc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def chain_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """Each stored query's first candidate as its predicted bucket, followed to the end."""
-    predicted = _stored_ranking(spark, folder).where("rec_rank = 1").select("query_id", F.col("cand_id").alias("predicted"))
+    predicted = _stored_first(spark, folder).select("query_id", F.col("cand_id").alias("predicted"))
     return metrics.final_bucket(predicted, cand.masters(_reports(spark, folder)))
 
 

@@ -43,7 +43,7 @@ class OnlineScorer:
         frames = flat if old_flat is None else old_flat.unionByName(flat)
         asked = cand.candidates(reports, fresh.select("bug_id"), self.settings.window_days)
         stacks, _ = prepare(frames, self.settings)
-        ranked = ranking.top(ranking.rank(score_pairs(asked, stacks, self.settings)), self.settings.top)
+        ranked = ranking.top(score_pairs(asked, stacks, self.settings), self.settings.top)
         ranked.write.mode("overwrite").parquet(f"{self.out}/batch={number}")
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:

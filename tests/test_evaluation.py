@@ -4,7 +4,7 @@ import pytest
 
 from stackweave.functions.instants import DAY_US
 from stackweave.operators import candidates as cand
-from stackweave.operators import canonical, metrics, pairs, ranking, reports, splits
+from stackweave.operators import canonical, metrics, ordered, pairs, ranking, reports, splits
 from stackweave.plans import scoring, search
 
 REPORT = "bug_id long, dup_id long, bucket long, ts long, label boolean"
@@ -48,7 +48,7 @@ def test_ranking(spark, mini):
     row = metrics.recall_and_mrr(metrics.hit_positions(ranked, masters), 3).first()
     assert (row.queries, row.mrr, row.recall) == (1, 0.5, [0.0, 1.0, 1.0])
     assert [r.cand_id for r in ranking.top_or_first_hit(ranked, masters, 1).orderBy("rec_rank").collect()] == [3, 2]
-    fixed = ranking.repair(ranking.top(ranked, 2), cand.candidates(mini, ids(spark, 5), None))
+    fixed = ranking.repair(ranking.top(scored, 2), cand.candidates(mini, ids(spark, 5), None))
     assert [(r.cand_id, r.rec_rank) for r in fixed.orderBy("rec_rank").collect()] == [(3, 1), (2, 2), (4, 3), (1, 4)]
     problems = ranking.violations(ranked, cand.candidates(mini, ids(spark, 5), 365), ids(spark, 5, 4))
     assert {(r.query_id, r.problem) for r in problems.collect()} == {(5, "foreign candidate"), (4, "no list")}
@@ -139,8 +139,8 @@ def test_splits(spark, timeline):
     assert parts(splits.split_validation(dated, date_us=7 * DAY_US))["validation"] == {7, 8, 9}
     assert parts(splits.chunk(timeline, 12, 4, 2)) == {"test": {12, 13, 14, 15}, "validation": {9, 10, 11}, "training": set(range(9))}
     assert parts(splits.split_fraction(timeline.where("not seen_before"), 0.3)) == {"training": set(range(0, 20, 2))}
-    assert [r.place for r in splits.number_rows(timeline.repartition(5), ["ts"]).orderBy("ts").collect()] == list(range(20))
-    assert splits.number_rows(timeline.limit(0), ["ts"]).count() == 0
+    assert [r.place for r in ordered.number_rows(timeline.repartition(5), ["ts"]).orderBy("ts").collect()] == list(range(20))
+    assert ordered.number_rows(timeline.limit(0), ["ts"]).count() == 0
     assert {r.bug_id for r in splits.not_after(timeline, 2 * DAY_US, 2).collect()} == {0, 1, 2}
     flagged = reports.flag_duplicates(spark.createDataFrame([(1, 1, 5), (2, 1, 4), (3, 3, 1)], "bug_id long, bucket long, ts long"))
     assert {(r.bug_id, r.seen_before) for r in flagged.collect()} == {(1, True), (2, False), (3, False)}
