@@ -11,7 +11,7 @@ MAX_DEPTH = 300
 def canonical_name(name: Column) -> Column:
     """The name without its outermost parentheses, a leading ``GI_`` and leading underscores; null stays null."""
     # The three patterns, in this order.
-    out = F.regexp_replace(name, r"\(.*\)", "")
+    out = F.regexp_replace(name, r"(?d)\(.*\)", "")
     out = F.regexp_replace(out, r"^_*GI_+", "")
     return F.regexp_replace(out, r"^_+", "")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,26 +25,41 @@ FRAME_FORMS = [
 FILE_LINE = r"^([^:]+):(\d+)\s*$"
 AT_FILE_LINE = r"^\s*at\s+([^\s:]+):(\d+)\s*$"
 _FIELDS = ("address", "function", "args", "file", "dylib")
+_MARK, _ABSENT = "\x01", "\x02"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def frame_of(line: Column) -> Column:
-    """One frame ``{form, depth, address, function, args, file, fileline, dylib}``; null if no form fits."""
-    out = F.lit(None)
+    """One frame ``{form, depth, address, function, args, file, fileline, dylib}``; null if no form fits.
+
+    The first form that fits rewrites the line to its fields with marks between them, so each form's pattern runs at most twice.
+    """
+    rewritten = F.lit(None).cast("string")
     for name, pattern, groups in reversed(FRAME_FORMS):
-        fields = [F.regexp_extract(line, pattern, groups[f]).alias(f) if f in groups else F.lit(None).cast("string").alias(f) for f in _FIELDS]
-        out = F.when(line.rlike(pattern), F.struct(F.lit(name).alias("form"), F.regexp_extract(line, pattern, 1).try_cast("int").alias("depth"), *fields)).otherwise(out)
-    split = out["file"].rlike(FILE_LINE)
-    file = F.when(split, F.regexp_extract(out["file"], FILE_LINE, 1)).otherwise(out["file"])
-    number = F.when(split, F.regexp_extract(out["file"], FILE_LINE, 2))
-    made = F.struct(
-        out["form"].alias("form"), out["depth"].alias("depth"), out["address"].alias("address"), out["function"].alias("function"), out["args"].alias("args"),
-        file.alias("file"), number.alias("fileline"), out["dylib"].alias("dylib"),
-    )
-    return F.when(out.isNotNull(), made)
+        fields = [f"${groups[f]}" if f in groups else _ABSENT for f in _FIELDS]
+        rewritten = F.when(line.rlike(pattern), F.regexp_replace(line, pattern, _MARK.join([name, "$1", *fields]))).otherwise(rewritten)
+
+    def parts(p: Column) -> Column:
+        field = {f: F.nullif(F.get(p, F.lit(k + 2)), F.lit(_ABSENT)) for k, f in enumerate(_FIELDS)}
+        split = field["file"].rlike(FILE_LINE)
+        return F.struct(
+            F.get(p, F.lit(0)).alias("form"),
+            F.get(p, F.lit(1)).try_cast("int").alias("depth"),
+            *[field[f].alias(f) for f in ("address", "function", "args")],
+            F.when(split, F.regexp_extract(field["file"], FILE_LINE, 1)).otherwise(field["file"]).alias("file"),
+            F.when(split, F.regexp_extract(field["file"], FILE_LINE, 2)).alias("fileline"),
+            field["dylib"].alias("dylib"),
+        )
+
+    return bind(F.split(rewritten, _MARK), lambda p: F.when(p.isNotNull(), parts(p)))
 
 
 def grouped_lines(text: Column) -> Column:
@@ -97,8 +112,10 @@ def threads_of(text: Column) -> Column:
 
 def top_frames(text: Column) -> Column:
     """``{function, file}`` of each line of a stack top, which has no numbers."""
-    pattern = r"(?m)(.+?) *[(].*?(?: +(?:at|from) +(\S+)|$)"
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"))
+    pattern = F.lit(r"(.+?) *[(].*?(?: +(?:at|from) +(\S+)|$)")
+    # Line by line, for on a line without a parenthesis the pattern is tried from every place.
+    lines = F.filter(F.split(text, "\n"), lambda x: x.contains("("))
+    zipped = F.flatten(F.transform(lines, lambda x: F.arrays_zip(F.regexp_extract_all(x, pattern, F.lit(1)).alias("a"), F.regexp_extract_all(x, pattern, F.lit(2)).alias("b"))))
     return F.transform(zipped, lambda z: F.struct(F.trim(z["a"]).alias("function"), F.when(z["b"] != "", z["b"]).alias("file")))
 
 

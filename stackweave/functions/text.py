@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # ASCII punctuation, and the token of a missing field.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NONE_TOKEN = "NNNOOONNNEEE"
+# Fixed value: Unicode's white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The same as a class of Java's regular expressions.
 _PUNCT = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 # Common English words without meaning of their own.
@@ -124,7 +126,7 @@ def clean_description(t: Column) -> Column:
         r"\w+\s*\([^)]*\)\s*\{",
         r"\w\s*=\snew[^;]+;",
     ):
-        out = F.regexp_replace(out, p, "")
+        out = F.regexp_replace(out, f"(?d){p}", "")
     out = F.regexp_replace(_without_times(out), r"([,:;><!?=_\\/*\-.])\1+", "$1")
     tokens = lambda line: F.size(F.filter(F.split(line, r"\s"), lambda x: x != ""))
     odd = lambda line: F.length(line) - F.length(F.regexp_replace(line, rf"[\p{{N}}{_PUNCT}]", ""))
@@ -145,7 +147,7 @@ def field_or_none(t: Column) -> Column:
 
 
 def stripped_or_empty(t: Column) -> Column:
-    return F.coalesce(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.coalesce(F.trim(t, F.lit(WHITE_SPACE)), F.lit(""))
 
 
 #: Token filters by name.

@@ -62,11 +62,11 @@ def distinct_stacks(stacks: DataFrame) -> DataFrame:
 
 
 def remove_recursion(stacks: DataFrame, mode: str | None, keep_unknown: bool = False) -> DataFrame:
-    """``brodie`` collapses repeats, ``modani`` jumps past recursions, None leaves stacks as they are."""
+    """``repeats`` collapses repeats, ``jumps`` jumps past recursions, None leaves stacks as they are."""
     if mode is None:
         return stacks
     unknown = fr.unknown_token(F.col("bug_id"), keep_unknown)
-    done = {"brodie": fr.collapse_repeats, "modani": fr.skip_recursion}[mode](F.col("tokens"), unknown)
+    done = {"repeats": fr.collapse_repeats, "jumps": fr.skip_recursion}[mode](F.col("tokens"), unknown)
     return stacks.withColumn("tokens", done)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE_SPACE
 from ..joins import join_unique
 from ..session import work_path
 
@@ -71,7 +72,7 @@ def parse_dictionary(distinct: DataFrame, text: str, home_zone: str, date_order:
     ``mdy`` leaves dates with the year last unreadable.
     """
     spark = distinct.sparkSession
-    clean = F.lower(F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    clean = F.lower(F.trim(F.col(text), F.lit(WHITE_SPACE)))
     df = distinct.withColumn("__t", clean)
     t = F.col("__t")
     form = F.lit(None).cast("string")

@@ -16,13 +16,13 @@ from ..session import materialize
 
 #: Methods by name: (kernel or builder, whether it weighs tokens by document frequency).
 METHODS: dict[str, tuple[Callable, bool]] = {
-    "trace_sim": (lambda **p: kernels.weighted_kernel(partial(kernels.weighted_alignment, p=kernels.Weighted(**p))), True),
-    "brodie_05": (lambda **p: kernels.weighted_kernel(partial(kernels.linear_alignment, **p)), True),
-    "opt_align": (lambda **p: kernels.pair_kernel(partial(kernels.optimal_alignment, **p)), False),
-    "damerau": (lambda **p: kernels.pair_kernel(partial(kernels.edit_similarity, **p)), False),
-    "pdm": (lambda **p: kernels.pair_kernel(partial(kernels.positional_similarity, **p)), False),
-    "prefix_match": (lambda **p: kernels.common_prefix, False),
-    "crash_graph": (lambda **p: kernels.pair_kernel(kernels.merge_overlap), False),
+    "weighted": (lambda **p: kernels.weighted_kernel(partial(kernels.weighted_alignment, p=kernels.Weighted(**p))), True),
+    "linear": (lambda **p: kernels.weighted_kernel(partial(kernels.linear_alignment, **p)), True),
+    "alignment": (lambda **p: kernels.pair_kernel(partial(kernels.optimal_alignment, **p)), False),
+    "edit": (lambda **p: kernels.pair_kernel(partial(kernels.edit_similarity, **p)), False),
+    "positional": (lambda **p: kernels.pair_kernel(partial(kernels.positional_similarity, **p)), False),
+    "prefix": (lambda **p: kernels.common_prefix, False),
+    "merge": (lambda **p: kernels.pair_kernel(kernels.merge_overlap), False),
 }
 
 
@@ -30,7 +30,7 @@ METHODS: dict[str, tuple[Callable, bool]] = {
 class Settings:
     """Knobs that all methods share; ``params`` are the method's own."""
 
-    method: str = "prefix_match"
+    method: str = "prefix"
     params: dict = field(default_factory=dict)
     aggregate: str = "max"
     window_days: int | None = 730
@@ -75,7 +75,7 @@ def score_pairs(asked: DataFrame, stacks: DataFrame, s: Settings) -> DataFrame:
     """``query_id, cand_id, score`` of all asked pairs, the missing score where a side has no stack left."""
     build, weighted = METHODS[s.method]
     kernel: Callable[..., Column] = build(**s.params)
-    scored = pairs.aggregate_cells(pairs.score_cells(asked, stacks, kernel, weighted, s.method != "crash_graph"), s.aggregate)
+    scored = pairs.aggregate_cells(pairs.score_cells(asked, stacks, kernel, weighted, s.method != "merge"), s.aggregate)
     return pairs.with_missing(asked, scored)
 
 
@@ -101,7 +101,7 @@ def evaluate(canonical: DataFrame, flat: DataFrame, queries: DataFrame, s: Setti
     wanted = cand.evaluated(queries.select("bug_id").distinct(), canonical)
     asked = materialize(cand.candidates(cand.universe(canonical, wanted), wanted, s.window_days), "candidates")
     stacks, _ = prepare(flat, s)
-    if s.method == "durfex":
+    if s.method == "bag":
         scored = score_bags(asked, stacks, stacks.select("bug_id").distinct().agg(F.count("*")).scalar(), s.n_gram)
     else:
         scored = score_pairs(asked, stacks, s)
@@ -120,7 +120,7 @@ def evaluate_two_stage(canonical: DataFrame, flat: DataFrame, text_scores: DataF
     ranked = materialize(ranking.rank(text_scores), "text-ranked")
     first = ranked.where(F.col("rec_rank") <= n_top)
     stacks, _ = prepare(flat, s)
-    exact = score_pairs(first, stacks, replace(s, method="pdm")).withColumnRenamed("score", "positional")
+    exact = score_pairs(first, stacks, replace(s, method="positional")).withColumnRenamed("score", "positional")
     both = ranked.join(exact, ["query_id", "cand_id"], "left")
     blended = F.when(F.col("positional").isNotNull(), kernels.blend(F.col("score"), F.col("positional"), alpha))
     return both.select("query_id", "cand_id", F.coalesce(blended, F.lit(pairs.NOT_RANKED)).alias("score"))

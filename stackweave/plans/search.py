@@ -20,21 +20,21 @@ _SHARED = {
     "distinct_stacks": [False, True],
     "frequency_by_stack": [False, True],
     "trim_percent": (0.0, 130.0),
-    "recursion": [None, "modani", "brodie"],
+    "recursion": [None, "jumps", "repeats"],
 }
 _UNKNOWN = {"keep_unknown": [False, True], "frequency_of_unknown": [None, 99.999]}
 _WEIGHTED = {"df_coef": (0.0, 100.0), "pos_coef": (0.0, 30.0), "diff_coef": (0.0, 30.0)}
 SPACES: dict[str, dict[str, dict]] = {
-    "trace_sim": {"shared": _SHARED, "own": _WEIGHTED},
-    "trace_sim_no_place": {"shared": _SHARED, "own": _WEIGHTED | {"diff_coef": [0.0]}},
-    "trace_sim_no_global": {"shared": _SHARED, "own": _WEIGHTED | {"df_coef": [0.0]}},
-    "trace_sim_no_local": {"shared": _SHARED, "own": _WEIGHTED | {"pos_coef": [0.0]}},
-    "trace_sim_no_norm": {"shared": _SHARED, "own": _WEIGHTED | {"no_norm": [True]}},
-    "brodie_05": {"shared": _SHARED, "own": {"gap": _HALVES, "coef_gap": [1.0], "mismatch": [0.0]}},
-    "opt_align": {"shared": _SHARED, "own": {"indel": _HALVES, "mismatch": _HALVES, "match": [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]}},
-    "pdm": {"shared": _SHARED, "own": {"c": (0.0, 30.0), "o": (0.0, 30.0)}},
-    "prefix_match": {"shared": _SHARED, "own": {}},
-    "durfex": {"shared": {"n_gram": list(range(1, 8)), "keep_unknown": [True]}, "own": {}},
+    "weighted": {"shared": _SHARED, "own": _WEIGHTED},
+    "weighted_no_place": {"shared": _SHARED, "own": _WEIGHTED | {"diff_coef": [0.0]}},
+    "weighted_no_global": {"shared": _SHARED, "own": _WEIGHTED | {"df_coef": [0.0]}},
+    "weighted_no_local": {"shared": _SHARED, "own": _WEIGHTED | {"pos_coef": [0.0]}},
+    "weighted_no_norm": {"shared": _SHARED, "own": _WEIGHTED | {"no_norm": [True]}},
+    "linear": {"shared": _SHARED, "own": {"gap": _HALVES, "coef_gap": [1.0], "mismatch": [0.0]}},
+    "alignment": {"shared": _SHARED, "own": {"indel": _HALVES, "mismatch": _HALVES, "match": [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]}},
+    "positional": {"shared": _SHARED, "own": {"c": (0.0, 30.0), "o": (0.0, 30.0)}},
+    "prefix": {"shared": _SHARED, "own": {}},
+    "bag": {"shared": {"n_gram": list(range(1, 8)), "keep_unknown": [True]}, "own": {}},
 }
 
 

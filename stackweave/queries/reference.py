@@ -120,13 +120,13 @@ def depth_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def recursion_brodie(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.remove_recursion(_stacks(spark, folder), "brodie")
+def recursion_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.remove_recursion(_stacks(spark, folder), "repeats")
 
 
 @query
-def recursion_modani(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.remove_recursion(_stacks(spark, folder), "modani")
+def recursion_jumps(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.remove_recursion(_stacks(spark, folder), "jumps")
 
 
 # Document frequencies and bags.
@@ -227,23 +227,23 @@ def _pair_query(name: str, make: Callable[[], Callable[..., Column]], weighted:
 
 
 _pair_query("sim_prefix", lambda: kernels.common_prefix)
-_pair_query("sim_crash_graph", lambda: lambda q, c: kernels.multiset_overlap(q, c))
-_pair_query("sim_crash_graph_merge", lambda: lambda q, c: kernels.pair_kernel(kernels.merge_overlap)(F.array_sort(q), F.array_sort(c)), coded=False)
+_pair_query("sim_overlap", lambda: lambda q, c: kernels.multiset_overlap(q, c))
+_pair_query("sim_overlap_merge", lambda: lambda q, c: kernels.pair_kernel(kernels.merge_overlap)(F.array_sort(q), F.array_sort(c)), coded=False)
 _pair_query("sim_nw", lambda: kernels.pair_kernel(partial(kernels.optimal_alignment, indel=0.5, mismatch=1.0, match=2.0)))
-_pair_query("sim_pdm", lambda: kernels.pair_kernel(kernels.positional_similarity))
+_pair_query("sim_positional", lambda: kernels.pair_kernel(kernels.positional_similarity))
 _pair_query("sim_dl", lambda: kernels.pair_kernel(kernels.edit_similarity))
 _pair_query("sim_levenshtein", lambda: kernels.pair_kernel(partial(kernels.edit_similarity, transpositions=False)))
-_pair_query("sim_brodie", lambda: kernels.weighted_kernel(kernels.linear_alignment), True)
-TRACE_SETTINGS: dict[str, dict] = {
+_pair_query("sim_linear", lambda: kernels.weighted_kernel(kernels.linear_alignment), True)
+WEIGHTED_SETTINGS: dict[str, dict] = {
     "default": {}, "exponential": {"reciprocal": False}, "no_sum": {"total": False}, "no_norm": {"no_norm": True},
     "const": {"const_match": True, "const_gap": True, "const_mismatch": True}, "sigmoid": {"sigmoid": True}, "sigmoid_idf": {"sigmoid": True, "idf": True}, "linear": {"linear": True},
 }
-for _name, _given in TRACE_SETTINGS.items():
-    _pair_query(f"sim_trace_{_name}", lambda given=_given: kernels.weighted_kernel(partial(kernels.weighted_alignment, p=kernels.Weighted(**given))), True)
+for _name, _given in WEIGHTED_SETTINGS.items():
+    _pair_query(f"sim_weighted_{_name}", lambda given=_given: kernels.weighted_kernel(partial(kernels.weighted_alignment, p=kernels.Weighted(**given))), True)
 
 
 @query
-def sim_bartz(spark: SparkSession, folder: str) -> DataFrame:
+def sim_modules(spark: SparkSession, folder: str) -> DataFrame:
     """Module-aware distance; modules are namespaces, functions what is left of the name."""
     stacks = _stacks(spark, folder)
     unknown = lambda t: t.startswith("??")
@@ -516,7 +516,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def parse_gdb(spark: SparkSession, folder: str) -> DataFrame:
     lines = _documents(spark, folder).select("doc_id", F.posexplode(parsing.lines_of(F.col("text"))).alias("line_no", "line")).where(F.col("line").startswith("#"))
-    return lines.withColumn("f", parsing.frame_of(F.col("line"))).where("f is not null").select("doc_id", "line_no", "f.*")
+    # A generator, for a filter on the parsed column would parse each line twice.
+    return lines.select("doc_id", "line_no", F.inline(F.array_compact(F.array(parsing.frame_of(F.col("line"))))))
 
 
 @query
@@ -632,10 +633,10 @@ def _evaluation(s: scoring.Settings) -> Query:
     return run
 
 
-_TRIMMED = {"window_days": 90, "trim_percent": 20.0, "recursion": "brodie"}
+_TRIMMED = {"window_days": 90, "trim_percent": 20.0, "recursion": "repeats"}
 for _name, _s in {
-    "eval_prefix_match": scoring.Settings("prefix_match", window_days=WINDOW), "eval_trace_sim": scoring.Settings("trace_sim", **_TRIMMED), "eval_brodie_05": scoring.Settings("brodie_05", **_TRIMMED),
-    "eval_opt_align": scoring.Settings("opt_align", **_TRIMMED), "eval_damerau": scoring.Settings("damerau", **_TRIMMED), "eval_pdm": scoring.Settings("pdm", **_TRIMMED),
-    "eval_durfex": scoring.Settings("durfex", window_days=90, n_gram=2),
+    "eval_prefix": scoring.Settings("prefix", window_days=WINDOW), "eval_weighted": scoring.Settings("weighted", **_TRIMMED), "eval_linear": scoring.Settings("linear", **_TRIMMED),
+    "eval_alignment": scoring.Settings("alignment", **_TRIMMED), "eval_edit": scoring.Settings("edit", **_TRIMMED), "eval_positional": scoring.Settings("positional", **_TRIMMED),
+    "eval_bag": scoring.Settings("bag", window_days=90, n_gram=2),
 }.items():
     _add(_name, _evaluation(_s))

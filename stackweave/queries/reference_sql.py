@@ -67,7 +67,7 @@ def _edit(transpose: bool) -> str:
     return _unweighted([real, worst], "case when worst.v = 0 then 0 else 1 - real.v / worst.v end", "join real using (id) join worst using (id)")
 
 
-def _trace(reciprocal: bool = True, total: bool = True, no_norm: bool = False, const: bool = False, sigmoid: bool = False, idf: bool = False, linear: bool = False) -> str:
+def _weighted_sql(reciprocal: bool = True, total: bool = True, no_norm: bool = False, const: bool = False, sigmoid: bool = False, idf: bool = False, linear: bool = False) -> str:
     local = "1 / (k + 1) ** 0.5" if reciprocal else "exp(-0.5 * k)"
     x = "ln(100 / case when {d}[k + 1] = 0 then 100 else {d}[k + 1] end)" if idf else "{d}[k + 1]"
     shared = f"exp(-0.1 * {x})"
@@ -209,8 +209,8 @@ select doc_id, case when len(packages) > 0 then packages else ['@@@' || doc_id |
     "depth_segments": """with o as (select distinct bug_id, stack_no::bigint * 100000 + depth as place, depth from stack_frame),
 m as (select *, case when depth > lag(depth) over w or lag(depth) over w is null then 0 else 1 end as fresh from o window w as (partition by bug_id order by place))
 select bug_id, place, depth, (sum(fresh) over (partition by bug_id order by place))::int as segment from m""",
-    "recursion_brodie": f"""with {_stacks()} select bug_id, stack_no, list_transform(list_filter(range(1, len(tokens) + 1), lambda i: i = 1 or tokens[i] = '??' || bug_id or tokens[i] <> tokens[i - 1]), lambda i: tokens[i]) as tokens from stacks""",
-    "recursion_modani": f"""with recursive {_stacks()}, w as (
+    "recursion_repeats": f"""with {_stacks()} select bug_id, stack_no, list_transform(list_filter(range(1, len(tokens) + 1), lambda i: i = 1 or tokens[i] = '??' || bug_id or tokens[i] <> tokens[i - 1]), lambda i: tokens[i]) as tokens from stacks""",
+    "recursion_jumps": f"""with recursive {_stacks()}, w as (
   select bug_id, stack_no, tokens, 1 as pos, []::varchar[] as done from stacks
   union all
   select bug_id, stack_no, tokens, case when tokens[pos] = '??' || bug_id then pos + 1 else len(tokens) - list_position(list_reverse(tokens), tokens[pos]) + 2 end, list_append(done, tokens[pos]) from w where pos <= len(tokens))
@@ -250,7 +250,7 @@ select doc_id, term, round(w / norm, 6) as weight from w join n using (doc_id) w
     "cands_universe": f"with {_REPORTS}, {_ASKED} select bug_id, ts from reports where (ts, bug_id) <= (select max((ts, bug_id)) from reports where bug_id in (select bug_id from asked))",
     "queries_evaluated": f"with {_REPORTS}, {_ASKED}, {_EVALUATED} select * from evaluated",
     "sim_prefix": f"with {_stacks()}, {_LISTED}, {_CELLS} select {_OUT}, round({_PREFIX}, 6) as score from cells",
-    "sim_crash_graph": f"""with {_stacks()}, {_LISTED}, {_CELLS} select {_OUT}, round(list_sum(list_transform(list_distinct(q), lambda t: least(len(list_filter(q, lambda x: x = t)), len(list_filter(c, lambda x: x = t)))))::double / least(len(q), len(c)), 6) as score from cells""",
+    "sim_overlap": f"""with {_stacks()}, {_LISTED}, {_CELLS} select {_OUT}, round(list_sum(list_transform(list_distinct(q), lambda t: least(len(list_filter(q, lambda x: x = t)), len(list_filter(c, lambda x: x = t)))))::double / least(len(q), len(c)), 6) as score from cells""",
     "sim_nw": _unweighted(
         [
             _programme("real", "cells", _linear_row("-0.5"), "-0.5 * ($i + 1)", "greatest($up - 0.5, $lf - 0.5, $dg + case when $eq then 2 else -1 end)"),
@@ -259,24 +259,24 @@ select doc_id, term, round(w / norm, 6) as weight from w join n using (doc_id) w
         "case when least(len(t.q), len(t.c)) * 2 = low.v then 0 else (real.v - low.v) / (least(len(t.q), len(t.c)) * 2 - low.v) end",
         "join real using (id) join low using (id)",
     ),
-    "sim_pdm": _unweighted(
+    "sim_positional": _unweighted(
         [_programme("real", "cells", _linear_row("0"), "0", "greatest($up, $lf, $dg + case when $eq then exp(-0.1 * least($i, $j)) * exp(-0.2 * abs($i - $j)) else 0 end)")],
         "real.v / list_sum(list_transform(range(0, least(len(t.q), len(t.c))), lambda k: exp(-0.1 * k)))",
         "join real using (id)",
     ),
     "sim_dl": _edit(True),
     "sim_levenshtein": _edit(False),
-    "sim_brodie": f"""with recursive {_stacks()}, {_DF}, {_LISTED}, {_WEIGHED_CELLS}, {_programme(
+    "sim_linear": f"""with recursive {_stacks()}, {_DF}, {_LISTED}, {_WEIGHED_CELLS}, {_programme(
         "real", "cells", _linear_row("-0.5"), "-0.5 * ($i + 1)", "greatest($up - 0.5, $lf - 0.5, $dg + case when $eq then (1 - t.dq[p.i + 1] / 100) * (1 - p.i::double / len(t.q)) * exp(-abs($i - $j) / 2.0) else 0 end)"
     )} select {_OUT}, round(real.v, 6) as score from cells join real using (id)""",
-    "sim_trace_default": _trace(),
-    "sim_trace_exponential": _trace(reciprocal=False),
-    "sim_trace_no_sum": _trace(total=False),
-    "sim_trace_no_norm": _trace(no_norm=True),
-    "sim_trace_const": _trace(const=True),
-    "sim_trace_sigmoid": _trace(sigmoid=True),
-    "sim_trace_sigmoid_idf": _trace(sigmoid=True, idf=True),
-    "sim_trace_linear": _trace(linear=True),
+    "sim_weighted_default": _weighted_sql(),
+    "sim_weighted_exponential": _weighted_sql(reciprocal=False),
+    "sim_weighted_no_sum": _weighted_sql(total=False),
+    "sim_weighted_no_norm": _weighted_sql(no_norm=True),
+    "sim_weighted_const": _weighted_sql(const=True),
+    "sim_weighted_sigmoid": _weighted_sql(sigmoid=True),
+    "sim_weighted_sigmoid_idf": _weighted_sql(sigmoid=True, idf=True),
+    "sim_weighted_linear": _weighted_sql(linear=True),
     "sim_bow": f"""with {_stacks()}, {_LISTED}, g as (
   select bug_id, token as term from tok
   union all select a.bug_id, a.token || chr(10) || b.token from tok a join tok b on a.bug_id = b.bug_id and a.stack_no = b.stack_no and b.depth = a.depth + 1),
@@ -392,8 +392,8 @@ select bug_id, a[2] as doc_id from f join reports using (bug_id) where a[1] - ts
 select chunk_id as chunk, array_to_string(list(bug_id::varchar order by query_ord, bug_id), ' ') as ids,
   coalesce(array_to_string(list(bug_id::varchar order by query_ord, bug_id) filter (is_duplicate), ' '), '') as duplicates from r group by chunk_id""",
 }
-SQL["sim_crash_graph_merge"] = SQL["sim_crash_graph"]
-SQL["eval_prefix_match"] = (
+SQL["sim_overlap_merge"] = SQL["sim_overlap"]
+SQL["eval_prefix"] = (
     f"with {_POSITIONS} select count(*) as queries, round(avg(coalesce(1.0 / position, 0)), 6) as mrr, "
     "round(avg(coalesce((position <= 1)::int::double, 0)), 6) as recall_1, round(avg(coalesce((position <= 10)::int::double, 0)), 6) as recall_10 from positions"
 )
@@ -417,10 +417,46 @@ _SUBSTITUTE = f"case when not {_M('p.i + 1', 'j')} then 1 when t.qf[p.i + 1] <>
 _SPLIT = lambda x: f"string_split({x}, '::')"
 _MODULE = f"case when starts_with(x, '??') then '' else coalesce(case when len({_SPLIT('x')}) > 1 then array_to_string({_SPLIT('x')}[1 : len({_SPLIT('x')}) - 1], '::') end, '') end"
 _INNER = f"case when starts_with(x, '??') then '' else {_CANON.format(x=_SPLIT('x') + '[-1]')} end"
-SQL["sim_bartz"] = f"""with recursive {_stacks()}, {_LISTED},
+SQL["sim_modules"] = f"""with recursive {_stacks()}, {_LISTED},
 both_ as (select bug_id, stack_no, list_transform(tokens, lambda x: {_MODULE}) as m, list_transform(tokens, lambda x: {_INNER}) as f from stacks),
 cells as (select row_number() over () as id, query_id, cand_id, a.stack_no as q_stack, b.stack_no as c_stack, a.m as q, b.m as c, a.f as qf, b.f as cf
   from listed join both_ a on a.bug_id = query_id join both_ b on b.bug_id = cand_id),
 {_programme("real", "cells", _linear_row("1"), "$i + 1", f"least($up + {_DELETE}, $lf + {_INSERT}, $dg + {_SUBSTITUTE})")},
 {_programme("worst", "cells", _linear_row("1"), "$i + 1", "least($up + 1, $lf + 1, $dg + 1)")}
 select {_OUT}, round(case when worst.v = 0 then 0 else real.v / worst.v end, 6) as score from cells join real using (id) join worst using (id)"""
+SQL["parse_locations"] = rf"""with {_LINES}, n as (select *, sum(starts_with(line, '#')::int) over (partition by doc_id order by line_no) as g from lines),
+bad as (select distinct doc_id from lines where starts_with(line, 'rax')),
+t as (select doc_id, (g - 1)::int as group_no, string_agg(line, chr(10) order by line_no) as t from n where g > 0 and doc_id not in (select doc_id from bad) group by all),
+l as (select *, list_filter(list_transform(regexp_extract_all(t, 'from +(\S+)', 1), lambda x: regexp_replace(x, '\?$', '')), lambda x: regexp_matches(x, '\.(?:so|hr)(?:\.[0-9]+d?)*$'))[1] as dylib,
+  list_filter(regexp_extract_all(t, 'at +(\S+)', 1), lambda x: regexp_matches(regexp_replace(x, ':.*$', ''), '\.(?:c|tcc|cpp|h|hpp|m|moc|xs|xsi|S|cc)$|(?:ostream|iostream)$'))[1] as f from t),
+r as (select doc_id, group_no, dylib, case when dylib is null then f end as f from l)
+select doc_id, group_no, dylib, regexp_replace(f, ':.*$', '') as file, try_cast(regexp_extract(f, ':([0-9]+)', 1) as int) as fileline from r where dylib is not null or f is not null"""
+
+
+def _marks_once(x: str, marks: str) -> str:
+    for mark in marks:
+        inside = {"\\": "\\\\", "]": "\\]", "[": "\\[", "^": "\\^", "'": "''"}.get(mark, mark)
+        put = {"\\": "\\\\", "'": "''"}.get(mark, mark)
+        x = f"regexp_replace({x}, '[{inside}]{{2,}}', '{put}', 'g')"
+    return x
+
+
+def _without_times(x: str) -> str:
+    x = f"regexp_replace({x}, '[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}', '', 'g')"
+    return f"regexp_replace({x}, '[0-9]{{1,4}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]{{1,4}}-[0-9]{{1,2}}-[0-9]{{2,4}}', '', 'g')"
+
+
+_ALL_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SQL["text_soft"] = _text(f"regexp_replace({_without_times(_marks_once('text', _ALL_MARKS))}, '([{_PUNCT}])', ' \\1 ', 'g')")
+_clean = "text"
+for _code in (
+    r"(?:(?:public|private)\s*)?class\s+\w+(?:\s+extends\s+\w+)?(?:\s+implements\s+[\w,\s]+)?\s+\{(?:\s*\})?",
+    r"if\s*\(.*\{",
+    r"\w+\s*\([^)]*\)\s*\{",
+    r"\w\s*=\snew[^;]+;",
+):
+    _clean = f"regexp_replace({_clean}, '{_code}', '', 'g')"
+_clean = _marks_once(_without_times(_clean), ",:;><!?=_\\/*-.")
+_KEPT = f"length(l) >= 10 and len(list_filter(regexp_split_to_array(l, '[\\s\\x0B]'), lambda w: w <> '')) >= 5 and {_odd('l')}::double / greatest(length(l), 1) <= 0.2"
+SQL["text_clean"] = f"""with {_DOCS}, c as (select doc_id, string_split({_clean}, chr(10)) as ls from docs)
+select doc_id, coalesce(array_to_string(list_transform(list_filter(ls, lambda l: {_KEPT}), lambda l: l || chr(10)), ''), '') as out from c"""

@@ -152,18 +152,18 @@ FLAT = "bug_id long, stack_no int, depth int, function string"
 def test_evaluation_and_search(spark, mini):
     flat = spark.createDataFrame([(b, 0, d, f) for b, fs in {1: "abc", 2: "abc", 3: "xyz", 4: "xya", 5: "abd"}.items() for d, f in enumerate(fs)], FLAT)
     queries = ids(spark, 4, 5)
-    for method in ("prefix_match", "trace_sim", "brodie_05", "opt_align", "damerau", "pdm", "crash_graph", "durfex"):
+    for method in ("prefix", "weighted", "linear", "alignment", "edit", "positional", "merge", "bag"):
         run = scoring.evaluate(mini, flat, queries, scoring.Settings(method, window_days=None))
         row = run.recall.first()
         assert (row.queries, row.mrr, row.recall[0]) == (2, 1.0, 1.0), method
     measure = search.measure_with(mini, flat, queries)
-    drawn = list(search.run_search(search.random_settings("pdm", scoring.Settings(window_days=None), 5), 2, measure))
+    drawn = list(search.run_search(search.random_settings("positional", scoring.Settings(window_days=None), 5), 2, measure))
     assert len(drawn) == 2 and drawn[0][0] <= drawn[1][0]
-    assert next(search.random_settings("pdm", scoring.Settings(), 5)) == next(search.random_settings("pdm", scoring.Settings(), 5))
-    assert len(list(search.grid_settings("durfex", scoring.Settings()))) == 7
+    assert next(search.random_settings("positional", scoring.Settings(), 5)) == next(search.random_settings("positional", scoring.Settings(), 5))
+    assert len(list(search.grid_settings("bag", scoring.Settings()))) == 7
     with pytest.raises(ValueError):
-        next(search.grid_settings("pdm", scoring.Settings()))
-    stored = search.stored_settings('{"0": {"c": 1.5, "aggregate": "avg_query"}}', scoring.Settings("pdm"))
+        next(search.grid_settings("positional", scoring.Settings()))
+    stored = search.stored_settings('{"0": {"c": 1.5, "aggregate": "avg_query"}}', scoring.Settings("positional"))
     assert stored["0"].params == {"c": 1.5} and stored["0"].aggregate == "avg_query"
     texts = spark.createDataFrame([(5, 1, 0.5), (5, 2, 0.4), (5, 3, 0.3)], SCORED)
     blended = {r.cand_id: r.score for r in scoring.evaluate_two_stage(mini, flat, texts, 0.5, 2, scoring.Settings(params={"c": 0.0, "o": 0.0})).collect()}

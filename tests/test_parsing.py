@@ -43,9 +43,9 @@ def test_groups(spark):
     assert one(spark, p.grouped_lines, "") == [] and one(spark, p.grouped_lines, None) is None
 
 
-LONG = """#0 0xb78a9b5d in IA__g_object_notify (object=0x9133590,
+LONG = """#0 0xb78a9b5d in tree_notify_all (node=0x9133590,
    more)
-#1 0x00002b88b1a23599 in lucene::util::Compare::Char::operator() () from /usr/lib/libclucene.so.0
+#1 0x00002b88b1a23599 in idx::util::Order::Text::operator() () from /usr/lib/libidx.so.0
 #3 <signal handler called>
 #4 0x0 in main () at main.c:3
 #0 0x1 in second () at b.c:1"""
@@ -53,8 +53,8 @@ LONG = """#0 0xb78a9b5d in IA__g_object_notify (object=0x9133590,
 
 def test_long_frames(spark):
     got = [tuple(f) for f in one(spark, p.long_frames, LONG)]
-    assert [(n, f) for n, f, _ in got] == [(0, "IA__g_object_notify"), (1, "lucene::util::Compare::Char::operator"), (2, None), (3, "<signal handler called>"), (4, "main")]
-    assert got[1][2] == "/usr/lib/libclucene.so.0" and got[4][2] == "main.c:3"
+    assert [(n, f) for n, f, _ in got] == [(0, "tree_notify_all"), (1, "idx::util::Order::Text::operator"), (2, None), (3, "<signal handler called>"), (4, "main")]
+    assert got[1][2] == "/usr/lib/libidx.so.0" and got[4][2] == "main.c:3"
     assert one(spark, p.long_frames, "nothing") == [] and one(spark, p.long_frames, "#99999999 f (a)")[0].number == 99999999
 
 

@@ -12,7 +12,7 @@ def report(bug_id, dup_id, day, functions):
 
 
 def test_batches_score_against_earlier_reports(spark, tmp_path):
-    scorer = OnlineScorer(spark, str(tmp_path / "state"), str(tmp_path / "out"), Settings("prefix_match", window_days=None, top=2))
+    scorer = OnlineScorer(spark, str(tmp_path / "state"), str(tmp_path / "out"), Settings("prefix", window_days=None, top=2))
     for k, batch in enumerate([[report(1, None, 0, "abc"), report(2, None, 1, "xyz")], [report(3, 1, 2, "abd")]]):
         spark.createDataFrame(batch, SCHEMA).write.parquet(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in/0"))

@@ -17,8 +17,8 @@ def one(spark, column, value, kind="string"):
         (t.module_function, "org.ab.run()", "#MODULE_FUNCTION"), (t.module_function, "plain", "plain"), (t.url, "http://x.y/z", "#URL"), (t.url, "www.q", "#URL"), (t.url, "site.org/a?b", "#URL"), (t.url, "a.b", "a.b"),
         (t.collapse_punctuation, "!!!!", "!"), (t.collapse_punctuation, "......", "..."), (t.collapse_punctuation, "..", "."), (t.collapse_punctuation, "-----", "--"), (t.collapse_punctuation, "\\\\", "\\"), (t.collapse_punctuation, "a!!", "a!!"),
         (t.drop_punctuation, "a]b\\c-d", "abcd"), (t.strip_punctuation, "12(abc)!", "abc"), (t.drop_unusual, "ab1", ""), (t.drop_unusual, "abcde1", "abcde1"), (t.drop_unusual, "", ""),
-        (t.whitespace_tokens, " a b\n c ", ["a", "b", "c"]), (t.whitespace_tokens, "", []), (t.alphanumeric_tokens, "hello world, org.eclipse_x é", ["hello", "world", "org", "eclipse", "x", "é"]),
-        (t.camel_tokens, "PluginClassHandler<GridWindow, CompWindow, 0>::get", ["Plugin", "Class", "Handler", "<", "Grid", "Window", ",", "Comp", "Window", ",", "0", ">", "::", "get"]),
+        (t.whitespace_tokens, " a b\n c ", ["a", "b", "c"]), (t.whitespace_tokens, "", []), (t.alphanumeric_tokens, "hello world, org.site_x é", ["hello", "world", "org", "site", "x", "é"]),
+        (t.camel_tokens, "TileCacheMap<PageKey, 0>::find", ["Tile", "Cache", "Map", "<", "Page", "Key", ",", "0", ">", "::", "find"]),
         (t.camel_tokens, "IPQu 123a $$,", ["IP", "Qu", "123", "a", "$$", ","]), (t.word_tokens, "It doesn't work, v1.2!", ["It", "does", "n't", "work", ",", "v1", ".", "2", "!"]),
         (t.field_or_none, None, "NNNOOONNNEEE"), (t.stripped_or_empty, None, ""), (t.stripped_or_empty, "  a ", "a"), (t.lower_case, None, None),
         (t.soft_clean, "a!!b 12:30:45 2010-1-02", "a ! b  "), (lambda x: t.soft_clean(x, True, True), "a1!b", "a b"),

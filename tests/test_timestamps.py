@@ -69,7 +69,7 @@ CASES = [
     ("2014-07-01 12:00:00", 4, None),
     ("2014-07-01 12:00:00", 5, None),
     ("2014-07-01 12:00:00Z", 5, us(2014, 7, 1, 12)),
-    ("yesterday", 1, None), ("", 1, None), ("   ", 1, None), (None, 1, None), ("2014-07-01", None, None), ("2014-07-01", 99, None), ("x" * 100_000, 1, None),
+    ("yesterday", 1, None), ("", 1, None), ("   ", 1, None), (None, 1, None), ("2014-07-01", None, None), ("2014-07-01", 99, None), ("x" * 100_000, 1, None), (" " * 300_000 + "x" + " " * 300_000 + "x", 1, None),
 ]
 
 
