@@ -47,4 +47,10 @@ select ngram, count(*) as occurrences, count(distinct bug_id) as records from gr
 step as (
   select *, depth - row_number() over (partition by bug_id, stack_no, term order by depth) as run from term where term is not null)
 select bug_id, stack_no, min(depth) as first_depth, max(depth) as last_depth from step group by bug_id, stack_no, term, run having count(*) > 1""",
+    "p9_found": r"""with w as (
+  select doc_id, null::bigint as item_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z!][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') as w from documents where text is not null
+  union all
+  select null, item_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z!][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') from eval_item where text is not null),
+g as (select doc_id, item_id, array_to_string(w[i : i + 12], ' ') as g from w, unnest(range(1, len(w) - 11)) as t(i))
+select distinct a.doc_id, b.item_id from g a join g b using (g) where a.doc_id is not null and b.item_id is not null""",
 }

@@ -48,7 +48,7 @@ _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _BREAK = re.compile("\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]")
 _QUOTE = re.compile(r"^(?:\s*>)+\s?")
 _WORD = re.compile(r"[^\W_]+")
-_LINK = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)\S+|^(?:[a-z0-9-]+\.)+[a-z]{2,}/\S*$", re.I)
+_HOST = re.compile(r"(?:[a-z0-9-]+\.)+[a-z]{2,}/", re.I)
 _HASH = re.compile(r"^#[^\W\d]\w*")
 _MODEL = re.compile(r"^(?=\w*\d)(?=\w*[A-Z])[A-Z0-9]{3,10}$")
 _CODE = re.compile(r"::|\w\(|\(\)|\w_\w|0x[0-9a-f]+|^[./~]|[\w)]/\w|\.\w+:\d+|=|\w\.so\b|^[\[(]?\d", re.I)
@@ -69,7 +69,9 @@ def _chunk(c: str) -> tuple[int, str, int]:
     """(words, term, kinds) of a piece of text without blanks."""
     words = len(_WORD.findall(c))
     term = c.strip(".,;:!?()[]{}\"'|*#<>/-–—·•").lower()
-    link = bool(_LINK.search(c))
+    # Searched for in this way, for a pattern would be tried from every place of a long chunk.
+    scheme, www = c.find("://"), c.lower().find("www.")
+    link = scheme > 0 and len(c) > scheme + 3 and c[scheme - 1].isalnum() or 0 <= www < len(c) - 4 or bool(_HOST.match(c))
     tag = bool(_HASH.match(c))
     model = bool(_MODEL.match(term.upper() if not c.islower() else c))
     kinds = link * LINK + tag * TAG + model * MODEL + (term in LURES) * LURE

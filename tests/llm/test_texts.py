@@ -156,6 +156,16 @@ def test_ordinary(text):
     assert bad * 2 <= all_
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, " " * 300_000, "a." * 150_000, "<" * 200_000, "(" * 200_000, "ab:" * 100_000, "www" * 100_000, "cheap " * 50_000])
+def test_huge_texts_take_no_time(text):
+    import time
+
+    began = time.time()
+    stuffing.stuffed_share(text)
+    leakage.words(text)
+    assert time.time() - began < 5
+
+
 def test_find_stuffed(spark):
     got = {r.doc_id: r.stuffed_words * 2 > r.words for r in stuffing.find_stuffed(docs(spark, [STUFFED[0], ORDINARY[0], None, "", STUFFED[0]]), "doc_id", "text").collect()}
     assert got == {0: True, 1: False, 2: False, 3: False, 4: True}
