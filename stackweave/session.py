@@ -21,6 +21,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     folder = Path(tempfile.mkdtemp(prefix="stackweave-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     shutil.copytree(root, folder / "code" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(folder / root.name), "zip", folder / "code"))
     _shipped.add(context.applicationId)
@@ -40,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     if context.applicationId not in _own:
         _own[context.applicationId] = tempfile.mkdtemp(prefix="stackweave-")
+        atexit.register(shutil.rmtree, _own[context.applicationId], ignore_errors=True)
         context.setCheckpointDir(_own[context.applicationId])
     return "file://" + _own[context.applicationId]
 
