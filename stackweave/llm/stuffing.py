@@ -1,8 +1,8 @@
 """Keyword-stuffed and link-list texts, by term recurrence.
 
-A text is read as a row of words, links and tags. At every place the gaps to the last and next occurrence of the
-term and the autocorrelation of the row over a window of lags tell how regularly terms come back; lists of
-distinct nouns, links and tags tell by the want of function words around them. Both feed a
+A text is read as a row of words, links and tags. At every place the gaps to the last and next occurrence of the term, the autocorrelation of the row over a window of lags
+and, at any distance, the evenness of the term's own gaps tell how regularly terms come back; lists of
+distinct nouns, links and tags tell by the want of function words and sentences around them. All feed a
 two-state path (ordinary or stuffed) of least cost through the text, so that a stuffed part is found with its borders;
 traces, logs, module lists and tables are told by their form and count as ordinary. A text is flagged if more
 than half of its words lie in stuffed parts.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Lags of the autocorrelation and places on either side over which it is averaged.
 LAGS, REACH = 12, 10
+#: Terms of the longest sentence.
+LONGEST = 60
 #: Cost of passing from one state to the other, within a line and between lines.
 SWITCH, SWITCH_LINE = 6.0, 3.0
 
@@ -53,13 +55,14 @@ _HASH = re.compile(r"^#[^\W\d]\w*")
 _MODEL = re.compile(r"^(?=\w*\d)(?=\w*[A-Z])[A-Z0-9]{3,10}$")
 _CODE = re.compile(r"::|\w\(|\(\)|\w_\w|0x[0-9a-f]+|^[./~]|[\w)]/\w|\.\w+:\d+|=|\w\.so\b|^[\[(]?\d", re.I)
 _FOREIGN = re.compile("[\u0370-\u1fff\u2e80-\uffef]")
+_END = re.compile("[.!?\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4][\"')\\]}»”’」』]*$")
 _MATERIAL = re.compile(
     r"^\s*(?:#\d+\s|\[\s*\d[\d.:]*\s*\]|at\s+[\w.$<>]+\(|\|.*\d.*\||[\w./-]+\s+0x[0-9a-f]+|\d{4}-\d\d-\d\d[ T]\d|[\w.$]+(?:Exception|Error)\b|Thread\s+\d|(?:\+\+\+|---|@@)\s|[\w-]+\.so[.\d]*\b)", re.I
 )
 
 
 #: Kinds of a chunk, one bit each.
-LINK, TAG, MODEL, FUNCTION, LURE, CODE = (1 << k for k in range(6))
+LINK, TAG, MODEL, FUNCTION, LURE, CODE, END = (1 << k for k in range(7))
 #: Chunks whose kinds a worker remembers.
 CACHE = 300_000
 _known: dict[str, tuple[int, str, int]] = {}
@@ -77,6 +80,8 @@ def _chunk(c: str) -> tuple[int, str, int]:
     kinds = link * LINK + tag * TAG + model * MODEL + (term in LURES) * LURE
     if term in FUNCTION_WORDS or _FOREIGN.search(term):
         kinds += FUNCTION
+    if _END.search(c[-8:]):
+        kinds += END
     if not (link or tag or model) and _CODE.search(c):
         kinds += CODE
     if len(c) <= 40:
@@ -135,6 +140,36 @@ def recurrence(codes: np.ndarray, lags: int = LAGS) -> tuple[np.ndarray, np.ndar
     return gap, hits
 
 
+def evenness(codes: np.ndarray) -> np.ndarray:
+    """Whether the gaps to the last and next occurrence of the same term, however far, are alike (four fifths or more); at a term's ends, its two outermost gaps."""
+    n = len(codes)
+    even = np.zeros(n, bool)
+    at = np.argsort(codes, kind="stable")
+    code = codes[at]
+    middle = np.flatnonzero(code[2:] == code[:-2]) + 1
+    if len(middle):
+        before, after = at[middle] - at[middle - 1], at[middle + 1] - at[middle]
+        alike = middle[5 * np.minimum(before, after) >= 4 * np.maximum(before, after)]
+        even[at[alike]] = True
+        first = alike[(alike < 2) | (code[alike - 2] != code[alike])]
+        last = alike[(alike > n - 3) | (code[np.minimum(alike + 2, n - 1)] != code[alike])]
+        even[at[first - 1]] = True
+        even[at[last + 1]] = True
+    return even
+
+
+def sentences(terms: list[str], end: np.ndarray) -> np.ndarray:
+    """Places in sentences: at most ``LONGEST`` terms up to a full stop, at least four different ones, and more than half of them different."""
+    out = np.zeros(len(terms), bool)
+    start = 0
+    for e in (np.flatnonzero(end) + 1).tolist():
+        if 4 <= e - start <= LONGEST:
+            different = len(set(terms[start:e]))
+            out[start:e] = different >= 4 and 2 * different > e - start
+        start = e
+    return out
+
+
 def _smooth(x: np.ndarray, reach: int = REACH) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(x)])
     at = np.arange(len(x))
@@ -147,19 +182,27 @@ def evidence(terms: list[str], kinds: np.ndarray, material: np.ndarray) -> np.nd
     n = len(terms)
     index: dict[str, int] = {}
     codes = np.array([index.setdefault(t, len(index)) for t in terms], np.int64)
-    link, tag, model, function, lure, code = ((kinds & k) > 0 for k in (LINK, TAG, MODEL, FUNCTION, LURE, CODE))
+    link, tag, model, function, lure, code, end = ((kinds & k) > 0 for k in (LINK, TAG, MODEL, FUNCTION, LURE, CODE, END))
     content = ~(link | tag | function | code)
     gap, hits = recurrence(codes)
     repeated = content & (gap > 0) & (gap <= 8)
     # Autocorrelation: how many of the lags repeat here, over what chance would give.
     density = _smooth(np.where(content, np.minimum(hits, 6), 0) / 6.0)
     grammar = _smooth((function & ~repeated).astype(float))
+    bare = content & (grammar < 0.06)
     score = np.full(n, -0.4)
     score[function] = -1.2
-    score[content & (grammar < 0.06)] = 0.15
+    score[bare] = 0.15
     score[repeated] = 0.5
     score[content & lure] += 0.6
     score += np.where(content, 1.5 * (density - 0.15), 0.0)
+    if bare.any():
+        prose = sentences(terms, end)
+        # Nouns strung together speak for stuffing by themselves, what chance would give is not taken off them.
+        score[bare & ~prose] += 1.5 * 0.15
+        if len(index) < n:
+            even = _smooth((content & evenness(codes)).astype(float))
+            score += np.where(bare & ~prose, 1.5 * np.maximum(even - 0.3, 0.0), 0.0)
     score[link | tag] = 1.6
     score[model] = 1.2
     score -= 2.0 * np.maximum(grammar - 0.12, 0)

@@ -175,3 +175,33 @@ def test_find_stuffed(spark):
 def test_recurrence():
     gap, hits = stuffing.recurrence(np.array([1, 2, 1, 3, 1]))
     assert gap.tolist() == [2, 0, 2, 0, 2] and hits.tolist() == [2, 0, 2, 0, 2]
+
+
+NOUNS = "gravel lantern pillow saddle walnut copper basket ribbon candle marble hammer velvet barrel mirror carpet kettle button feather anchor blanket".split()
+LOOPS = {
+    "long loop": " ".join(NOUNS * 50),
+    "long loop with full stops": ". ".join(" ".join(NOUNS[k : k + 5]).capitalize() for k in (0, 5, 10, 15) for _ in range(50)),
+    "different nouns": " ".join(NOUNS),
+}
+PROSE = {
+    "Polish": "Program zamyka się zaraz po uruchomieniu. Nie mogę otworzyć pliku, ponieważ okno pozostaje puste. Po aktualizacji błąd pojawił się ponownie. " * 2,
+    "title": "Bookmark sidebar crash after restart",
+}
+
+
+@pytest.mark.parametrize("name", LOOPS)
+def test_loops_of_any_length(name):
+    assert not set(stuffing._row(LOOPS[name])[0]) & stuffing.LURES
+    bad, all_ = stuffing.stuffed_share(LOOPS[name])
+    assert bad * 2 > all_
+
+
+@pytest.mark.parametrize("name", PROSE)
+def test_prose(name):
+    bad, all_ = stuffing.stuffed_share(PROSE[name])
+    assert bad * 2 <= all_
+
+
+def test_evenness():
+    assert stuffing.evenness(np.array([1, 2, 3, 1, 4, 5, 1, 2])).tolist() == [True, False, False, True, False, False, True, False]
+    assert not stuffing.evenness(np.array([1, 1, 2, 3, 4, 1])).any() and stuffing.evenness(np.array([7])).tolist() == [False]
