@@ -1,8 +1,10 @@
 """Keyword-stuffed and link-list texts, by term recurrence.
 
-A text is read as a row of words, links and tags. At every place the gaps to the last and next occurrence of the term, the autocorrelation of the row over a window of lags
+A text is read as a row of words, links and tags; scripts without blanks are cut into runs of one script, and those of ideographs or of South-East Asian letters
+into pairs. At every place the gaps to the last and next occurrence of the term, the autocorrelation of the row over a window of lags
 and, at any distance, the evenness of the term's own gaps tell how regularly terms come back; lists of
-distinct nouns, links and tags tell by the want of function words and sentences around them. All feed a
+distinct nouns, links and tags tell by the want of function words and sentences around them. Words of scripts without a list of function words
+are neutral by themselves: recurrence speaks for stuffing, a sentence against it. All feed a
 two-state path (ordinary or stuffed) of least cost through the text, so that a stuffed part is found with its borders;
 traces, logs, module lists and tables are told by their form and count as ordinary. A text is flagged if more
 than half of its words lie in stuffed parts.
@@ -55,6 +57,8 @@ _HASH = re.compile(r"^#[^\W\d]\w*")
 _MODEL = re.compile(r"^(?=\w*\d)(?=\w*[A-Z])[A-Z0-9]{3,10}$")
 _CODE = re.compile(r"::|\w\(|\(\)|\w_\w|0x[0-9a-f]+|^[./~]|[\w)]/\w|\.\w+:\d+|=|\w\.so\b|^[\[(]?\d", re.I)
 _FOREIGN = re.compile("[\u0370-\u1fff\u2e80-\uffef]")
+# Scripts without blanks: runs of kana, pairs of ideographs and of Thai, Lao, Myanmar and Khmer letters.
+_UNBLANKED = re.compile("[\u3041-\u309f]+|[\u30a1-\u30ff]+|[\u3005\u3400-\u9fff\uf900-\ufaff]{1,2}|[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff]{1,2}")
 _END = re.compile("[.!?\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4][\"')\\]}»”’」』]*$")
 _MATERIAL = re.compile(
     r"^\s*(?:#\d+\s|\[\s*\d[\d.:]*\s*\]|at\s+[\w.$<>]+\(|\|.*\d.*\||[\w./-]+\s+0x[0-9a-f]+|\d{4}-\d\d-\d\d[ T]\d|[\w.$]+(?:Exception|Error)\b|Thread\s+\d|(?:\+\+\+|---|@@)\s|[\w-]+\.so[.\d]*\b)", re.I
@@ -62,7 +66,7 @@ _MATERIAL = re.compile(
 
 
 #: Kinds of a chunk, one bit each.
-LINK, TAG, MODEL, FUNCTION, LURE, CODE, END = (1 << k for k in range(7))
+LINK, TAG, MODEL, FUNCTION, LURE, CODE, FOREIGN, END = (1 << k for k in range(8))
 #: Chunks whose kinds a worker remembers.
 CACHE = 300_000
 _known: dict[str, tuple[int, str, int]] = {}
@@ -78,8 +82,10 @@ def _chunk(c: str) -> tuple[int, str, int]:
     tag = bool(_HASH.match(c))
     model = bool(_MODEL.match(term.upper() if not c.islower() else c))
     kinds = link * LINK + tag * TAG + model * MODEL + (term in LURES) * LURE
-    if term in FUNCTION_WORDS or _FOREIGN.search(term):
+    if term in FUNCTION_WORDS:
         kinds += FUNCTION
+    if _FOREIGN.search(term):
+        kinds += FOREIGN
     if _END.search(c[-8:]):
         kinds += END
     if not (link or tag or model) and _CODE.search(c):
@@ -105,12 +111,16 @@ def _row(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.n
         if ">" in line:
             line = _QUOTE.sub("", line)
         held = len(terms)
+        if not line.isascii():
+            line = _UNBLANKED.sub(r" \g<0> ", line)
         for c in line.split():
             n, term, kind = known(c) or _chunk(c)
             if n:
                 terms.append(term)
                 words.append(n)
                 kinds.append(kind)
+            elif kind & END and len(terms) > held:
+                kinds[-1] |= END
         if len(terms) > held:
             more = len(terms) - held
             begins += [True] + [False] * (more - 1)
@@ -182,7 +192,7 @@ def evidence(terms: list[str], kinds: np.ndarray, material: np.ndarray) -> np.nd
     n = len(terms)
     index: dict[str, int] = {}
     codes = np.array([index.setdefault(t, len(index)) for t in terms], np.int64)
-    link, tag, model, function, lure, code, end = ((kinds & k) > 0 for k in (LINK, TAG, MODEL, FUNCTION, LURE, CODE, END))
+    link, tag, model, function, lure, code, foreign, end = ((kinds & k) > 0 for k in (LINK, TAG, MODEL, FUNCTION, LURE, CODE, FOREIGN, END))
     content = ~(link | tag | function | code)
     gap, hits = recurrence(codes)
     repeated = content & (gap > 0) & (gap <= 8)
@@ -196,13 +206,16 @@ def evidence(terms: list[str], kinds: np.ndarray, material: np.ndarray) -> np.nd
     score[repeated] = 0.5
     score[content & lure] += 0.6
     score += np.where(content, 1.5 * (density - 0.15), 0.0)
-    if bare.any():
+    strange = content & foreign
+    if bare.any() or strange.any():
         prose = sentences(terms, end)
         # Nouns strung together speak for stuffing by themselves, what chance would give is not taken off them.
         score[bare & ~prose] += 1.5 * 0.15
+        score[strange] = 1.5 * (density[strange] - 0.15)
         if len(index) < n:
             even = _smooth((content & evenness(codes)).astype(float))
-            score += np.where(bare & ~prose, 1.5 * np.maximum(even - 0.3, 0.0), 0.0)
+            score += np.where((bare | strange) & ~prose, 1.5 * np.maximum(even - 0.3, 0.0), 0.0)
+        score[strange & prose] = -1.2
     score[link | tag] = 1.6
     score[model] = 1.2
     score -= 2.0 * np.maximum(grammar - 0.12, 0)

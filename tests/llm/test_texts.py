@@ -178,26 +178,46 @@ def test_recurrence():
 
 
 NOUNS = "gravel lantern pillow saddle walnut copper basket ribbon candle marble hammer velvet barrel mirror carpet kettle button feather anchor blanket".split()
+CYRILLIC = "планшет телефон ноутбук камера наушники клавиатура монитор принтер роутер колонка зарядка кабель чехол экран батарея".split()
 LOOPS = {
     "long loop": " ".join(NOUNS * 50),
     "long loop with full stops": ". ".join(" ".join(NOUNS[k : k + 5]).capitalize() for k in (0, 5, 10, 15) for _ in range(50)),
     "different nouns": " ".join(NOUNS),
+    "Cyrillic keyword": "планшет " * 1000,
+    "short Cyrillic keyword": "кот " * 200,
+    "Cyrillic loop": " ".join(CYRILLIC * 30),
+    "Cyrillic choice": " ".join(random.Random(2).choice(CYRILLIC[:8]) for _ in range(300)),
+    "Greek keyword": "κινητό τηλέφωνο " * 200,
+    "Arabic keyword": "هاتف رخيص " * 200,
+    "Hangul keyword": "태블릿 " * 200,
+    "Japanese keyword": "タブレット " * 1000,
+    "Japanese without blanks": "タブレット激安" * 300,
+    "Chinese without blanks": "手机" * 500,
+    "Chinese of three": "计算机" * 500,
+    "Thai without blanks": "โทรศัพท์" * 300,
 }
 PROSE = {
+    "Russian": "Программа закрывается сразу после запуска. Я не могу открыть файл, потому что окно остаётся пустым. После обновления ошибка появилась снова. " * 6,
+    "Russian without repetition": "Программа закрывается сразу после запуска, и я не могу открыть файл, потому что окно остаётся пустым. Ошибка появилась в новой версии и не проходит после перезагрузки.",
+    "Russian title": "Ошибка при запуске программы в новой версии",
     "Polish": "Program zamyka się zaraz po uruchomieniu. Nie mogę otworzyć pliku, ponieważ okno pozostaje puste. Po aktualizacji błąd pojawił się ponownie. " * 2,
+    "Chinese": "程序启动后立即关闭。我无法打开文件，因为窗口是空白的。更新之后错误再次出现。 " * 6,
+    "Korean": "프로그램이 시작 직후 종료됩니다. 창이 비어 있어서 파일을 열 수 없습니다. 업데이트 후에 오류가 다시 나타났습니다. " * 6,
+    "Japanese": "起動直後に終了します。ウィンドウが空白のままなのでファイルを開けません。更新後に再び発生しました。 " * 6,
+    "Greek": "Το πρόγραμμα κλείνει αμέσως μετά την εκκίνηση. Δεν μπορώ να ανοίξω το αρχείο επειδή το παράθυρο μένει κενό. " * 6,
     "title": "Bookmark sidebar crash after restart",
 }
 
 
 @pytest.mark.parametrize("name", LOOPS)
-def test_loops_of_any_length(name):
+def test_loops_of_any_length_and_script(name):
     assert not set(stuffing._row(LOOPS[name])[0]) & stuffing.LURES
     bad, all_ = stuffing.stuffed_share(LOOPS[name])
     assert bad * 2 > all_
 
 
 @pytest.mark.parametrize("name", PROSE)
-def test_prose(name):
+def test_prose_of_any_script(name):
     bad, all_ = stuffing.stuffed_share(PROSE[name])
     assert bad * 2 <= all_
 
