@@ -176,3 +176,10 @@ def test_filters_leave_nothing(spark, mini):
     assert {r.score for r in run.ranked.collect()} == {pairs.NO_STACK}
     with pytest.raises(ValueError):
         scoring.prepare(flat, scoring.Settings(trim_percent=0.0))
+
+
+def test_evaluations_have_the_window_of_the_reference():
+    from stackweave.queries import reference
+
+    free = {n: s.window_days for n, s in reference.EVALUATIONS.items() if n not in reference.SQL}
+    assert free == dict.fromkeys(["eval_weighted", "eval_linear", "eval_alignment", "eval_edit", "eval_positional", "eval_bag"], 730)
