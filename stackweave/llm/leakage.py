@@ -2,7 +2,8 @@
 
 The n-grams of all items are looked up in every document once to count in how many documents each
 occurs; every window of ``passage`` words of an item is then represented by its rarest n-gram, its seed. A
-document that holds such a window holds its seed, so no shared passage is missed. In a second
+document that holds such a window holds its seed, so no shared passage is missed. For edited copies every n-gram that few
+documents hold is a seed, and of every stretch of n-grams the rarest: a copy is not missed because another has rarer ones. In a second
 pass each document with a seed is aligned with the seed's items by Smith-Waterman over words, around
 the places of the seeds only; the alignment gives the score of edited copies and the longest run of equal words.
 No text is shuffled: both passes work where the document is read.
@@ -25,6 +26,8 @@ from ..session import materialize
 SEED = 5
 #: Words of a passage that gives an item away.
 PASSAGE = 13
+#: Number of documents, and share of all, up to which an n-gram is a seed by itself where edited copies are asked for.
+RARE, RARE_SHARE = 100, 0.01
 #: Words of all items that are broadcast at a time; further items are taken in further blocks.
 BLOCK_WORDS = 500_000
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
@@ -116,29 +119,40 @@ def _frequencies(source: DataFrame, items: Items) -> DataFrame:
     return source.mapInArrow(run, "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents"))
 
 
-def choose_seeds(items: Items, frequency: dict[int, int], passage: int) -> dict[int, list[int]]:
+def choose_seeds(items: Items, frequency: dict[int, int], passage: int, rare: int = 0) -> dict[int, list[int]]:
     """Of every window of ``passage`` words the rarest n-gram that documents hold: gram -> items.
 
     A document with the whole window holds all its n-grams, so this seed too; one with an edited copy holds it
-    if the edits spared it. Windows of which no document holds any n-gram need no seed.
+    if the edits spared it. Windows of which no document holds any n-gram need no seed. With ``rare`` every n-gram that up to so many documents
+    hold is a seed, and for copies that share commoner ones only, the rarest of every ``seed`` n-grams that follow each other.
     """
     seeds: dict[int, set[int]] = {}
     per = passage - items.seed + 1
+
+    def rarest(grams: list[int], k: int) -> None:
+        held = [g for g in grams if g in frequency]
+        if held:
+            seeds.setdefault(min(held, key=lambda g: (frequency[g], g)), set()).add(k)
+
     for k, coded in enumerate(items.coded):
         grams = items.grams(coded)[1].view(np.int64).tolist()
         for s in range(len(grams) - per + 1):
-            window = [g for g in grams[s : s + per] if g in frequency]
-            if window:
-                seeds.setdefault(min(window, key=lambda g: (frequency[g], g)), set()).add(k)
+            rarest(grams[s : s + per], k)
+        if rare:
+            for s in range(0, len(grams), items.seed):
+                rarest(grams[s : s + items.seed], k)
+            for g in grams:
+                if frequency.get(g, rare + 1) <= rare:
+                    seeds.setdefault(g, set()).add(k)
     return {g: sorted(v) for g, v in seeds.items()}
 
 
-def _block(source: DataFrame, block: list[tuple[int, list[str]]], seed: int, passage: int) -> DataFrame:
+def _block(source: DataFrame, block: list[tuple[int, list[str]]], seed: int, passage: int, rare: int) -> DataFrame:
     spark = source.sparkSession
     items = Items(block, seed)
     # At most one row for each n-gram of the block, which BLOCK_WORDS bounds.
     frequency = {r.gram: r.documents for r in _frequencies(source, items).collect()}
-    seeds = choose_seeds(items, frequency, passage)
+    seeds = choose_seeds(items, frequency, passage, rare)
     keys = np.array(sorted(seeds), np.int64)
     sent = spark.sparkContext.broadcast((items, keys, [seeds[g] for g in keys.tolist()]))
     names = ["doc_id", "item_id", "score", "longest_run", "doc_end"]
@@ -183,16 +197,19 @@ def _block(source: DataFrame, block: list[tuple[int, list[str]]], seed: int, pas
 
 
 def find_leaks(
-    documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, seed: int = SEED, passage: int = PASSAGE, block_words: int = BLOCK_WORDS
-) -> DataFrame:
+    documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, seed: int = SEED, passage: int = PASSAGE, block_words: int = BLOCK_WORDS,
+    edited: bool = False,
+) -> DataFrame:
     """``doc_id, item_id, score, longest_run, doc_end`` of each document and item with a common seed.
 
     ``longest_run`` is the number of consecutive common words, ``score`` that of the best local
-    alignment, ``doc_end`` the word where it ends. Pairs that share ``passage`` consecutive words are complete. Null and empty
+    alignment, ``doc_end`` the word where it ends. Pairs that share ``passage`` consecutive words are complete. With ``edited`` so
+    are those that share ``seed`` consecutive words which at most ``RARE`` documents, or ``RARE_SHARE`` of all, hold. Null and empty
     texts, and items of fewer than ``passage`` words, give no pair. Items are read block by block on the driver, so any
     number of them can be asked for; each block is a fixed query set against all documents.
     """
     source = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rare = max(RARE, int(source.count() * RARE_SHARE)) if edited else 0
     found: list[DataFrame] = []
     block: list[tuple[int, list[str]]] = []
     held = 0
@@ -203,10 +220,10 @@ def find_leaks(
             block.append((number, ws))
             held += len(ws)
         if held >= block_words:
-            found.append(materialize(_block(source, block, seed, passage), "leaks"))
+            found.append(materialize(_block(source, block, seed, passage, rare), "leaks"))
             block, held = [], 0
     if block or not found:
-        found.append(_block(source, block, seed, passage))
+        found.append(_block(source, block, seed, passage, rare))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -120,8 +120,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"), "doc_id", "item_id", "text")
+def _leaks(spark: SparkSession, folder: str, edited: bool = False) -> DataFrame:
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"), "doc_id", "item_id", "text", edited=edited)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +130,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """Score of the best local alignment of each document with each item whose seed it holds."""
-    return _leaks(spark, folder).select("doc_id", "item_id", "score", "longest_run")
+    return _leaks(spark, folder, edited=True).select("doc_id", "item_id", "score", "longest_run")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -92,6 +92,24 @@ def test_leaks_against_brute_force(spark, block_words):
     assert len({(r.doc_id, r.item_id) for r in rows}) == len(rows)
 
 
+def test_edited_copies_beside_whole_ones(spark):
+    item = [f"i{k}" for k in range(100)]
+    edited = [f"other{k}" if k % 10 == 9 else w for k, w in enumerate(item)]
+    whole = " ".join(item)
+    frame = spark.createDataFrame([(1, whole)], "item_id long, text string")
+    texts = [whole, " ".join(edited), "nothing of it", whole]
+    found = leakage.find_leaks(docs(spark, texts), frame, "doc_id", "item_id", "text", edited=True)
+    assert {r.doc_id: (r.score, r.longest_run) for r in found.collect()} == {0: (200, 100), 1: (90 * 2 - 9, 9), 3: (200, 100)}
+
+
+def test_seeds_of_common_grams():
+    items = leakage.Items([(1, [f"i{k}" for k in range(40)])], 5)
+    grams = items.grams(items.coded[0])[1].view(np.int64).tolist()
+    frequency = {g: 500 + k for k, g in enumerate(grams)}
+    assert set(grams[::5]) <= set(leakage.choose_seeds(items, frequency, 13, 100))
+    assert set(leakage.choose_seeds(items, frequency | {grams[7]: 100}, 13, 100)) >= {grams[7], grams[35]}
+
+
 def test_no_documents_and_no_items(spark):
     item = spark.createDataFrame([(1, " ".join(WORDS[:20]))], "item_id long, text string")
     assert leakage.find_leaks(docs(spark, []), item, "doc_id", "item_id", "text").count() == 0
