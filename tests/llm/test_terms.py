@@ -178,3 +178,14 @@ def test_near_runs(spark):
     df = frames(spark, [(1, 0, 0, "openFile"), (1, 0, 2, "openFileEx"), (1, 0, 5, "openFile")])
     assert [tuple(r) for r in runs.collapse_runs(df, "bug_id", "stack_no", "depth", "term", least=0.5, gap=2).collect()] == [(1, 0, "openFile", 0, 2, 2)]
     assert runs.collapse_runs(frames(spark, []), "bug_id", "stack_no", "depth", "term").count() == 0
+
+
+def test_near_runs_by_representative(spark):
+    rows = [(1, 0, d, t) for d, t in enumerate(["readPageData", "readPage", "readData", "close"])]
+    # Around the border of two blocks, at 3096, with a hole of one place on it, and merged by the representative across it.
+    rows += [(2, 0, 3094, "x"), (2, 0, 3096, "x"), (3, 0, 3095, "x"), (3, 0, 3097, "x")]
+    rows += [(4, 0, 3094, "readPageData"), (4, 0, 3095, "readPage"), (4, 0, 3096, "readData"), (5, 0, 3094, "readData"), (5, 0, 3095, "readPageData"), (5, 0, 3096, "readPage")]
+    found = runs.collapse_runs(frames(spark, rows), "bug_id", "stack_no", "depth", "term", least=0.5, gap=2)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, 0, "readPageData", 0, 2, 3), (2, 0, "x", 3094, 3096, 2), (3, 0, "x", 3095, 3097, 2), (4, 0, "readPageData", 3094, 3096, 3), (5, 0, "readData", 3094, 3095, 2),
+    ]
