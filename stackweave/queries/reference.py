@@ -108,7 +108,7 @@ _JAVA_CALL = r"\tat ([\w.$]+)\("
 def fn_package(spark: SparkSession, folder: str) -> DataFrame:
     names = F.regexp_extract_all("text", F.lit(_JAVA_CALL), F.lit(1))
     docs = table(spark, folder, "documents").select("doc_id", names.alias("names")).where(F.size("names") > 0)
-    return docs.select("doc_id", fr.package_tokens(F.col("names"), F.col("doc_id")).alias("packages"))
+    return docs.select("doc_id", fr.package_tokens(F.col("names"), F.col("doc_id"), max_depth=0).alias("packages"))
 
 
 @query

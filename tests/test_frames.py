@@ -103,3 +103,11 @@ def test_frequencies_at_queries(spark):
     base = spark.createDataFrame([(1,), (2,), (3,)], "bug_id long")
     got = {(r.query_ord, r.token): (r.df, r.total) for r in docfreq.frequency_at_queries(stacks, queries, base).collect()}
     assert got == {(0, "f"): (4, 4), (1, "g"): (1, 5), (2, "f"): (5, 6)}
+
+
+def test_packages_of_all_calls_of_a_document(spark, tmp_path):
+    from stackweave.queries import reference
+
+    text = "".join(f"\tat org.p{k}.Cls.run(Cls.java:{k})\n" for k in range(310))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert reference.QUERIES["fn_package"](spark, str(tmp_path)).first().packages == [f"org.p{k}" for k in range(310)]
