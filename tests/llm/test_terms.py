@@ -134,32 +134,68 @@ def run_brute(rows):
 
 
 @pytest.mark.parametrize("block", [4096, 8, 2])
-def test_exact_runs_against_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(runs, "BLOCK", block)
+def test_exact_runs_against_brute_force(spark, block):
     rng = random.Random(block)
     rows = {(rng.randrange(6), rng.randrange(2), rng.randrange(60)): rng.choice(["x", "x", "y", None]) for _ in range(500)}
     rows |= {(99, 0, d): "x" for d in range(-3, 50)}
     rows = [(*k, v) for k, v in rows.items()]
     df = frames(spark, rows + rows[:50])
-    got = {tuple(r) for r in local_runs(df, block)}
-    assert got == run_brute(rows)
+    got = runs.collapse_runs(df, "bug_id", "stack_no", "depth", "term", block=block).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == run_brute(rows)
 
 
-def local_runs(df, block):
-    """The operator's parts with a small block, in this process."""
+def near_brute(rows, least, gap):
+    """One queue over each whole stack."""
+    out, stacks = set(), defaultdict(dict)
+    for b, s, d, t in rows:
+        if t:
+            stacks[b, s][d] = t
+    for (b, s), at in stacks.items():
+        ds = sorted(at)
+        for names, f, l, _, _ in runs.agglomerate([{at[d]: (1, d)} for d in ds], ds, ds, least, gap):
+            n = sum(c for c, _ in names.values())
+            if n >= 2:
+                out.add((b, s, runs.name_of(names), f, l, n))
+    return out
+
+
+def in_blocks(rows, least, gap, block):
+    """The operator's two passes in this process."""
     import pyarrow as pa
 
-    rows = sorted({(r.bug_id, r.stack_no, (r.depth + runs.BEFORE) // block, r.depth, r.term) for r in df.collect() if r.term is not None})
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int64()), pa.array([r[1]], pa.int64()), pa.array([r[3]], pa.int64()), pa.array([r[4]])], names=list("abcd")) for r in rows]
-    made = [tuple(x.values()) for b in runs._collapser(1.0, 1, 2)(iter(batches)) for x in b.to_pylist()]
-    joined = []
-    for e, p, t, f, l, n, border in sorted(made, key=lambda m: m[:2] + (m[3],)):
-        last = joined[-1] if joined else None
-        if border and last and last[:3] == [e, p, t] and last[4] + 1 == f and last[6]:
-            last[4], last[5] = l, last[5] + n
-        else:
-            joined.append([e, p, t, f, l, n, border])
-    return [j[:6] for j in joined if j[5] >= 2]
+    events = sorted({(b, s, d, t) for b, s, d, t in rows if t})
+    if not events:
+        return []
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*events)], names=list("abcd"))
+    pieces = [batch.slice(k, 7) for k in range(0, len(events), 7)]
+    made = [r for b in runs._collapser(least, gap, 2, block)(iter(pieces)) for r in b.to_pylist()]
+    open_ = sorted((r for r in made if r["open"]), key=lambda r: (r["entity"], r["part"], r["first"]))
+    joined = [r for b in runs._joiner(least, gap, 2)(iter([pa.RecordBatch.from_pylist(open_)] if open_ else [])) for r in b.to_pylist()]
+    return [tuple(r[c] for c in runs._COLUMNS[:6]) for r in [*(r for r in made if not r["open"]), *joined]]
+
+
+@pytest.mark.parametrize("block", [4, 5, 8, 16])
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.67, 1.0])
+def test_near_runs_in_blocks_equal_one_queue(block, least):
+    """With and without holes at the borders, few words and many, copies of rows."""
+    for seed in range(150):
+        rng = random.Random(seed)
+        words = "abcdef"[: rng.randint(2, 6)]
+        terms = ["_".join(rng.sample(words, rng.randint(1, min(3, len(words))))) for _ in range(rng.randint(2, 8))]
+        holes, gap = rng.choice([0, 0.1, 0.5]), rng.randint(1, 3)
+        rows = [(e, s, d, rng.choice(terms)) for e in range(2) for s in range(2) for d in range(rng.randint(-9, 5), 40) if rng.random() >= holes]
+        got = in_blocks(rows, least, gap, block)
+        assert len(got) == len(set(got)) and set(got) == near_brute(rows, least, gap), (seed, block, least)
+
+
+def test_few_runs_stay_open():
+    """What a block leaves to the second queue does not grow with the block, even where all neighbours are equally alike."""
+    for terms in (["a_b", "b_c"], ["a", "a_b", "b", "b_c", "c"]):
+        rng = random.Random(1)
+        n = 4000
+        names = [{terms[k % len(terms)] if len(terms) == 2 else rng.choice(terms): (1, k)} for k in range(n)]
+        made = runs.agglomerate(names, list(range(n)), list(range(n)), 0.3, 1, left=True, right=True)
+        assert sum(o for *_, o, _ in made) < 60
 
 
 def test_runs_across_blocks_of_the_real_size(spark):
@@ -171,21 +207,22 @@ def test_runs_across_blocks_of_the_real_size(spark):
 
 def test_near_runs(spark):
     assert runs.likeness("fooBar", "foo_bar") == 1.0 and runs.likeness("a", "b") == 0.0 and runs.likeness("??", "!!") == 0.0
-    merged = runs.agglomerate(["openFile", "openFileEx", "close"], [0, 2, 3], [0, 2, 3], [1, 1, 1], 0.5, 2)
-    assert merged == [(0, 0, 2, 2), (2, 3, 3, 1)]
-    # The most alike neighbours merge first, and the longer run names the result.
-    assert runs.agglomerate(["a_b", "a_b_c", "a_b_c"], [0, 1, 2], [0, 1, 2], [1, 1, 1], 0.5, 1) == [(1, 0, 2, 3)]
     df = frames(spark, [(1, 0, 0, "openFile"), (1, 0, 2, "openFileEx"), (1, 0, 5, "openFile")])
     assert [tuple(r) for r in runs.collapse_runs(df, "bug_id", "stack_no", "depth", "term", least=0.5, gap=2).collect()] == [(1, 0, "openFile", 0, 2, 2)]
     assert runs.collapse_runs(frames(spark, []), "bug_id", "stack_no", "depth", "term").count() == 0
-
-
-def test_near_runs_by_representative(spark):
-    rows = [(1, 0, d, t) for d, t in enumerate(["readPageData", "readPage", "readData", "close"])]
-    # Around the border of two blocks, at 3096, with a hole of one place on it, and merged by the representative across it.
-    rows += [(2, 0, 3094, "x"), (2, 0, 3096, "x"), (3, 0, 3095, "x"), (3, 0, 3097, "x")]
-    rows += [(4, 0, 3094, "readPageData"), (4, 0, 3095, "readPage"), (4, 0, 3096, "readData"), (5, 0, 3094, "readData"), (5, 0, 3095, "readPageData"), (5, 0, 3096, "readPage")]
+    assert runs.collapse_runs(frames(spark, []), "bug_id", "stack_no", "depth", "term", least=0.5).count() == 0
+    # With likeness 1 other spellings of the same words are other terms; below it they are one.
+    same = frames(spark, [(1, 0, 0, "fooBar"), (1, 0, 1, "foo_bar")])
+    assert runs.collapse_runs(same, "bug_id", "stack_no", "depth", "term").count() == 0
+    assert runs.collapse_runs(same, "bug_id", "stack_no", "depth", "term", least=0.9).first().term == "fooBar"
+
+
+def test_near_runs_around_a_border(spark):
+    """Around the border of two blocks, at 3096, with a hole of one place on it; the more frequent term names the run."""
+    rows = [(2, 0, 3094, "x"), (2, 0, 3096, "x"), (3, 0, 3095, "x"), (3, 0, 3097, "x")]
+    rows += [(4, 0, 3094, "open_main"), (4, 0, 3095, "open_main"), *((4, 0, d, "open_main_file") for d in range(3096, 3100))]
+    rows += [(5, 0, 100, "open_main"), (5, 0, 101, "open_main"), *((5, 0, d, "open_main_file") for d in range(102, 106))]
     found = runs.collapse_runs(frames(spark, rows), "bug_id", "stack_no", "depth", "term", least=0.5, gap=2)
     assert sorted(tuple(r) for r in found.collect()) == [
-        (1, 0, "readPageData", 0, 2, 3), (2, 0, "x", 3094, 3096, 2), (3, 0, "x", 3095, 3097, 2), (4, 0, "readPageData", 3094, 3096, 3), (5, 0, "readData", 3094, 3095, 2),
+        (2, 0, "x", 3094, 3096, 2), (3, 0, "x", 3095, 3097, 2), (4, 0, "open_main_file", 3094, 3099, 6), (5, 0, "open_main_file", 100, 105, 6),
     ]
