@@ -74,9 +74,14 @@ def drop_stop_word(t: Column, words: list[str] | None = None) -> Column:
 
 def directed_quotes(tokens: Column) -> Column:
     """Lone quotes in an array of tokens become opening and closing ones in turn."""
-    quote = lambda x: x.isin('"', "`", "'")
-    before = lambda i: F.size(F.filter(F.slice(tokens, 1, i), quote))
-    return F.transform(tokens, lambda x, i: F.when(~quote(x), x).when(before(i) % 2 == 0, "``").otherwise("''"))
+    placed = F.transform(tokens, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    quote = lambda e: F.coalesce(e["x"].isin('"', "`", "'"), F.lit(False))
+    turned = F.transform(F.filter(placed, quote), lambda e, k: F.struct(e["i"].alias("i"), F.when(k % 2 == 0, "``").otherwise("''").alias("x")))
+    # Quotes and other tokens are numbered apart and sorted together, so that no token looks through the others.
+    return F.transform(F.sort_array(F.concat(F.filter(placed, lambda e: ~quote(e)), turned)), lambda e: e["x"])
+
+
+# The patterns of the next three filters and of times and dates are fixed values: other ones would give other tokens than the results to match.
 
 
 def module_function(t: Column) -> Column:

@@ -8,12 +8,16 @@ that occurs twice means the first and a skipped one moves forward by the gap.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE
 from ..joins import join_unique
-from ..session import work_path
+from ..session import materialize, shared_dir, work_path
 
 # Zone abbreviations by home zone, minutes east of UTC.
 ABBREVIATIONS = {
@@ -141,21 +145,39 @@ def parse_dictionary(distinct: DataFrame, text: str, home_zone: str, date_order:
     return df.select(*distinct.columns, F.coalesce(F.col("__counted"), seconds * 1_000_000 + F.col("__us")).cast("long").alias("instant_us"))
 
 
+_KEY = ["text", "home_zone", "date_order"]
+
+
+def dictionary_path(spark: SparkSession) -> str:
+    """The dictionary that the shared folder keeps over calls and sessions; rules of parsing are part of its name."""
+    rules = hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:16]
+    return f"{shared_dir(spark)}/stackweave/instants-{rules}"
+
+
+def _increments(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the dictionary that were written to the end."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/increment-*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return [s.getPath().getParent().toString() for s in found or []]
+
+
 def extend_dictionary(keys: DataFrame, path: str) -> DataFrame:
-    """Parses those (text, home_zone, date_order) of ``keys`` that the table at ``path`` lacks, appends them, returns the table.
+    """Parses those (text, home_zone, date_order) of ``keys`` that the dictionary at ``path`` lacks, appends them, returns the dictionary.
 
-    ``keys`` may repeat; the first call makes the table. Each text is parsed once over all calls.
+    ``keys`` may repeat; the first call makes the dictionary. Each call adds one folder, which counts once it is complete, so a call that fails
+    leaves nothing behind; a text that two callers add at a time comes out once.
     """
     spark = keys.sparkSession
-    distinct = keys.groupBy("text", "home_zone", "date_order").agg(F.count("*").alias("n"))
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        known = spark.read.parquet(path).select("text", "home_zone", "date_order")
-        distinct = distinct.join(known, ["text", "home_zone", "date_order"], "left_anti")
-    parsed = parse_dictionary(distinct, "text", "home_zone", "date_order")
-    parsed.write.mode("append").parquet(path)
-    return spark.read.schema(parsed.schema).parquet(path)
+    schema = "text string, home_zone string, date_order string, instant_us long"
+    held = _increments(spark, path)
+    fresh = keys.select(*_KEY).distinct()
+    if held:
+        fresh = fresh.join(spark.read.schema(schema).parquet(*held).select(*_KEY), _KEY, "left_anti")
+    parse_dictionary(fresh, *_KEY).write.parquet(f"{path}/increment-{uuid.uuid4().hex}")
+    held = _increments(spark, path)
+    whole = spark.read.schema(schema).parquet(*held)
+    return whole if len(held) == 1 else whole.groupBy(*_KEY).agg(F.max("instant_us").alias("instant_us"))
 
 
 def normalize_timestamps(
@@ -166,7 +188,7 @@ def normalize_timestamps(
     ``sources`` holds ``source``, ``home_zone`` and ``date_order`` and must be small: it is
     broadcast only while Spark's size estimate allows it. Repeated (row_id, instant) pairs come
     out once; null texts, ids and sources give no row. ``dictionary`` names the kept table; without it
-    the dictionary lives for this call. A text with a large share of all rows does not end in
+    the dictionary lives for this call. A text with a large share of these rows, which are counted in each call, does not end in
     one task (``join_unique``).
     """
     spark = rows.sparkSession
@@ -176,7 +198,8 @@ def normalize_timestamps(
         .join(sources.select(F.col(source).alias("__source"), "home_zone", "date_order").dropDuplicates(["__source"]), "__source")
         .select("__id", "text", F.coalesce("home_zone", F.lit("")).alias("home_zone"), F.coalesce("date_order", F.lit("")).alias("date_order"))
     )
-    table = extend_dictionary(keyed, dictionary or work_path(spark, "ts-dictionary"))
-    readable = table.where(F.col("instant_us").isNotNull())
-    joined = join_unique(keyed, readable, ["text", "home_zone", "date_order"], "n", ["__id"])
+    counts = materialize(keyed.groupBy(*_KEY).agg(F.count("*").alias("n")), "ts-counts")
+    known = extend_dictionary(counts, dictionary or work_path(spark, "ts-dictionary"))
+    readable = materialize(counts.join(known.where(F.col("instant_us").isNotNull()), _KEY), "ts-readable")
+    joined = join_unique(keyed, readable, _KEY, "n", ["__id"])
     return joined.select(F.col("__id").alias(row_id), "instant_us").distinct()

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators.dewey import frame_table, shred, stack_table
 from ..operators.hierarchy import current_links, descendants, hierarchy
-from ..operators.timestamps import normalize_timestamps
+from ..operators.timestamps import dictionary_path, normalize_timestamps
 from ..tables import table
 
 
 def delivery_instants(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize_timestamps(
-        table(spark, folder, "bug_report"), table(spark, folder, "tracker"), "delivery_id", "creation_ts", "tracker_id"
-    )
+    """Instants by the dictionary that the shared folder keeps, which each run extends by the texts it has not met."""
+    rows, trackers = table(spark, folder, "bug_report"), table(spark, folder, "tracker")
+    return normalize_timestamps(rows, trackers, "delivery_id", "creation_ts", "tracker_id", dictionary_path(spark))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

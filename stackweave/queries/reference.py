@@ -528,7 +528,8 @@ def parse_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def parse_long(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).select("doc_id", F.inline(parsing.long_frames(F.col("text"))))
+    traces = materialize(_documents(spark, folder).select("doc_id", parsing.long_frames(F.col("text")).alias("frames")).where(F.size("frames") > 0), "long-traces")
+    return parsing.fill_numbers(traces, "doc_id", "frames")
 
 
 @query

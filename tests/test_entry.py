@@ -27,6 +27,24 @@ def test_core_stands_without_the_optional_package():
             assert "llm" not in path.read_text(), path
 
 
+BLOCKED = """
+import sys, importlib.abc
+class Blocked(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path, target=None):
+        if name.startswith(%r):
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Blocked())
+import __spark_entry__ as e
+"""
+
+
+def test_only_the_optional_package_may_lack_something():
+    lacking = BLOCKED % (("ahocorasick", "regex"),) + "assert 'p1_found' in e.queries() and 'p8_ids' not in e.queries()"
+    subprocess.run([sys.executable, "-c", lacking], cwd=ROOT, check=True)
+    broken = BLOCKED % ("stackweave.queries.reference",) + "e.queries()"
+    assert subprocess.run([sys.executable, "-c", broken], cwd=ROOT, capture_output=True).returncode != 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_every_core_query_runs(spark):
     before = spark.conf.get("spark.sql.session.timeZone")

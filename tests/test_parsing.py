@@ -11,22 +11,22 @@ def one(spark, column, value, kind="string"):
 
 
 @pytest.mark.parametrize(
-    "line,form,function,file,fileline,dylib",
+    "line,function,file,fileline,dylib",
     [
-        ("#1 0x0a in foo (x=1) at a.c:12 from /lib/l.so", "naifafl", "foo", "a.c", "12", "/lib/l.so"),
-        ("#2 0x0a in foo (x=1) from /lib/l.so", "naifal", "foo", None, None, "/lib/l.so"),
-        ("#3 0x0a foo (x=1) from /lib/l.so", "nafal", "foo", None, None, "/lib/l.so"),
-        ("#4 0x0a in foo (x=1) at a.c:12", "naifaf", "foo", "a.c", "12", None),
-        ("#5 foo (x=1) at a.c:12", "nfaf", "foo", "a.c", "12", None),
-        ("#6 0x0a in foo (x=1", "naifa", "foo", None, None, None),
-        ("#7 0x0a in foo", "naif", "foo", None, None, None),
-        ("#8 foo (x=1", "nfa", "foo", None, None, None),
-        ("#9 <signal handler called>", "nf", "<signal handler called>", None, None, None),
+        ("#1 0x0a in foo (x=1) at a.c:12 from /lib/l.so", "foo", "a.c", "12", "/lib/l.so"),
+        ("#2 0x0a in foo (x=1) from /lib/l.so", "foo", None, None, "/lib/l.so"),
+        ("#3 0x0a foo (x=1) from /lib/l.so", "foo", None, None, "/lib/l.so"),
+        ("#4 0x0a in foo (x=1) at a.c:12", "foo", "a.c", "12", None),
+        ("#5 foo (x=1) at a.c:12", "foo", "a.c", "12", None),
+        ("#6 0x0a in foo (x=1", "foo", None, None, None),
+        ("#7 0x0a in foo", "foo", None, None, None),
+        ("#8 foo (x=1", "foo", None, None, None),
+        ("#9 <signal handler called>", "<signal handler called>", None, None, None),
     ],
 )
-def test_frame_forms(spark, line, form, function, file, fileline, dylib):
+def test_frame_forms(spark, line, function, file, fileline, dylib):
     f = one(spark, p.frame_of, line)
-    assert (f.form, f.depth, f.function, f.file, f.fileline, f.dylib) == (form, int(line[1]), function, file, fileline, dylib)
+    assert (f.depth, f.function, f.file, f.fileline, f.dylib) == (int(line[1]), function, file, fileline, dylib)
 
 
 @pytest.mark.parametrize("line", ["no frame", "", None, "#x"])
@@ -51,11 +51,23 @@ LONG = """#0 0xb78a9b5d in tree_notify_all (node=0x9133590,
 #0 0x1 in second () at b.c:1"""
 
 
+def filled(spark, text):
+    traces = spark.createDataFrame([(1, text)], "id long, x string").select("id", p.long_frames(F.col("x")).alias("frames"))
+    return sorted((tuple(r)[1:] for r in p.fill_numbers(traces, "id", "frames").collect()), key=lambda r: -1 if r[0] is None else r[0])
+
+
 def test_long_frames(spark):
-    got = [tuple(f) for f in one(spark, p.long_frames, LONG)]
+    got = filled(spark, LONG)
     assert [(n, f) for n, f, _ in got] == [(0, "tree_notify_all"), (1, "idx::util::Order::Text::operator"), (2, None), (3, "<signal handler called>"), (4, "main")]
     assert got[1][2] == "/usr/lib/libidx.so.0" and got[4][2] == "main.c:3"
-    assert one(spark, p.long_frames, "nothing") == [] and one(spark, p.long_frames, "#99999999 f (a)")[0].number == 99999999
+    assert filled(spark, "nothing") == [] and filled(spark, None) == []
+    # Every hole is filled, however long; of an absurd number a row without number tells.
+    far = filled(spark, "#0 a (x)\n#9500 f (a)\n#3 g (x)")
+    assert [n for n, _, _ in far] == list(range(9501)) and [f for _, f, _ in far if f] == ["a", "g", "f"]
+    assert filled(spark, "#99999999 f (a)") == [(None, None, None), (99999999, "f", None)]
+    assert filled(spark, "#99999999999999999999 f (a)") == [(None, "f", None)]
+    many = spark.createDataFrame([(k, f"#{k} f (a)\n#{k} f (b)") for k in range(3)], "id long, x string").select("id", p.long_frames(F.col("x")).alias("frames"))
+    assert sorted((r.id, r.number) for r in p.fill_numbers(many, "id", "frames").collect()) == [(0, 0), (1, 0), (1, 1), (1, 1), (2, 0), (2, 1), (2, 2), (2, 2)]
 
 
 def test_threads_tops_fields(spark):
@@ -91,12 +103,68 @@ def test_old_shape_and_unknown(spark):
 JAVA = "x java.lang.NullPointerException: oops\n\tat a.b.C.m(C.java:12)\n at a.b.D.<init>(D.java(Compiled Code))\nCaused by: java.io.IOException at a.E.f(Native Method)"
 
 
+def traces(text):
+    return [(t["exception"], t["message"], [(f["function"], f["file"], f["fileline"]) for f in t["frames"]], [n["exception"] for n in t["nested"]]) for t in p.java_traces(text)]
+
+
 def test_java(spark):
     (t,) = one(spark, p.parse_java, JAVA)
     assert (t.exception, t.message) == ("java.lang.NullPointerException", "oops")
-    assert [(f.depth, f.function, f.file, f.fileline) for f in t.frames] == [(0, "a.b.C.m", "C.java", 12), (1, "a.b.D.<init>", "D.java(CompiledCode", None)]
+    assert [(f.depth, f.function, f.file, f.fileline) for f in t.frames] == [(0, "a.b.C.m", "C.java", "12"), (1, "a.b.D.<init>", "D.java(CompiledCode", None)]
     assert [(n.exception, len(n.frames)) for n in t.nested] == [("java.io.IOException", 1)]
     for nothing in ("", None, "an Exception at noon", "java.lang.FooError without frames"):
         assert one(spark, p.parse_java, nothing) == []
     many = "a.BException" + "".join(f" at a.b.C.m{i}(C.java:{i})" for i in range(5000))
     assert len(one(spark, p.parse_java, many)[0].frames) == 5000
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        # Without a message the calls follow at once, else what stands between is none; a later exception may have them.
+        ("a.BException and c.DError: it broke at x.Y.z(Y.java:1)", [("c.DError", "it broke", [("x.Y.z", "Y.java", "1")], [])]),
+        # Up to the first call all is message, other exceptions too.
+        ("a.BException: c.DError at x.Y.z(Y.java:1) tail at q.R.s(R.java:2)", [("a.BException", "c.DError", [("x.Y.z", "Y.java", "1")], [])]),
+        ("a.BException at x.Y.z(Y.java:1234567890123) [main] at q.R.s(Unknown Source)", [("a.BException", None, [("x.Y.z", "Y.java", "1234567890123"), ("q.R.s", "UnknownSource", None)], [])]),
+        ("a.B$CException at x.Y.z(Y.java:no) d.EError at u.v(W)", [("a.B$CException", None, [("x.Y.z", "Y.java", None)], []), ("d.EError", None, [("u.v", "W", None)], [])]),
+        # A name with blanks as in prose, a first call without a qualified name, a message that tells a cause.
+        ("a.BException at x.the same place as (before)", []),
+        ("a.BException at main(Y.java:1)", []),
+        ("a.BException: caused by: c.DException at x.Y.z(Y.java:1)", []),
+        # A cause that is no sound stack takes the trace with it; one without calls is no cause; only one is read.
+        ("a.BException at x.Y.z(Y:1) caused by: c.DError at x.so it goes on and (on)", []),
+        ("a.BException at x.Y.z(Y:1) caused by: nothing", [("a.BException", None, [("x.Y.z", "Y", "1")], [])]),
+        ("a.BException at x.Y.z(Y:1) Caused  by : c.DError: m at u.V.w(V:2) caused by: e.FError at g.H.i(H:3)", [("a.BException", None, [("x.Y.z", "Y", "1")], ["c.DError"]), ("e.FError", None, [("g.H.i", "H", "3")], [])]),
+        ("A.BEXCEPTION AT x.Y.z(Y:1)", [("A.BEXCEPTION", None, [("x.Y.z", "Y", "1")], [])]),
+    ],
+)
+def test_java_cases(text, want):
+    assert traces(text) == want
+
+
+@pytest.mark.parametrize("text", ["a.BException: " * 30_000, "a.b" * 100_000, "a.BException at " * 20_000, " at x.y(" * 30_000, "(" * 200_000])
+def test_java_takes_no_time_on_huge_texts(text):
+    import time
+
+    began = time.time()
+    traces(text)
+    assert time.time() - began < 10
+
+
+def test_python_and_threads(spark):
+    python = 'Traceback (most recent call last):\n  File "/usr/a.py", line 3, in <module>\n    f(1)\n  File "b.py", line 12345678901, in f\nValueError: x'
+    assert [tuple(f) for f in one(spark, p.python_frames, python)] == [(0, "f", "b.py", "12345678901"), (1, "<module>", "/usr/a.py", "3")]
+    assert one(spark, p.python_frames, "") == [] and one(spark, p.python_frames, None) is None
+    gdb = "#0 0x1 in first () at a.c:1\nThread 2 (x):\r\n#0 0x2 in ?? ()\n#1 0x3 in g (a=1) from /l.so\n noise\nThread 1 (y):\nnothing here"
+    got = one(spark, p.thread_stacks, gdb)
+    assert [[(f.depth, f.function) for f in s] for s in got] == [[(0, "first")], [(0, None), (1, "g")]]
+    assert [[f.function for f in s] for s in one(spark, p.thread_stacks, python)] == [["f", "<module>"]]
+    assert one(spark, p.thread_stacks, "") == [] and one(spark, p.thread_stacks, None) is None
+
+
+def test_normal_field_names(spark):
+    row = spark.createDataFrame([(1, "a", "b", "c")], "`Bug.ID` long, Title string, Os string, oS string") if spark.conf.get("spark.sql.caseSensitive") == "true" else None
+    row = row or spark.createDataFrame([(1, "a", "b")], "`Bug.ID` long, Title string, Os string")
+    got = p.normal_field_names(row)
+    assert got.columns == ["bug.id", "short_desc", "os"] and tuple(got.first())[:2] == (1, "a")
+    assert p.normal_field_names(spark.createDataFrame([], "title string")).columns == ["title"]
