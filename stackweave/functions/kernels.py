@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -304,6 +305,81 @@ def weighted_kernel(kernel: Callable[[Group], np.ndarray]) -> Callable[[Column,
     return _arrow(score, 4)
 
 
+def prefix_similarity(g: Group) -> np.ndarray:
+    """Length of the longest common prefix over the longer length, what ``common_prefix`` gives."""
+    alive, length = np.ones(g.size, bool), np.zeros(g.size)
+    for i in range(min(len(g.q), len(g.c))):
+        alive &= g.q[i] == g.c[i]
+        length += alive
+    return length / np.maximum(g.m, g.n)
+
+
+@dataclass(frozen=True)
+class Added:
+    """By how much the frequencies of tokens grow with each query: ``tokens``, unique; sorted ``keys`` = place of the token x ``span`` + number of the query."""
+
+    tokens: pa.Array
+    keys: np.ndarray
+    span: int
+
+    @staticmethod
+    def of(tokens: pa.Array, numbers: np.ndarray) -> "Added":
+        """From pairs of a token and the number (from 0) of a query that adds one to its count."""
+        unique = tokens.unique()
+        place = pc.index_in(tokens, value_set=unique).to_numpy(zero_copy_only=False).astype(np.int64)
+        span = int(numbers.max(initial=0)) + 1
+        return Added(unique, np.sort(place * span + numbers), span)
+
+    def until(self, tokens: pa.Array, number: np.ndarray) -> np.ndarray:
+        """What the queries up to ``number`` added to each token."""
+        place = pc.fill_null(pc.index_in(tokens, value_set=self.tokens), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        low = np.searchsorted(self.keys, place * self.span)
+        high = np.searchsorted(self.keys, place * self.span + np.minimum(number, self.span - 1), side="right")
+        return np.where(place >= 0, high - low, 0)
+
+
+#: Stands for the count of a token of an unknown function whose frequency is fixed.
+FIXED = -1
+
+
+def kernel_at_queries(
+    kernel: Callable[[Group], np.ndarray], weighted: bool, added: Callable[[], Added], trim: float | None, fixed: float | None
+) -> Callable[..., Column]:
+    """A column builder over two token arrays, their counts before all queries, the query's number and the number of documents then.
+
+    Frequencies are those that stood when the query was scored; tokens above ``trim`` percent are dropped from both ends, those with count ``FIXED`` never, their
+    frequency is ``fixed``. Null where a side is null, empty or left empty.
+    """
+
+    def side(tokens: pa.Array, counts: pa.Array, number: np.ndarray, total: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        values, starts, length = _lists(tokens)
+        row = np.repeat(np.arange(len(length)), length)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        values = values.take(pa.array(np.repeat(starts, length) + at))
+        held, begin, _ = _lists(counts)
+        n = held.to_numpy(zero_copy_only=False)[np.repeat(begin, length) + at] if len(row) else np.empty(0)
+        percent = (n + added().until(values, number[row])) / total[row] * 100.0
+        if fixed is not None:
+            percent = np.where(n == FIXED, fixed, percent)
+        if trim is not None:
+            kept = np.flatnonzero((percent <= trim) | ((n == FIXED) if fixed is not None else False))
+            first, last = np.full(len(length), len(row)), np.full(len(length), -1)
+            np.minimum.at(first, row[kept], kept)
+            np.maximum.at(last, row[kept], kept)
+            inside = (np.arange(len(row)) >= first[row]) & (np.arange(len(row)) <= last[row])
+            values, percent, length = values.filter(pa.array(inside)), percent[inside], np.bincount(row[inside], minlength=len(length))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, values), pa.ListArray.from_arrays(offsets, pa.array(percent))
+
+    def score(q: pa.Array, c: pa.Array, nq: pa.Array, nc: pa.Array, number: pa.Array, total: pa.Array) -> pa.Array:
+        numbers = pc.fill_null(number, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        totals = pc.fill_null(total, 1).to_numpy(zero_copy_only=False).astype(np.float64)
+        (q, dq), (c, dc) = side(q, nq, numbers, totals), side(c, nc, numbers, totals)
+        return score_lists(kernel, q, c, dq, dc) if weighted else score_lists(kernel, q, c)
+
+    return _arrow(score, 6)
+
+
 def module_kernel(**costs: float) -> Callable[[Column, Column, Column, Column], Column]:
     """A column builder over module and function arrays of both sides; empty texts are unknown modules and functions."""
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import day
+from ..session import materialize
 
-#: Chunks of days in one window.
-PARTS = 16
+#: Chunks of days in one window, and parts of a chunk's buckets.
+PARTS, SPREAD = 16, 16
+#: A bucket with more than one part in HOT_PARTS of all reports is met in as many pieces as it has of these.
+HOT_PARTS = 1000
 
 
 def universe(reports: DataFrame, queries: DataFrame) -> DataFrame:
@@ -17,30 +20,59 @@ def universe(reports: DataFrame, queries: DataFrame) -> DataFrame:
     return reports.where(F.struct("ts", "bug_id") <= newest)
 
 
-def bucket_activity(reports: DataFrame, queries: DataFrame, window_days: int) -> DataFrame:
-    """``query_id, bucket``: buckets with a member before the query and within ``window_days`` days of it.
+def _spans(reports: DataFrame, window_days: int) -> DataFrame:
+    """``bucket, first, until, pieces``: the stretches of time in which a query finds the bucket active.
 
-    The newest earlier member of a bucket lies in the window if and only if some earlier member does, so members meet queries by
-    the chunk of days they fall in, an equi-join. A window has about ``PARTS`` chunks, so that the join has many keys; a member is in one chunk.
+    From after its ``first`` member (ts, bug_id) to the day ``until``. Members of a bucket are first reduced to one row a chunk of days, within which they are near
+    enough to each other, so no window holds more rows than there are chunks.
     """
-    q = queries.select("bug_id").distinct().join(reports, "bug_id").select(F.col("bug_id").alias("query_id"), F.col("ts").alias("query_ts"))
+    size = max(1, window_days // PARTS)
+    held = reports.groupBy("bucket", F.floor(day(F.col("ts")) / size).alias("chunk")).agg(
+        F.min(F.struct("ts", "bug_id")).alias("first"), F.max(day(F.col("ts"))).alias("last"), F.count("*").alias("n")
+    )
+    w = Window.partitionBy("bucket").orderBy("chunk")
+    fresh = F.when(day(F.col("first.ts")) - F.lag("last").over(w) <= window_days, 0).otherwise(1)
+    cut = held.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(w)).withColumn("size", F.sum("n").over(Window.partitionBy("bucket")))
+    spans = cut.groupBy("bucket", "span").agg(F.min("first").alias("first"), (F.max("last") + window_days).alias("until"), F.max("size").alias("size"))
+    total = reports.agg(F.count("*")).scalar()
+    return spans.withColumn("pieces", (1 + F.floor(F.col("size") * HOT_PARTS / total)).cast("int")).drop("span", "size")
+
+
+def _active(reports: DataFrame, queries: DataFrame, window_days: int) -> DataFrame:
+    """``query_id, query_ts, bucket, pieces``; every active bucket of a query once."""
     size = max(1, window_days // PARTS)
     chunk = lambda d: F.floor(d / size)
-    q = q.withColumn("chunk", F.explode(F.sequence(chunk(day(F.col("query_ts")) - window_days), chunk(day(F.col("query_ts"))))))
-    r = reports.select("bug_id", "bucket", "ts", chunk(day(F.col("ts"))).alias("chunk"))
-    met = q.join(r, "chunk").where(F.struct(F.col("ts"), F.col("bug_id")) < F.struct(F.col("query_ts").alias("ts"), F.col("query_id").alias("bug_id")))
-    return met.where(day(F.col("query_ts")) - day(F.col("ts")) <= window_days).select("query_id", "query_ts", "bucket").distinct()
+    q = queries.select("bug_id").distinct().join(reports, "bug_id").select(F.col("bug_id").alias("query_id"), F.col("ts").alias("query_ts"))
+    q = q.withColumn("chunk", chunk(day(F.col("query_ts")))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    spans = _spans(reports, window_days).withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(SPREAD)).cast("int"))
+    spans = spans.withColumn("chunk", F.explode(F.sequence(chunk(day(F.col("first.ts"))), chunk(F.col("until")))))
+    met = q.join(spans, ["chunk", "part"])
+    later = F.col("first") < F.struct(F.col("query_ts").alias("ts"), F.col("query_id").alias("bug_id"))
+    return met.where(later & (day(F.col("query_ts")) <= F.col("until"))).select("query_id", "query_ts", "bucket", "pieces")
+
+
+def bucket_activity(reports: DataFrame, queries: DataFrame, window_days: int) -> DataFrame:
+    """``query_id, query_ts, bucket``: buckets with a member before the query and within ``window_days`` days of it.
+
+    Buckets become stretches of activity, which queries meet by the chunk of days they fall in, an equi-join.
+    """
+    return _active(reports, queries, window_days).drop("pieces")
 
 
 def candidates(reports: DataFrame, queries: DataFrame, window_days: int | None) -> DataFrame:
     """``query_id, cand_id``: reports strictly earlier than the query by (ts, bug_id), of buckets active in the window.
 
     Without a window (None or 0) every earlier report is a candidate: an ordered join that grows with queries times reports, as
-    asked. With one, both joins are equi-joins, on day chunks and on buckets. Queries that are no report have no candidates.
+    asked. With one, both joins are equi-joins, on day chunks and on buckets, a large bucket in pieces. Queries that are no report have no candidates.
     """
     if window_days:
-        active = bucket_activity(reports, queries, window_days)
-        met = active.join(reports.select("bug_id", "bucket", "ts"), "bucket")
+        active = materialize(_active(reports, queries, window_days), "active")
+        sizes = active.select("bucket", "pieces").where("pieces > 1").distinct()
+        # Fewer than HOT_PARTS buckets have more than one piece.
+        members = reports.select("bug_id", "bucket", "ts").join(F.broadcast(sizes), "bucket", "left")
+        members = members.select("bug_id", "bucket", "ts", F.pmod(F.xxhash64("bug_id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"))
+        asked = active.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        met = asked.join(members, ["bucket", "piece"])
     else:
         q = queries.select("bug_id").distinct().join(reports, "bug_id").select(F.col("bug_id").alias("query_id"), F.col("ts").alias("query_ts"))
         met = q.join(reports.select("bug_id", "ts"), F.col("ts") <= F.col("query_ts"))

@@ -20,8 +20,8 @@ def document_frequency(stacks: DataFrame, by_stack: bool = False) -> DataFrame:
 
 
 def inverse_frequency(frequency: DataFrame, total: "F.Column") -> DataFrame:
-    """``token, idf`` = documents / df, not logged."""
-    return frequency.select("token", (total.cast("double") / (F.col("df") + F.lit(1e-11))).alias("idf"))
+    """``token, idf, df``; idf = documents / df, not logged."""
+    return frequency.select("token", (total.cast("double") / (F.col("df") + F.lit(1e-11))).alias("idf"), "df")
 
 
 def frequency_at_queries(stacks: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def frequency_at_queries(stacks: DataFrame, queries: DataFrame, base: DataFrame)
     total = base.agg(F.count("*")).scalar()
     asked = queries.select("query_ord", "bug_id").join(held, "bug_id")
     asked = running_sums(asked, ["query_ord"], {"added": F.lit(1).cast("long")}, by=["token"])
-    return asked.join(base_df, "token", "left").select(
+    counts = asked.groupBy("token").agg(F.count("*").alias("n")).join(base_df, "token", "left")
+    met = join_unique(asked, materialize(counts, "token-counts"), ["token"], "n", ["query_ord"])
+    return met.select(
         "query_ord", "bug_id", "token", (F.coalesce("base_df", F.lit(0)) + F.col("added")).alias("df"), (total + F.col("query_ord") + 1).alias("total")
     )
 

@@ -26,6 +26,21 @@ def hit_positions(ranked: DataFrame, masters: DataFrame, by_bucket: bool = True)
     return known.select("query_id").distinct().join(place, "query_id", "left")
 
 
+def bucket_positions(scored: DataFrame, masters: DataFrame) -> DataFrame:
+    """``hit_positions`` by bucket straight from ``query_id, cand_id, score``, without an order of the whole lists.
+
+    A bucket stands where its best candidate by (score, cand_id) does, so the right bucket's place is the number of buckets that are as good or better.
+    """
+    q = masters.select(F.col("bug_id").alias("query_id"), F.col("master_id").alias("q_master")).where("query_id <> q_master")
+    c = masters.select(F.col("bug_id").alias("cand_id"), F.col("master_id").alias("c_master"))
+    known = scored.where(F.col("query_id") != F.col("cand_id")).join(q, "query_id").join(c, "cand_id")
+    best = known.groupBy("query_id", "q_master", "c_master").agg(F.max(F.struct("score", "cand_id")).alias("best"))
+    best = materialize(best, "bucket-best")
+    hit = best.where("c_master = q_master").select("query_id", F.col("best").alias("hit"))
+    place = best.join(hit, "query_id", "left").groupBy("query_id").agg(F.count_if(F.col("best") >= F.col("hit")).alias("n"), F.first("hit").isNotNull().alias("found"))
+    return place.select("query_id", F.when(F.col("found"), F.col("n")).cast("int").alias("position"))
+
+
 def recall_and_mrr(positions: DataFrame, longest: int = 20) -> DataFrame:
     """One row: ``queries``, ``mrr`` and ``recall`` (an array for k = 1 .. ``longest``); null values without any query."""
     reciprocal = F.coalesce(1 / F.col("position"), F.lit(0.0))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import join_unique
 from .ordered import running_sums
 
 # Scores that stand for missing ones.
@@ -16,11 +17,11 @@ NOT_RANKED = -999999999.99
 AGGREGATES = ("max", "avg_query", "avg_cand", "avg_short", "avg_long", "avg_query_cand")
 
 
-def stack_pairs(pairs: DataFrame, stacks: DataFrame, coded: bool = True) -> DataFrame:
+def stack_pairs(pairs: DataFrame, stacks: DataFrame, coded: bool = True, how: str = "inner", more: list[str] | None = None) -> DataFrame:
     """``query_id, cand_id, q_stack, c_stack, q, c`` and, if stacks have them, their frequencies ``dq`` and ``dc``.
 
     ``coded`` tokens are 64-bit hashes, which are an eighth of the size in the joins and serve all kernels that only compare for equality; two
-    tokens of one pair share a hash once in 10^19 comparisons. Kernels that need the tokens' order take them as they are.
+    tokens of one pair share a hash once in 10^19 comparisons. Kernels that need the tokens' order take them as they are. ``more`` names columns of the pairs to keep.
     """
     weighed = "df" in stacks.columns
     if coded:
@@ -28,7 +29,9 @@ def stack_pairs(pairs: DataFrame, stacks: DataFrame, coded: bool = True) -> Data
     side = lambda report, stack, tokens, df: stacks.select(
         F.col("bug_id").alias(report), F.col("stack_no").alias(stack), F.col("tokens").alias(tokens), *([F.col("df").alias(df)] if weighed else [])
     )
-    return pairs.select("query_id", "cand_id").join(side("query_id", "q_stack", "q", "dq"), "query_id").join(side("cand_id", "c_stack", "c", "dc"), "cand_id")
+    return pairs.select("query_id", "cand_id", *(more or [])).join(side("query_id", "q_stack", "q", "dq"), "query_id", how).join(
+        side("cand_id", "c_stack", "c", "dc"), "cand_id", how
+    )
 
 
 def score_cells(pairs: DataFrame, stacks: DataFrame, kernel: Callable[..., Column], weighted: bool = False, coded: bool = True) -> DataFrame:
@@ -43,6 +46,18 @@ def score_cells(pairs: DataFrame, stacks: DataFrame, kernel: Callable[..., Colum
     return cells.select("query_id", "cand_id", "q_stack", "c_stack", score.alias("score"))
 
 
+def best_of_pairs(pairs: DataFrame, stacks: DataFrame, kernel: Callable[..., Column], weighted: bool = False, coded: bool = True) -> DataFrame:
+    """``query_id, cand_id, score`` of all pairs: the best stack pair, the score for missing stacks where a side has none.
+
+    Pairs are spread once by their key and keep that place through the joins and the maximum, so nothing else of their size is shuffled.
+    """
+    if not weighted:
+        stacks = stacks.select("bug_id", "stack_no", "tokens")
+    cells = stack_pairs(pairs.select("query_id", "cand_id").repartition("query_id", "cand_id"), stacks, coded, "left")
+    score = kernel(F.col("q"), F.col("c"), F.col("dq"), F.col("dc")) if weighted else kernel(F.col("q"), F.col("c"))
+    return cells.groupBy("query_id", "cand_id").agg(F.coalesce(F.max(score), F.lit(NO_STACK)).alias("score"))
+
+
 def aggregate_cells(cells: DataFrame, how: str = "max") -> DataFrame:
     """``query_id, cand_id, score`` of each pair with cells.
 
@@ -118,9 +133,14 @@ def top_tokens(stacks: DataFrame, frequency: DataFrame, k: float) -> DataFrame:
 
 
 def bag_cosine(bags: DataFrame, idf: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``query_id, cand_id, score``: cosine of tf/length x idf bags; pairs without a common term score 0, without a bag nothing."""
+    """``query_id, cand_id, score``: cosine of tf/length x idf bags; pairs without a common term score 0, without a bag nothing.
+
+    ``idf`` holds ``token, idf, df`` and should be a written table.
+    """
     size = bags.groupBy("bug_id").agg(F.sum("freq").alias("size"))
-    w = bags.join(size, "bug_id").join(idf.withColumnRenamed("token", "term"), "term").select("bug_id", "term", (F.col("freq") / F.col("size") * F.col("idf")).alias("w"))
+    sized = bags.join(size, "bug_id")
+    met = join_unique(sized, idf.select(F.col("token").alias("term"), "idf", "df"), ["term"], "df", ["bug_id"])
+    w = met.select("bug_id", "term", (F.col("freq") / F.col("size") * F.col("idf")).alias("w"))
     norm = w.groupBy("bug_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = w.select(F.col("bug_id").alias("query_id"), "term", F.col("w").alias("wq"))
     c = w.select(F.col("bug_id").alias("cand_id"), "term", F.col("w").alias("wc"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ def canonical_reports(deliveries: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct(F.col("dup_id").alias("dup"), F.col("label").alias("label")), order).alias("last"), F.min("ingest_ts").alias("first"))
         .select("bug_id", F.col("last.dup").alias("dup"), F.col("last.label").alias("label"), epoch_us(F.col("first")).alias("ts"))
     )
-    named = current.select(F.col("bug_id").alias("dup"), F.lit(True).alias("known"))
-    out = current.join(named, "dup", "left")
+    current = materialize(current, "current")
+    named = current.where("dup is not null").groupBy("dup").agg(F.count("*").alias("n"))
+    known = named.join(current.select(F.col("bug_id").alias("dup")), "dup").withColumn("known", F.lit(True))
+    out = join_unique(current, materialize(known, "named"), ["dup"], "n", ["bug_id"], "left")
     dup = F.when(F.col("known") & (F.col("dup") != F.col("bug_id")), F.col("dup"))
     return out.select("bug_id", dup.alias("dup_id"), F.coalesce(dup, F.col("bug_id")).alias("bucket"), "ts", "label")
 
@@ -81,9 +85,11 @@ def with_frequencies(stacks: DataFrame, frequency: DataFrame, default: float = 0
     return rows.select("bug_id", "stack_no", F.col("rows.token").alias("tokens"), F.col("rows.p").alias("df"))
 
 
-def trim(stacks: DataFrame, most_percent: float, ends_only: bool = True) -> DataFrame:
-    """Drops tokens of more than ``most_percent`` from both ends, or everywhere; stacks left empty go."""
+def trim(stacks: DataFrame, most_percent: float, ends_only: bool = True, exempt: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Drops tokens of more than ``most_percent`` from both ends, or everywhere, but for those that ``exempt`` names; stacks left empty go."""
     stops = F.transform("df", lambda d: d > most_percent)
+    if exempt is not None:
+        stops = F.zip_with("df", "tokens", lambda d, t: (d > most_percent) & ~exempt(t))
     cut = fr.trim_stops if ends_only else fr.drop_stops
     out = stacks.withColumn("__stops", stops)
     out = out.withColumn("__t", cut(F.col("tokens"), F.col("__stops"))).withColumn("df", cut(F.col("df"), F.col("__stops")))

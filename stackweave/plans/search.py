@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 
 from ..operators.metrics import loss
-from .scoring import Settings, evaluate
+from .scoring import Settings, evaluate, evaluate_two_stage
 
 # Domains of the searched parameters, (low, high) uniform or a list of choices.
 _HALVES = [k / 2 for k in range(11)]
@@ -33,6 +33,7 @@ SPACES: dict[str, dict[str, dict]] = {
     "linear": {"shared": _SHARED, "own": {"gap": _HALVES, "coef_gap": [1.0], "mismatch": [0.0]}},
     "alignment": {"shared": _SHARED, "own": {"indel": _HALVES, "mismatch": _HALVES, "match": [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]}},
     "positional": {"shared": _SHARED, "own": {"c": (0.0, 30.0), "o": (0.0, 30.0)}},
+    "two_stage": {"shared": _SHARED | {"alpha": (0.0, 1.0), "n_top": list(range(1, 400))}, "own": {"c": (0.0, 30.0), "o": (0.0, 30.0)}},
     "prefix": {"shared": _SHARED, "own": {}},
     "bag": {"shared": {"n_gram": list(range(1, 8)), "keep_unknown": [True]}, "own": {}},
 }
@@ -76,11 +77,11 @@ def run_search(settings: Iterator[Settings], evaluations: int, measure: Callable
     return sorted(tried, key=lambda t: t[0])
 
 
-def measure_with(canonical: DataFrame, flat: DataFrame, queries: DataFrame) -> Callable[[Settings], tuple[float | None, float | None]]:
-    """Measures settings on one dataset; reads two single-row results."""
+def measure_with(canonical: DataFrame, flat: DataFrame, queries: DataFrame, text_scores: DataFrame | None = None) -> Callable[[Settings], tuple[float | None, float | None]]:
+    """Measures settings on one dataset; reads two single-row results. The method ``two_stage`` needs ``text_scores``."""
 
     def measure(s: Settings) -> tuple[float | None, float | None]:
-        run = evaluate(canonical, flat, queries, s)
+        run = evaluate_two_stage(canonical, flat, queries, text_scores, s) if s.method == "two_stage" else evaluate(canonical, flat, queries, s)
         return run.recall.first().mrr, run.auc.first().auc
 
     return measure

@@ -268,8 +268,8 @@ def sim_bow(spark: SparkSession, folder: str) -> DataFrame:
 def sim_blend(spark: SparkSession, folder: str) -> DataFrame:
     """The stored score as text score, blended with the positional one for the first ten of each list."""
     stored = recommendations.dense_ranks(table(spark, folder, "recommendation")).where("score is not null").groupBy("query_id", "cand_id").agg(F.max("score").alias("score"))
-    s = scoring.Settings(params={"c": 0.1, "o": 0.2})
-    blended = scoring.evaluate_two_stage(_reports(spark, folder), table(spark, folder, "stack_frame"), stored, 0.4, 10, s)
+    s = scoring.Settings(params={"c": 0.1, "o": 0.2}, alpha=0.4, n_top=10)
+    blended = scoring.blend_stages(_reports(spark, folder), table(spark, folder, "stack_frame"), stored, s)
     return blended.withColumn("score", _six("score"))
 
 
@@ -314,8 +314,7 @@ def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     canonical_ = materialize(_reports(spark, folder), "canonical")
     wanted = cand.evaluated(_asked(spark, folder), canonical_)
     asked = materialize(cand.candidates(canonical_, wanted, WINDOW), "candidates")
-    cells = pairs.score_cells(asked, materialize(_stacks(spark, folder), "stacks"), kernels.common_prefix)
-    scored = pairs.with_missing(asked, pairs.aggregate_cells(cells)).withColumn("score", _six("score"))
+    scored = pairs.best_of_pairs(asked, materialize(_stacks(spark, folder), "stacks"), kernels.common_prefix).withColumn("score", _six("score"))
     return scored, asked, canonical_
 
 
@@ -369,7 +368,12 @@ def metric_positions_plain(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def metric_rr_mrr(spark: SparkSession, folder: str) -> DataFrame:
-    found = metrics.recall_and_mrr(metric_positions(spark, folder))
+    canonical_ = materialize(_reports(spark, folder), "canonical")
+    # Only duplicates have a position, so only they are scored.
+    wanted = cand.evaluated(_asked(spark, folder), canonical_).join(canonical_.where("bucket <> bug_id").select("bug_id"), "bug_id", "left_semi")
+    asked = materialize(cand.candidates(canonical_, wanted, WINDOW), "candidates")
+    scored = pairs.best_of_pairs(asked, materialize(_stacks(spark, folder), "stacks"), kernels.common_prefix).withColumn("score", _six("score"))
+    found = metrics.recall_and_mrr(metrics.bucket_positions(scored, cand.masters(canonical_)))
     return found.select("queries", _six("mrr").alias("mrr"), F.transform("recall", lambda r: F.round(r, 6)).alias("recall"))
 
 

@@ -160,18 +160,17 @@ def _text(f: str) -> str:
 def _frame_sql() -> str:
     from ..functions.parsing import FILE_LINE, FRAME_FORMS
 
-    whens: dict[str, list[str]] = {k: [] for k in ("form", "depth", "address", "function", "args", "file0", "dylib")}
-    for name, pattern, groups in FRAME_FORMS:
+    whens: dict[str, list[str]] = {k: [] for k in ("depth", "address", "function", "args", "file0", "dylib")}
+    for pattern, groups in FRAME_FORMS:
         test = f"when regexp_matches(line, '{pattern}') then "
-        whens["form"].append(f"{test}'{name}'")
         whens["depth"].append(f"{test}try_cast(regexp_extract(line, '{pattern}', 1) as int)")
         for field in ("address", "function", "args", "file", "dylib"):
             key = "file0" if field == "file" else field
             whens[key].append(test + (f"regexp_extract(line, '{pattern}', {groups[field]})" if field in groups else "null"))
     columns = ", ".join(f"case {' '.join(w)} end as {k if k != 'function' else 'fn'}" for k, w in whens.items())
     return f"""with {_LINES}, f as (select doc_id, line_no, {columns} from lines where starts_with(line, '#'))
-select doc_id, line_no, form, depth, address, fn as "function", args, case when regexp_matches(file0, '{FILE_LINE}') then regexp_extract(file0, '{FILE_LINE}', 1) else file0 end as file,
-  case when regexp_matches(file0, '{FILE_LINE}') then regexp_extract(file0, '{FILE_LINE}', 2) end as fileline, dylib from f where form is not null"""
+select doc_id, line_no, depth, address, fn as "function", args, case when regexp_matches(file0, '{FILE_LINE}') then regexp_extract(file0, '{FILE_LINE}', 1) else file0 end as file,
+  case when regexp_matches(file0, '{FILE_LINE}') then regexp_extract(file0, '{FILE_LINE}', 2) end as fileline, dylib from f where fn is not null"""
 
 
 def _odd(x: str) -> str:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +57,35 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables written within it when it ends, so that a session that lives long does not pile them up.
+
+    Results must have been read or written by then, for they read those tables.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+            _pending.discard(path)
+
+
+_pending: set[str] = set()
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
+    """A fresh path in the shared folder; it is removed at the end of the innermost ``work_scope``, or else when the driver ends."""
     path = f"{shared_dir(spark)}/stackweave/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _pending:
+        atexit.register(lambda: [_remove(spark, p) for p in list(_pending)])
+    _pending.add(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 

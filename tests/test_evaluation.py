@@ -1,10 +1,13 @@
 """Candidates, ranking, metrics, canonical buckets, splits: the mini-case and corner cases."""
 
+import random
+
 import pytest
 
 from stackweave.functions.instants import DAY_US
 from stackweave.operators import candidates as cand
 from stackweave.operators import canonical, metrics, ordered, pairs, ranking, reports, splits
+from stackweave.functions import kernels
 from stackweave.plans import scoring, search
 
 REPORT = "bug_id long, dup_id long, bucket long, ts long, label boolean"
@@ -166,7 +169,7 @@ def test_evaluation_and_search(spark, mini):
     stored = search.stored_settings('{"0": {"c": 1.5, "aggregate": "avg_query"}}', scoring.Settings("positional"))
     assert stored["0"].params == {"c": 1.5} and stored["0"].aggregate == "avg_query"
     texts = spark.createDataFrame([(5, 1, 0.5), (5, 2, 0.4), (5, 3, 0.3)], SCORED)
-    blended = {r.cand_id: r.score for r in scoring.evaluate_two_stage(mini, flat, texts, 0.5, 2, scoring.Settings(params={"c": 0.0, "o": 0.0})).collect()}
+    blended = {r.cand_id: r.score for r in scoring.blend_stages(mini, flat, texts, scoring.Settings(params={"c": 0.0, "o": 0.0}, alpha=0.5, n_top=2)).collect()}
     assert blended[1] == pytest.approx(0.5 * (2 / 3) / (0.5 * 0.5 + 0.5 * 2 / 3)) and blended[3] == pairs.NOT_RANKED
 
 
@@ -183,3 +186,90 @@ def test_evaluations_have_the_window_of_the_reference():
 
     free = {n: s.window_days for n, s in reference.EVALUATIONS.items() if n not in reference.SQL}
     assert free == dict.fromkeys(["eval_weighted", "eval_linear", "eval_alignment", "eval_edit", "eval_positional", "eval_bag"], 730)
+
+
+def at_queries_brute(reports_, order, stacks, pairs_, s):
+    """Scores of pairs by the frequencies that the reports before, the query and the queries before it give."""
+    import pyarrow as pa
+
+    base = [b for b in reports_ if b not in order]
+    docs = lambda b: [set(t) for t in stacks.get(b, [])] if s.frequency_by_stack else [set().union(*stacks.get(b, []))]
+    out = {}
+    for k, q in enumerate(order):
+        held = [d for b in [*base, *order[: k + 1]] for d in docs(b)]
+        unknown = lambda t: s.frequency_of_unknown is not None and t.startswith("??")
+        df = lambda t: s.frequency_of_unknown if unknown(t) else sum(t in d for d in held) / len(held) * 100
+
+        def side(b):
+            kept = []
+            for t in stacks.get(b, []):
+                at = [i for i, x in enumerate(t) if s.trim_percent is None or df(x) <= s.trim_percent or unknown(x)]
+                if at:
+                    kept.append(t[at[0] : at[-1] + 1])
+            return kept
+
+        build, weighted = scoring.METHODS[s.method]
+        for c in [c for x, c in pairs_ if x == q]:
+            cells = [[None] * len(side(c)) for _ in side(q)]
+            for i, a in enumerate(side(q)):
+                for j, b in enumerate(side(c)):
+                    more = [pa.array([[df(t) for t in x]]) for x in (a, b)] if weighted else []
+                    cells[i][j] = kernels.score_lists(build(**s.params), pa.array([a]), pa.array([b]), *more)[0].as_py()
+            rows, columns = [max(r) for r in cells if r], [max(x) for x in zip(*cells)]
+            mean = lambda v: sum(v) / len(v)
+            if not rows:
+                out[q, c] = pairs.NO_STACK
+            else:
+                out[q, c] = {"max": max(rows), "avg_query": mean(rows), "avg_short": mean(rows) if len(rows) <= len(columns) else mean(columns)}[s.aggregate]
+    return out
+
+
+@pytest.mark.parametrize(
+    "given",
+    [
+        {"method": "weighted"}, {"method": "weighted", "trim_percent": 40.0, "aggregate": "avg_short"}, {"method": "linear", "frequency_by_stack": True},
+        {"method": "weighted", "trim_percent": 30.0, "frequency_of_unknown": 99.999}, {"method": "edit", "trim_percent": 30.0}, {"method": "prefix", "trim_percent": 35.0, "aggregate": "avg_query"},
+        {"method": "merge", "trim_percent": 40.0, "frequency_of_unknown": 99.999, "keep_unknown": True},
+    ],
+)
+@pytest.mark.parametrize("block", [10**6, 7])
+def test_frequencies_at_queries_against_brute_force(spark, given, block, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_TOKENS", block)
+    s = scoring.Settings(window_days=None, **given)
+    rng = random.Random(3)
+    rows = [(b, s_, d, rng.choice(["f", "f", "g", "h", "i", "j", "k", None])) for b in range(1, 15) if b != 6 for s_ in range(rng.randint(1, 3)) for d in range(rng.randint(1, 5))]
+    flat = spark.createDataFrame(rows, FLAT)
+    canonical_ = spark.createDataFrame([(b, None, b, b * DAY_US, None) for b in range(1, 15)], "bug_id long, dup_id long, bucket long, ts long, label boolean")
+    # Asked in another order than that of time, one twice, one by a report without stacks.
+    queries = spark.createDataFrame([(0, 0, 12), (0, 1, 9), (1, 0, 12), (1, 1, 14), (1, 2, 6)], "chunk_id int, query_ord int, bug_id long")
+    asked = spark.createDataFrame([(q, c) for q in (12, 9, 14, 6) for c in range(1, q)], "query_id long, cand_id long")
+    stacks = scoring.encoded(flat, s)
+    held = {}
+    for r in stacks.orderBy("bug_id", "stack_no").collect():
+        held.setdefault(r.bug_id, []).append(list(r.tokens))
+    got = scoring.score_at_queries(asked, stacks, canonical_, queries, s).collect()
+    want = at_queries_brute(range(1, 15), [12, 9, 14, 6], held, [tuple(r) for r in asked.collect()], s)
+    assert len(got) == len(want) and {(r.query_id, r.cand_id): r.score for r in got} == pytest.approx(want)
+    assert scoring.score_at_queries(asked.limit(0), stacks, canonical_, queries.limit(0), s).count() == 0
+
+
+def test_two_stages(spark, mini):
+    flat = spark.createDataFrame([(b, 0, d, f) for b, fs in {1: "abc", 2: "abc", 3: "xyz", 4: "xya", 5: "abd"}.items() for d, f in enumerate(fs)], FLAT)
+    texts = spark.createDataFrame([(5, 1, 0.5), (5, 2, 0.4), (5, 3, 0.3), (5, 99, 0.9)], SCORED)
+    s = scoring.Settings("two_stage", params={"c": 0.0, "o": 0.0}, window_days=None, n_top=2, alpha=0.5)
+    run = scoring.evaluate_two_stage(mini, flat, ids(spark, 5), texts, s)
+    scores = {r.cand_id: r.score for r in run.scored.collect()}
+    assert scores[1] == pytest.approx(0.5 * (2 / 3) / (0.5 * 0.5 + 0.5 * 2 / 3)) and scores[3] == scores[4] == pairs.NOT_RANKED and 99 not in scores
+    assert [r.cand_id for r in run.ranked.orderBy("rec_rank").collect()] == [1, 2, 4, 3] and run.recall.first().queries == 1
+    drawn = next(search.random_settings("two_stage", s, 1))
+    assert 0 <= drawn.alpha <= 1 and 1 <= drawn.n_top < 400 and set(drawn.params) == {"c", "o"}
+    assert search.measure_with(mini, flat, ids(spark, 5), texts)(s)[0] == run.recall.first().mrr
+
+
+def test_positions_from_scores_are_those_of_ranks(spark, mini):
+    rng = random.Random(2)
+    scored = spark.createDataFrame([(q, c, rng.choice([0.1, 0.5, 0.9])) for q in (3, 4, 5) for c in range(1, 6)], SCORED)
+    masters = cand.masters(mini)
+    want = {tuple(r) for r in metrics.hit_positions(ranking.rank(scored), masters).collect()}
+    assert {tuple(r) for r in metrics.bucket_positions(scored, masters).collect()} == want
+    assert metrics.bucket_positions(scored.limit(0), masters).count() == 0
