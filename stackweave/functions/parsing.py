@@ -392,6 +392,30 @@ def thread_stacks(text: Column) -> Column:
     return F.when(F.size(stacks) > 0, stacks).when(F.size(python) > 0, F.array(python)).otherwise(stacks)
 
 
+def frame_line(depth: Column, address: Column, function: Column, args: Column, file: Column, fileline: Column, dylib: Column) -> Column:
+    """A frame as a debugger writes it; unknown functions are ``??``, line breaks in a field become blanks."""
+    where = F.when(file.isNotNull(), F.concat(F.lit(" at "), file, F.coalesce(F.concat(F.lit(":"), fileline), F.lit("")))).when(dylib.isNotNull(), F.concat(F.lit(" from "), dylib))
+    line = F.concat(
+        F.lit("#"), depth.cast("string"), F.lit(" "), F.coalesce(address, F.lit("0x0")), F.lit(" in "), F.coalesce(function, F.lit("??")), F.lit(" ("), F.coalesce(args, F.lit("")), F.lit(")"),
+        F.coalesce(where, F.lit("")),
+    )
+    return F.translate(line, "\r\n", "  ")
+
+
+def threads_text(frames: DataFrame, max_depth: int = 300) -> DataFrame:
+    """``bug_id, text``: the stacks of each report as the threads of a debugger's trace. Copies of a frame count once, frames at ``max_depth`` or below are left out.
+
+    A report's text is one value, so its stacks are gathered; the cut keeps each of them bounded.
+    """
+    kept = frames.where((F.col("depth") >= 0) & (F.col("depth") < max_depth) & F.col("bug_id").isNotNull() & F.col("stack_no").isNotNull())
+    line = frame_line(*[F.col(c) for c in ("depth", "address", "function", "args", "file", "fileline", "dylib")])
+    once = kept.groupBy("bug_id", "stack_no", "depth").agg(F.min(line).alias("line"))
+    stacks = once.groupBy("bug_id", "stack_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    body = F.concat(F.lit("Thread "), F.col("stack_no").cast("string"), F.lit(":\n"), "body")
+    whole = stacks.groupBy("bug_id").agg(F.sort_array(F.collect_list(F.struct("stack_no", body.alias("body")))).alias("s"))
+    return whole.select("bug_id", F.array_join(F.transform("s", lambda x: x["body"]), "\n").alias("text"))
+
+
 def normal_field_names(row: DataFrame) -> DataFrame:
     """Column names in lower case, and ``title`` as ``short_desc``; of names that then agree the last column counts, as a later key replaces an earlier one."""
     last: dict[str, str] = {}

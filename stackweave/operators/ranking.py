@@ -46,6 +46,17 @@ def repair(ranked: DataFrame, candidates: DataFrame) -> DataFrame:
     return placed.select("query_id", "cand_id", "score", (F.col("rec_rank") + 1).cast("int").alias("rec_rank"))
 
 
+def reuse(made: DataFrame, older: DataFrame, order: DataFrame, n: int) -> DataFrame:
+    """Lists of which the first ``n`` queries' are those of an older run, the others the new ones.
+
+    ``order`` holds ``query_id`` and ``number`` from 0. A query among the first ``n`` that the older run lacks has no list.
+    """
+    early = order.where(F.col("number") < n).select("query_id")
+    columns = ["query_id", "cand_id", "score", "rec_rank"]
+    kept = older.join(early, "query_id", "left_semi").select(*columns)
+    return kept.unionByName(made.join(early, "query_id", "left_anti").select(*columns))
+
+
 def violations(ranked: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, problem``: lists with foreign candidates, lists of no query, and queries without a list."""
     keys = ["query_id", "cand_id"]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.instants import DAY_US
+from ..functions.instants import DAY_US, day
 from .ordered import number_rows
 
 
@@ -66,6 +66,32 @@ def chunk(reports: DataFrame, start_day: int, test_days: int, validation_duplica
     return reports.where(F.col("ts") < end).select("bug_id", part.alias("part"), F.col("dup_id").isNotNull().alias("duplicate"))
 
 
+def random_starts(reports: DataFrame, count: int, test_days: int, earliest_duplicates: int, seed: int) -> DataFrame:
+    """``chunk, start_day``: ``count`` different days drawn at random, the same for the same seed.
+
+    Days run from that of the duplicate number ``earliest_duplicates`` to ``test_days`` before the newest report; with fewer days than asked for all come out,
+    and none without so many duplicates. ``reports`` holds ``bug_id, ts, dup_id``.
+    """
+    border = _border(reports.where("dup_id is not null"), earliest_duplicates - 1)
+    days = reports.agg(day(F.max("ts")).alias("newest")).select(day(border["ts"]).alias("lo"), (F.col("newest") - test_days).alias("hi"))
+    every = days.where("lo <= hi").select(F.explode(F.sequence("lo", "hi")).alias("start_day"))
+    drawn = every.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), "start_day"))).orderBy("draw", "start_day").limit(count)
+    return drawn.select((F.row_number().over(Window.orderBy("draw", "start_day")) - 1).alias("chunk"), "start_day")
+
+
+def random_chunks(reports: DataFrame, count: int, test_days: int, validation_duplicates: int, seed: int, earliest_duplicates: int = 0) -> DataFrame:
+    """``chunk, bug_id, part, duplicate`` of ``chunk`` around each of ``random_starts``; the days drawn, ``count`` numbers, are read by the driver.
+
+    The first day has ``earliest_duplicates``, or else ``validation_duplicates``, duplicates up to it.
+    """
+    starts = random_starts(reports, count, test_days, earliest_duplicates or validation_duplicates, seed).collect()
+    out = reports.select(F.lit(0).alias("chunk"), "bug_id", F.lit("").alias("part"), F.lit(False).alias("duplicate")).limit(0)
+    for r in starts:
+        made = chunk(reports, r.start_day, test_days, validation_duplicates)
+        out = out.unionByName(made.select(F.lit(r.chunk).alias("chunk"), "bug_id", "part", "duplicate"))
+    return out
+
+
 def not_after(reports: DataFrame, ts: int, bug_id: int) -> DataFrame:
     """Reports with (ts, bug_id) not after the given one."""
     return reports.where((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("bug_id") <= bug_id)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import frames as fr
 from ..functions import kernels, parsing, text
 from ..functions.instants import DAY_US, day, epoch_us
+from ..operators import attachments
 from ..operators import candidates as cand
 from ..operators import canonical, docfreq, metrics, ordered, pairs, ranking, reports, splits
 from ..plans import scoring
@@ -349,6 +350,17 @@ def rank_violations(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.violations(listed, cand.candidates(canonical_, _asked(spark, folder), WINDOW), _asked(spark, folder))
 
 
+@query
+def rank_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    """Top-five lists; of the first half of the queries by their first place in the query table those of the stored run."""
+    stored = recommendations.dense_ranks(table(spark, folder, "recommendation")).where("score is not null")
+    older = ranking.top(stored.groupBy("query_id", "cand_id").agg(F.max("score").alias("score")), 5)
+    rows = table(spark, folder, "query_report").where("bug_id is not null")
+    first = rows.groupBy(F.col("bug_id").alias("query_id")).agg(F.min(F.struct("chunk_id", "query_ord")).alias("place"))
+    order = materialize(ordered.number_rows(first, ["place", "query_id"], "number").select("query_id", "number"), "order")
+    return ranking.reuse(rank_top5(spark, folder), older, order, order.count() // 2)
+
+
 def _stored_first(spark: SparkSession, folder: str) -> DataFrame:
     stored = recommendations.dense_ranks(table(spark, folder, "recommendation")).where("score is not null")
     return ranking.top(stored.groupBy("query_id", "cand_id").agg(F.max("score").alias("score")), 1)
@@ -505,6 +517,11 @@ def split_chunk(spark: SparkSession, folder: str) -> DataFrame:
     return splits.chunk(materialize(_reports(spark, folder), "canonical"), DAY_2017, 365, 100)
 
 
+@query
+def split_random_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.random_chunks(materialize(_reports(spark, folder), "canonical"), 3, 365, 20, 7)
+
+
 @query
 def reports_by_day(spark: SparkSession, folder: str) -> DataFrame:
     return _reports(spark, folder).groupBy(day(F.col("ts")).alias("day")).agg(F.count("*").alias("reports"))
@@ -538,7 +555,28 @@ def parse_long(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def parse_threads(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(spark, folder).select("doc_id", F.posexplode(parsing.threads_of(F.col("text"))).alias("thread_no", "body"))
+    """The threads of every native report, its stacks written as a debugger does."""
+    texts = parsing.threads_text(table(spark, folder, "stack_frame"))
+    return texts.select("bug_id", F.posexplode(parsing.threads_of(F.col("text"))).alias("thread_no", "body"))
+
+
+@query
+def parse_stacks(spark: SparkSession, folder: str) -> DataFrame:
+    """One stack a thread out of the same texts."""
+    texts = materialize(parsing.threads_text(table(spark, folder, "stack_frame")), "threads")
+    stacks = texts.select("bug_id", F.posexplode(parsing.thread_stacks(F.col("text"))).alias("stack_no", "s"))
+    return stacks.select("bug_id", "stack_no", F.posexplode("s").alias("place", "f")).select("bug_id", "stack_no", "place", "f.*")
+
+
+@query
+def parse_python(spark: SparkSession, folder: str) -> DataFrame:
+    return _documents(spark, folder).select("doc_id", F.inline(parsing.python_frames(F.col("text"))))
+
+
+@query
+def field_names(spark: SparkSession, folder: str) -> DataFrame:
+    raw = table(spark, folder, "bug_report").select(F.col("delivery_id").alias("DELIVERY_ID"), F.col("bug_id").alias("Bug_Id"), F.col("short_desc").alias("Title"))
+    return parsing.normal_field_names(raw).distinct()
 
 
 @query
@@ -570,13 +608,24 @@ def null_unknown(spark: SparkSession, folder: str) -> DataFrame:
     return names.select("function", parsing.null_unknown(F.col("function")).alias("known"))
 
 
+def _attachments(spark: SparkSession, folder: str) -> DataFrame:
+    kept = table(spark, folder, "documents").where("doc_kind = 'attachment'")
+    return kept.select("bug_id", F.col("doc_id").alias("attachment_id"), epoch_us(F.col("posted_ts")).alias("at"), "text")
+
+
 @query
 def first_attachments(spark: SparkSession, folder: str) -> DataFrame:
     """Of each report the earliest attachment among the documents, if it came within 600 s after the report."""
-    docs = table(spark, folder, "documents").where("doc_kind = 'attachment' and bug_id is not null and posted_ts is not null")
-    first = docs.groupBy("bug_id").agg(F.min(F.struct(epoch_us(F.col("posted_ts")).alias("at"), "doc_id")).alias("a"))
-    near = first.join(_reports(spark, folder).select("bug_id", "ts"), "bug_id").where(F.col("a.at") - F.col("ts") <= 600_000_000)
-    return near.select("bug_id", F.col("a.doc_id").alias("doc_id"))
+    found = attachments.first_attachment(_reports(spark, folder), _attachments(spark, folder))
+    return found.withColumnRenamed("attachment_id", "doc_id")
+
+
+@query
+def first_traced_attachments(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each report the earliest document that holds a stack, if it came within 600 s after the report; documents of all kinds are taken as its attachments."""
+    docs = table(spark, folder, "documents").select("bug_id", F.col("doc_id").alias("attachment_id"), epoch_us(F.col("posted_ts")).alias("at"), "text")
+    holds = F.coalesce(F.size(parsing.thread_stacks(F.col("text"))) > 0, F.lit(False))
+    return attachments.first_attachment(_reports(spark, folder), docs, holds).withColumnRenamed("attachment_id", "doc_id")
 
 
 # Text functions, over the whole texts of all documents.
@@ -633,11 +682,15 @@ def _evaluation(s: scoring.Settings) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         canonical_ = materialize(_reports(spark, folder), "canonical")
         done = scoring.evaluate(canonical_, table(spark, folder, "stack_frame"), table(spark, folder, "query_report"), s)
-        return done.recall.select("queries", _six("mrr").alias("mrr"), F.round(F.get("recall", F.lit(0)), 6).alias("recall_1"), F.round(F.get("recall", F.lit(9)), 6).alias("recall_10"))
+        return _figures(done)
 
     return run
 
 
+def _figures(done: scoring.Evaluation) -> DataFrame:
+    return done.recall.select("queries", _six("mrr").alias("mrr"), F.round(F.get("recall", F.lit(0)), 6).alias("recall_1"), F.round(F.get("recall", F.lit(9)), 6).alias("recall_10"))
+
+
 # The reference's window of 730 days, but for eval_prefix, whose SQL has WINDOW.
 _TRIMMED = {"window_days": 730, "trim_percent": 20.0, "recursion": "repeats"}
 EVALUATIONS = {
@@ -647,3 +700,12 @@ EVALUATIONS = {
 }
 for _name, _s in EVALUATIONS.items():
     _add(_name, _evaluation(_s))
+
+
+@query
+def eval_two_stage(spark: SparkSession, folder: str) -> DataFrame:
+    """The two-stage run over the stored scores as text scores, the first 500 of each list."""
+    stored = recommendations.dense_ranks(table(spark, folder, "recommendation")).where("score is not null").groupBy("query_id", "cand_id").agg(F.max("score").alias("score"))
+    s = scoring.Settings("two_stage", params={"c": 0.1, "o": 0.2}, alpha=0.4, n_top=500)
+    done = scoring.evaluate_two_stage(materialize(_reports(spark, folder), "canonical"), table(spark, folder, "stack_frame"), table(spark, folder, "query_report"), stored, s)
+    return _figures(done)

@@ -108,10 +108,10 @@ def _agg(pick: str) -> str:
 _ASKED = "asked as (select distinct bug_id from query_report where bug_id is not null)"
 
 
-def _window(queries: str) -> str:
+def _window(queries: str, days: int = WINDOW) -> str:
     return f"""
 q as (select bug_id as query_id, ts as query_ts from {queries} join reports using (bug_id)),
-act as (select distinct query_id, query_ts, bucket from q join reports m on (m.ts, m.bug_id) < (query_ts, query_id) and query_ts // {_DAY} - m.ts // {_DAY} <= {WINDOW}),
+act as (select distinct query_id, query_ts, bucket from q join reports m on (m.ts, m.bug_id) < (query_ts, query_id) and query_ts // {_DAY} - m.ts // {_DAY} <= {days}),
 cands as (select query_id, m.bug_id as cand_id from act join reports m using (bucket) where (m.ts, m.bug_id) < (query_ts, query_id))"""
 
 
@@ -157,20 +157,30 @@ def _text(f: str) -> str:
     return f"with {_DOCS} select doc_id, {f} as out from docs"
 
 
-def _frame_sql() -> str:
-    from ..functions.parsing import FILE_LINE, FRAME_FORMS
+def _frame_columns(line: str) -> str:
+    """The fields of a debugger's frame, ``fn`` for the function, by the first form that fits."""
+    from ..functions.parsing import FRAME_FORMS
 
     whens: dict[str, list[str]] = {k: [] for k in ("depth", "address", "function", "args", "file0", "dylib")}
     for pattern, groups in FRAME_FORMS:
-        test = f"when regexp_matches(line, '{pattern}') then "
-        whens["depth"].append(f"{test}try_cast(regexp_extract(line, '{pattern}', 1) as int)")
+        test = f"when regexp_matches({line}, '{pattern}') then "
+        whens["depth"].append(f"{test}try_cast(regexp_extract({line}, '{pattern}', 1) as int)")
         for field in ("address", "function", "args", "file", "dylib"):
             key = "file0" if field == "file" else field
-            whens[key].append(test + (f"regexp_extract(line, '{pattern}', {groups[field]})" if field in groups else "null"))
-    columns = ", ".join(f"case {' '.join(w)} end as {k if k != 'function' else 'fn'}" for k, w in whens.items())
-    return f"""with {_LINES}, f as (select doc_id, line_no, {columns} from lines where starts_with(line, '#'))
-select doc_id, line_no, depth, address, fn as "function", args, case when regexp_matches(file0, '{FILE_LINE}') then regexp_extract(file0, '{FILE_LINE}', 1) else file0 end as file,
-  case when regexp_matches(file0, '{FILE_LINE}') then regexp_extract(file0, '{FILE_LINE}', 2) end as fileline, dylib from f where fn is not null"""
+            whens[key].append(test + (f"regexp_extract({line}, '{pattern}', {groups[field]})" if field in groups else "null"))
+    return ", ".join(f"case {' '.join(w)} end as {k if k != 'function' else 'fn'}" for k, w in whens.items())
+
+
+def _file_columns() -> str:
+    from ..functions.parsing import FILE_LINE
+
+    return f"""case when regexp_matches(file0, '{FILE_LINE}') then regexp_extract(file0, '{FILE_LINE}', 1) else file0 end as file,
+  case when regexp_matches(file0, '{FILE_LINE}') then regexp_extract(file0, '{FILE_LINE}', 2) end as fileline"""
+
+
+def _frame_sql() -> str:
+    return f"""with {_LINES}, f as (select doc_id, line_no, {_frame_columns('line')} from lines where starts_with(line, '#'))
+select doc_id, line_no, depth, address, fn as "function", args, {_file_columns()}, dylib from f where fn is not null"""
 
 
 def _odd(x: str) -> str:
@@ -459,3 +469,147 @@ _clean = _marks_once(_without_times(_clean), ",:;><!?=_\\/*-.")
 _KEPT = f"length(l) >= 10 and len(list_filter(regexp_split_to_array(l, '[\\s\\x0B]'), lambda w: w <> '')) >= 5 and {_odd('l')}::double / greatest(length(l), 1) <= 0.2"
 SQL["text_clean"] = f"""with {_DOCS}, c as (select doc_id, string_split({_clean}, chr(10)) as ls from docs)
 select doc_id, coalesce(array_to_string(list_transform(list_filter(ls, lambda l: {_KEPT}), lambda l: l || chr(10)), ''), '') as out from c"""
+
+_FRAME_LINE = """translate('#' || depth || ' ' || coalesce(address, '0x0') || ' in ' || coalesce("function", '??') || ' (' || coalesce(args, '') || ')' ||
+  case when file is not null then ' at ' || file || coalesce(':' || fileline, '') when dylib is not null then ' from ' || dylib else '' end, chr(13) || chr(10), '  ')"""
+_THREADS = f"""
+one as (select bug_id, stack_no, depth, min({_FRAME_LINE}) as line from stack_frame where depth >= 0 and depth < 300 group by all),
+threads as (select bug_id, stack_no, (row_number() over (partition by bug_id order by stack_no) - 1)::int as thread_no, string_agg(line, chr(10) order by depth) as body from one group by bug_id, stack_no)"""
+SQL["parse_threads"] = f"""with {_THREADS}
+select bug_id, thread_no, ':' || chr(10) || body || case when thread_no < max(thread_no) over (partition by bug_id) then chr(10) else '' end as body from threads"""
+SQL["parse_stacks"] = f"""with {_THREADS}, l as (select bug_id, thread_no, rtrim(line) as line, depth as ord from one join threads using (bug_id, stack_no)),
+f as (select bug_id, thread_no, ord, {_frame_columns('line')} from l), g as (select * from f where fn is not null)
+select bug_id, (dense_rank() over (partition by bug_id order by thread_no) - 1)::int as stack_no, (row_number() over (partition by bug_id, thread_no order by ord) - 1)::int as place,
+  depth, address, case when fn = '??' or regexp_matches(fn, '^0x[0-9a-zA-Z]+ in') then null else fn end as "function", args, {_file_columns()}, dylib from g"""
+_PYTHON = r'^\s*File "([^"]*)", line (\d+)(?:, in (.+?))?\s*$'
+SQL["parse_python"] = f"""with {_LINES}, f as (select *, (row_number() over (partition by doc_id order by line_no desc) - 1)::int as depth from lines where regexp_matches(line, '{_PYTHON}'))
+select doc_id, depth, nullif(regexp_extract(line, '{_PYTHON}', 3), '') as "function", regexp_extract(line, '{_PYTHON}', 1) as file, regexp_extract(line, '{_PYTHON}', 2) as fileline from f"""
+SQL["field_names"] = "select distinct delivery_id, bug_id, short_desc from bug_report"
+
+
+def _traced() -> str:
+    from ..functions.parsing import FRAME_FORMS
+
+    framed = " or ".join(f"regexp_matches(rtrim(line), '{p}')" for p, _ in FRAME_FORMS)
+    return f"""with {_REPORTS}, {_LINES}, held as (select distinct doc_id from lines where (starts_with(line, '#') and ({framed})) or regexp_matches(line, '{_PYTHON}')),
+f as (select bug_id, min((epoch_us(posted_ts), doc_id)) as a from documents where doc_id in (select doc_id from held) and bug_id is not null and posted_ts is not null group by bug_id)
+select bug_id, a[2] as doc_id from f join reports using (bug_id) where a[1] - ts <= 600000000"""
+
+
+SQL["first_traced_attachments"] = _traced()
+SQL["split_random_chunks"] = f"""with {_REPORTS}, dups as (select (ts, bug_id) as k, ts, row_number() over (order by ts, bug_id) as place from reports where dup_id is not null),
+days as (select (select ts // {_DAY} from dups where place = 20) as lo, max(ts) // {_DAY} - 365 as hi from reports),
+every_ as (select unnest(range(lo, hi + 1)) as start_day from days where lo is not null and lo <= hi),
+starts as (select (row_number() over (order by md5('7:' || start_day), start_day) - 1)::int as chunk, start_day from every_ qualify row_number() over (order by md5('7:' || start_day), start_day) <= 3),
+back as (select chunk, (ts, bug_id) as k, row_number() over (partition by chunk order by ts desc, bug_id desc) as place from starts join reports on dup_id is not null and ts < start_day * {_DAY})
+select s.chunk, r.bug_id, case when r.ts >= start_day * {_DAY} then 'test' when (r.ts, r.bug_id) < b.k then 'training' else 'validation' end as part, dup_id is not null as duplicate
+from starts s join reports r on r.ts < (start_day + 365) * {_DAY} left join back b on b.chunk = s.chunk and b.place = 20"""
+SQL["rank_reuse"] = f"""with {_RANKED}, {_STORED},
+ord as (select bug_id as query_id, row_number() over (order by min((chunk_id, query_ord)), bug_id) - 1 as number, count(*) over () as n from query_report where bug_id is not null group by bug_id),
+early as (select query_id from ord where number < n // 2)
+select query_id, cand_id, score, rec_rank::int as rec_rank from listed_ where rec_rank <= 5 and query_id in (select query_id from early)
+union all select query_id, cand_id, score, rec_rank from ranked where rec_rank <= 5 and query_id not in (select query_id from early)"""
+_LONG = r"(?m)^#([0-9]+) +(?:([a-zA-Z0-9]+) +in +)?(?:(.+?) *[(].*?|(<sig\w+? handler [\w ]+?>)|([\w:<*,> \[\]-]+))(?: +(?:at|from) +(\S+)|$)"
+SQL["parse_long"] = rf"""with {_DOCS}, j as (select doc_id, regexp_replace(regexp_replace(translate(text, chr(9), ' '), '\r\n?', chr(10), 'g'), '\n +', ' ', 'g') as t from docs),
+g as (select doc_id, regexp_extract_all(t, '{_LONG}', 1) as n, regexp_extract_all(t, '{_LONG}', 3) as a, regexp_extract_all(t, '{_LONG}', 4) as b, regexp_extract_all(t, '{_LONG}', 5) as c, regexp_extract_all(t, '{_LONG}', 6) as f from j),
+r as (select doc_id, i, try_cast(n[i] as bigint) as number, trim(case when a[i] <> '' then a[i] when b[i] <> '' then b[i] else c[i] end) as fn, nullif(f[i], '') as file from g, unnest(range(1, len(n) + 1)) as u(i)),
+k as (select *, coalesce(bool_or(number = 0 and i > 1) over (partition by doc_id order by i), false) as again from r),
+named as (select doc_id, number, fn, file from k where not again),
+top as (select doc_id, max(number) as m from named group by doc_id)
+select doc_id, number, fn as "function", file from named
+union all select doc_id, t.x, null, null from top, unnest(range(0, case when m <= 10000000 then m else 0 end)) as t(x) where m <= 10000000 and not exists (select 1 from named where named.doc_id = top.doc_id and named.number = t.x)
+union all select doc_id, null, null, null from top where m > 10000000"""
+_FIELD = r"^([A-Z][\w.]*): "
+SQL["parse_fields"] = rf"""with {_LINES}, n as (select *, sum(regexp_matches(line, '{_FIELD}')::int) over (partition by doc_id order by line_no) as g from lines),
+v as (select doc_id, g, lower(regexp_extract(arg_min(line, line_no), '{_FIELD}', 1)) as field_name, regexp_replace(string_agg(line, chr(10) order by line_no), '{_FIELD}', '') as raw from n where g > 0 group by doc_id, g)
+select doc_id, field_name, arg_max(regexp_replace(raw, '^[\s\x0B]+|[\s\x0B]+$', '', 'g'), g) as value from v group by doc_id, field_name"""
+
+
+# Whole evaluations: frequencies as they stood at each query, trimmed stacks, the best cell of each pair.
+
+_EVAL_STACKS = f"""{_stacks()},
+plain as (select bug_id, stack_no, list_transform(list_filter(range(1, len(tokens) + 1), lambda i: i = 1 or tokens[i] = '??' || bug_id or tokens[i] <> tokens[i - 1]), lambda i: tokens[i]) as tokens from stacks),
+placed as (select bug_id, stack_no, generate_subscripts(tokens, 1) as place, unnest(tokens) as token from plain)"""
+_EVAL_CANDS = f"{_REPORTS}, {_ASKED}, {_EVALUATED}, {_window('evaluated', 730)}"
+_AT_QUERIES = f"""{_EVAL_CANDS}, {_EVAL_STACKS},
+num as (select bug_id, row_number() over (order by p, ts, bug_id) - 1 as number from (select bug_id, min((chunk_id, query_ord)) as p from query_report where bug_id is not null group by bug_id) join reports using (bug_id)),
+base as (select bug_id from reports where (ts, bug_id) <= (select max((ts, bug_id)) from reports where bug_id in (select bug_id from num)) and bug_id not in (select bug_id from num)),
+held as (select distinct bug_id, token from placed),
+bdf as (select token, count(*) as n from held where bug_id in (select bug_id from base) group by token),
+events as (select token, list(number order by number) as nums from held join num using (bug_id) group by token),
+asked_pairs as (select number, query_id, cand_id from cands join num on num.bug_id = query_id),
+wanted as (select number, query_id as bug_id from asked_pairs union select number, cand_id from asked_pairs),
+freq as (select number, bug_id, stack_no, place, token, (coalesce(n, 0) + coalesce(len(list_filter(nums, lambda k: k <= number)), 0))::double / ((select count(*) from base) + number + 1) * 100 as pct
+  from wanted join placed using (bug_id) left join bdf using (token) left join events using (token)),
+sides as (select number, bug_id, stack_no, list(token order by place) as tk, list(pct order by place) as d, list(pct <= 20.0 order by place) as ok from freq group by all),
+cut as (select number, bug_id, stack_no, tk[list_position(ok, true) : len(ok) - list_position(list_reverse(ok), true) + 1] as tk, d[list_position(ok, true) : len(ok) - list_position(list_reverse(ok), true) + 1] as d
+  from sides where list_contains(ok, true)),
+cells as (select row_number() over () as id, query_id, cand_id, a.tk as q, b.tk as c, a.d as dq, b.d as dc from asked_pairs join cut a on a.number = asked_pairs.number and a.bug_id = query_id
+  join cut b on b.number = asked_pairs.number and b.bug_id = cand_id)"""
+_FIGURES = """
+known as (select query_id, cand_id, score, q.bucket as qb, c.bucket as cb from scored join reports q on q.bug_id = query_id join reports c on c.bug_id = cand_id where q.bucket <> query_id),
+buckets as (select query_id, qb, cb, max((score, cand_id)) as k from known group by all),
+hit as (select query_id, k from buckets where qb = cb),
+positions as (select query_id, case when any_value(hit.k) is not null then count(*) filter (buckets.k >= hit.k) end as position from buckets left join hit using (query_id) group by query_id)
+select count(*) as queries, round(avg(coalesce(1.0 / position, 0)), 6) as mrr, round(avg(coalesce((position <= 1)::int::double, 0)), 6) as recall_1, round(avg(coalesce((position <= 10)::int::double, 0)), 6) as recall_10 from positions"""
+
+
+def _eval(programmes: list[str], score: str, joins: str, source: str = "cells") -> str:
+    return f"""with recursive {_AT_QUERIES}, {', '.join(programmes)},
+best as (select query_id, cand_id, max({score}) as s from {source} t {joins} group by all),
+scored as (select query_id, cand_id, coalesce(s, -9999999.99) as score from cands left join best using (query_id, cand_id)), {_FIGURES}"""
+
+
+def _weights(d: str) -> str:
+    return f"list_transform(range(0, len({d})), lambda k: ((1 / (k + 1) ** 0.5) * exp(-0.1 * {d}[k + 1]))::double)"
+
+
+SQL["eval_weighted"] = _eval(
+    [
+        f"weights as (select *, {_weights('dq')} as qw, {_weights('dc')} as cw from cells)",
+        _programme("real", "weights", "list_reduce(t.cw, lambda acc, w: list_append(acc, acc[len(acc)] - w), [0.0]::double[])", "p.row[1] - t.qw[p.i + 1]",
+                   "greatest($up - t.qw[p.i + 1], $lf - t.cw[j], $dg + case when $eq then greatest(t.qw[p.i + 1], t.cw[j]) * exp(-0.3 * abs($i - $j)) else -(t.qw[p.i + 1] + t.cw[j]) end)"),
+        """flat as (select id, unnest(q) as token, unnest(qw) as a, 0.0::double as b from weights union all select id, unnest(c), 0.0, unnest(cw) from weights),
+mass as (select id, sum(m) as mass from (select id, token, greatest(sum(a), sum(b)) as m from flat group by id, token) group by id)""",
+    ],
+    "case when mass = 0 then 0 else real.v / mass end", "join real using (id) join mass using (id)", "weights",
+)
+SQL["eval_linear"] = _eval(
+    [_programme("real", "cells", _linear_row("-0.5"), "-0.5 * ($i + 1)", "greatest($up - 0.5, $lf - 0.5, $dg + case when $eq then (1 - t.dq[p.i + 1] / 100) * (1 - p.i::double / len(t.q)) * exp(-abs($i - $j) / 2.0) else 0 end)")],
+    "real.v", "join real using (id)",
+)
+SQL["eval_alignment"] = _eval(
+    [
+        _programme("real", "cells", _linear_row("-1.0"), "-1.0 * ($i + 1)", "greatest($up - 1, $lf - 1, $dg + case when $eq then 1 else -1 end)"),
+        _programme("low", "cells", _linear_row("-1.0"), "-1.0 * ($i + 1)", "greatest($up - 1, $lf - 1, $dg - 1)"),
+    ],
+    "case when least(len(t.q), len(t.c)) = low.v then 0 else (real.v - low.v) / (least(len(t.q), len(t.c)) - low.v) end", "join real using (id) join low using (id)",
+)
+_SWAP = "case when $i > 0 and j > 1 and t.q[p.i + 1] = t.c[j - 1] and t.q[p.i] = t.c[j] and t.q[p.i + 1] <> t.c[j] then $cross + 1 else 1e300 end"
+SQL["eval_edit"] = _eval(
+    [
+        _programme("real", "cells", _linear_row("1"), "$i + 1", f"least($up + 1, $lf + 1, $dg + case when $eq then 0 else 1 end, {_SWAP})"),
+        _programme("worst", "cells", _linear_row("1"), "$i + 1", "least($up + 1, $lf + 1, $dg + 1)"),
+    ],
+    "case when worst.v = 0 then 0 else 1 - real.v / worst.v end", "join real using (id) join worst using (id)",
+)
+_POSITIONAL = "real.v / list_sum(list_transform(range(0, least(len(t.q), len(t.c))), lambda k: exp(-0.1 * k)))"
+SQL["eval_positional"] = _eval([_PDM], _POSITIONAL, "join real using (id)")
+SQL["eval_bag"] = f"""with {_EVAL_CANDS}, {_stacks()}, g as (
+  select bug_id, token as term from tok
+  union all select a.bug_id, a.token || chr(10) || b.token from tok a join tok b on a.bug_id = b.bug_id and a.stack_no = b.stack_no and b.depth = a.depth + 1),
+bag as (select bug_id, term, count(*) as freq from g group by all),
+idf as (select term, (select count(distinct bug_id) from tok)::double / (count(*) + 1e-11) as idf from bag group by term),
+size as (select bug_id, sum(freq) as size from bag group by bug_id),
+w as (select bug_id, term, freq / size * idf as w from bag join size using (bug_id) join idf using (term)),
+norm as (select bug_id, sqrt(sum(w * w)) as n from w group by bug_id),
+dot as (select query_id, cand_id, sum(a.w * b.w) as dot from cands join w a on a.bug_id = query_id join w b on b.bug_id = cand_id and a.term = b.term group by all),
+scored as (select query_id, cand_id, case when a.n is null or b.n is null then -9999999.99 else coalesce(dot / (a.n * b.n), 0) end as score
+  from cands left join dot using (query_id, cand_id) left join norm a on a.bug_id = query_id left join norm b on b.bug_id = cand_id), {_FIGURES}"""
+SQL["eval_two_stage"] = f"""with recursive {_EVAL_CANDS}, {_stacks()},
+stored as (select query_id, cand_id, max(score) as text from recommendation where score is not null and query_id is not null group by all),
+first_stage as (select * from (select *, row_number() over (partition by query_id order by text desc, cand_id desc) as r from stored join cands using (query_id, cand_id)) where r <= 500),
+cells as (select row_number() over () as id, query_id, cand_id, a.tokens as q, b.tokens as c from first_stage join stacks a on a.bug_id = query_id join stacks b on b.bug_id = cand_id), {_PDM},
+exact as (select query_id, cand_id, max({_POSITIONAL}) as s from cells t join real using (id) group by all),
+blended as (select query_id, cand_id, text as t, coalesce(s, -9999999.99) as s from first_stage left join exact using (query_id, cand_id)),
+scored as (select query_id, cand_id, case when s is null then -999999999.99 when 0.4 * s + 0.6 * t = 0 then 0 else t * s / (0.4 * s + 0.6 * t) end as score from cands left join blended using (query_id, cand_id)), {_FIGURES}"""
