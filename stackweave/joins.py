@@ -21,26 +21,25 @@ def join_unique(
 ) -> DataFrame:
     """Joins ``left`` to the unique-key table ``right`` without a hot key ending in one task.
 
-    ``weight`` is a column of ``right``: the number of rows of ``left`` with the key. Keys with
-    more than ``1/parts`` of the summed weight, of which there are fewer than ``parts``, are
-    broadcast; all other rows meet in a shuffled join, in which the rows of hot keys are spread
-    by ``row_id`` instead of by their key. Null keys match nothing. ``right`` should be a
+    ``weight`` is a column of ``right``: the number of rows of ``left`` with the key. A key with
+    more than ``1/parts`` of the summed weight is met in as many pieces as it has such parts: its row of ``right`` is repeated for each, and
+    its rows of ``left`` are dealt out by ``row_id``. All rows meet in one shuffled join. Only the hashes of hot keys
+    and their numbers of pieces are broadcast, fewer than ``parts`` pairs of 12 bytes; at most two times ``parts`` rows of ``right`` are repeats, however wide.
+    Null keys match nothing and are dealt out too. ``right`` should be a
     written table or cheap, for it is read twice. Columns of ``right`` must not clash with those
     of ``left`` but for ``on``. ``how`` is ``inner`` or ``left``.
     """
+    if how not in ("inner", "left"):
+        raise ValueError(how)
     values = [c for c in right.columns if c not in on and c != weight]
     total = right.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight).cast("double") * parts > total.cast("double")
-    renamed = [F.col(c).alias(f"__hot_{c}") for c in values]
-    hot = right.where(is_hot).select(*on, *renamed, F.lit(True).alias("__hot"))
-    cold = right.where(~is_hot).select(*on, *values, F.lit(0).cast("long").alias("__spread"), F.lit(True).alias("__cold"))
-    spread = F.when(F.col("__hot"), F.xxhash64(*row_id).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    share = F.col(weight).cast("double") * parts / total.cast("double")
+    # Keys of one hash share the larger number of pieces on both sides.
+    hot = right.where(share > 1).groupBy(F.xxhash64(*on).alias("__hash")).agg(F.max(F.ceil(share)).cast("int").alias("__pieces"))
+    cut = lambda rows: rows.withColumn("__hash", F.xxhash64(*on)).join(F.broadcast(hot), "__hash", "left").drop("__hash")
+    pieces = F.coalesce("__pieces", F.lit(1))
     for c in on:
-        spread = F.when(F.col(c).isNull(), F.xxhash64(*row_id).bitwiseOR(F.lit(1).cast("long"))).otherwise(spread)
-    out = left.join(F.broadcast(hot), on, "left").withColumn("__spread", spread).join(cold, [*on, "__spread"], "left")
-    if how == "inner":
-        out = out.where(F.col("__hot") | F.col("__cold"))
-    elif how != "left":
-        raise ValueError(how)
-    picked = [F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in values]
-    return out.select(*left.columns, *picked)
+        pieces = F.when(F.col(c).isNull(), F.lit(parts)).otherwise(pieces)
+    dealt = cut(left).withColumn("__piece", F.when(pieces == 1, 0).otherwise(F.pmod(F.xxhash64(*row_id), pieces)).cast("int"))
+    repeated = cut(right.select(*on, *values)).withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
+    return dealt.join(repeated, [*on, "__piece"], how).select(*left.columns, *values)

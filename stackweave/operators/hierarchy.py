@@ -9,8 +9,10 @@ rounds that is logarithmic in the depth.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +20,14 @@ from pyspark.sql import functions as F
 from ..joins import join_unique
 from ..session import materialize
 
+_log = logging.getLogger(__name__)
 #: Nodes that one task contracts at a time.
 FRAGMENT_NODES = 100_000
 #: Levels of contraction before pointer doubling takes over.
 MAX_LEVELS = 4
 
+#: Rows, and ids in their paths, of one batch that leaves a fragment.
+_ROWS, _IDS = 20_000, 2_000_000
 _CONTRACTED = "id long, exit long, path array<long>, cycle long"
 
 
@@ -30,50 +35,68 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, exit, path): each link becomes the chain up to the fragment's exit.
 
     ``path`` runs from the node below the exit down to the id. ``cycle`` is the smallest id
-    of a cycle that lies within the fragment, for nodes on it or below it.
+    of a cycle that lies within the fragment, for nodes on it or below it. Only links are held; where chains end is told by doubling
+    steps, and paths are written one after the other in the order of a walk down the trees, so that each goes on from its parent's.
     """
-    parent: dict[int, int] = {}
-    seg: dict[int, list[int]] = {}
-    for b in batches:
-        for i, p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            parent[i], seg[i] = p, s
-    done: dict[int, tuple[int | None, list[int], int | None]] = {}
-    for start in parent:
-        if start in done:
-            continue
-        trail: list[int] = []
-        at: dict[int, int] = {}
-        x = start
-        while x in parent and x not in done and x not in at:
-            at[x] = len(trail)
-            trail.append(x)
-            x = parent[x]
-        if x in at:
-            ring = trail[at[x] :]
-            least = min(min(seg[y]) for y in ring)
-            for y in trail:
-                done[y] = (None, [], least)
-            continue
-        for y in reversed(trail):
-            up = parent[y]
-            if up in done:
-                out, path, cycle = done[up]
-                done[y] = (out, [] if cycle is not None else path + seg[y], cycle)
-            else:
-                done[y] = (up, seg[y], None)
-    ids = list(done)
-    for k in range(0, len(ids), 20_000):
-        part = ids[k : k + 20_000]
-        rows = [done[i] for i in part]
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    ids = table.column(0).to_numpy()
+    table = table.take(pa.array(np.argsort(ids, kind="stable")))
+    ids, exits = table.column(0).to_numpy(), table.column(1).to_numpy()
+    segments = table.column(2).combine_chunks()
+    starts = segments.offsets.to_numpy().astype(np.int64)
+    own, size, n = segments.values.to_numpy(), np.diff(starts), len(ids)
+    at = np.minimum(np.searchsorted(ids, exits), n - 1)
+    up = np.where(ids[at] == exits, at, -1)
+    # Doubling: the last node inside, the length of the path, and the smallest id of as many steps.
+    rounds = int(n).bit_length() + 1
+    jump, length, step = np.where(up < 0, np.arange(n), up), np.where(up < 0, 0, size), np.where(up < 0, np.arange(n), up)
+    least = np.minimum.reduceat(own, starts[:-1])
+    for _ in range(rounds):
+        length = length + length[jump]
+        jump = jump[jump]
+    looped = up[jump] >= 0
+    if looped.any():
+        for _ in range(rounds):
+            least = np.minimum(least, least[step])
+            step = step[step]
+    length = np.where(looped, 0, length + size[jump])
+    ring = np.flatnonzero(looped)
+    for k in range(0, len(ring), _ROWS):
+        part = ring[k : k + _ROWS]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(part, pa.int64()),
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                pa.array([r[2] for r in rows], pa.int64()),
-            ],
-            names=["id", "exit", "path", "cycle"],
+            [pa.array(ids[part]), pa.nulls(len(part), pa.int64()), pa.array([[]] * len(part), pa.list_(pa.int64())), pa.array(least[jump[part]])], names=["id", "exit", "path", "cycle"]
         )
+    # Children of one parent follow each other.
+    order = np.argsort(up, kind="stable")
+    first = np.searchsorted(up[order], np.arange(-1, n + 1))
+    order, first, up_, jump_, length_ = order.tolist(), first.tolist(), up.tolist(), jump.tolist(), length.tolist()
+    path = np.empty(int(length.max(initial=0)), np.int64)
+    rows: list[int] = []
+    paths: list[np.ndarray] = []
+    total = 0
+
+    def made() -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(paths)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(exits[jump[rows]]), lists, pa.nulls(len(rows), pa.int64())], names=["id", "exit", "path", "cycle"])
+
+    stack = [i for i in order[first[0] : first[1]]]
+    while stack:
+        i = stack.pop()
+        begin = length_[up_[i]] if up_[i] >= 0 else 0
+        path[begin : length_[i]] = own[starts[i] : starts[i + 1]]
+        rows.append(i)
+        paths.append(path[: length_[i]].copy())
+        total += length_[i]
+        stack.extend(order[first[i + 1] : first[i + 2]])
+        if len(rows) >= _ROWS or total >= _IDS:
+            yield made()
+            rows, paths, total = [], [], 0
+    if rows:
+        yield made()
 
 
 def _double(links: DataFrame) -> DataFrame:
@@ -110,16 +133,19 @@ def _double(links: DataFrame) -> DataFrame:
 
 
 def _solve(links: DataFrame, count: int, fragment: int, level: int) -> DataFrame:
-    """(id, exit, path, cycle) of links (id, exit, path) whose exits may be ids of ``links``; result exits are not."""
+    """(id, exit, path, cycle) of links (id, exit, path) whose exits may be ids of ``links``; result exits are not.
+
+    Fragments are ranges of ids, for links mostly lead to nodes of about the same time; at each level fewer nodes are left, so the ranges grow.
+    """
     parts = max(1, -(-count // fragment))
-    spread = links.select("id", "exit", "path").repartition(parts, F.xxhash64("id", F.lit(level))) if parts > 1 else links.select("id", "exit", "path").coalesce(1)
-    contracted = spread.mapInArrow(_contract, _CONTRACTED)
+    contracted = links.select("id", "exit", "path").repartitionByRange(parts, "id").mapInArrow(_contract, _CONTRACTED)
     if parts == 1:
         return materialize(contracted, "forest")
     contracted = materialize(contracted, "contracted")
     exits = contracted.where(F.col("exit").isNotNull()).groupBy(F.col("exit").alias("id")).agg(F.count("*").alias("n"))
     quotient = materialize(contracted.join(exits, "id"), "quotient")
     left = quotient.count()
+    _log.info("level %d: %d of %d nodes are left after contraction in %d fragments", level, left, count, parts)
     if left == 0:
         return contracted
     open_links = quotient.where(F.col("exit").isNotNull()).select("id", "exit", "path")

@@ -60,3 +60,22 @@ def test_current_and_descendants(spark):
     assert {(r.id, r.parent) for r in links.collect()} == {(1, None), (2, 1), (3, 2)}
     pairs = descendants(hierarchy(links)).collect()
     assert {(r.ancestor_id, r.id, r.distance) for r in pairs} == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
+
+
+def test_long_chain_in_one_fragment_streams():
+    """Paths leave a fragment in bounded batches; none of them is held longer."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stackweave.operators import hierarchy as h
+
+    n = 5000
+    ids = np.random.default_rng(1).permutation(n) + 1  # in no order
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids - 1), pa.array([[i] for i in ids.tolist()], pa.list_(pa.int64()))], names=["id", "exit", "path"])
+    seen = 0
+    for b in h._contract(iter([batch])):
+        assert len(b.column(2).values) <= h._IDS + n
+        for i, exit_, path in zip(b.column(0).to_pylist()[::97], b.column(1).to_pylist()[::97], b.column(2)[::97]):
+            assert exit_ == 0 and path.values.to_numpy().tolist() == list(range(1, i + 1))
+        seen += b.num_rows
+    assert seen == n
