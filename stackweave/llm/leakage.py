@@ -2,10 +2,13 @@
 
 The n-grams of all items are looked up in every document once to count in how many documents each
 occurs; every window of ``passage`` words of an item is then represented by its rarest n-gram, its seed. A
-document that holds such a window holds its seed, so no shared passage is missed. For edited copies every n-gram that few
-documents hold is a seed, and of every stretch of n-grams the rarest: a copy is not missed because another has rarer ones. In a second
+document that holds such a window holds its seed, so no shared passage is missed. In a second
 pass each document with a seed is aligned with the seed's items by Smith-Waterman over words, around
-the places of the seeds only; the alignment gives the score of edited copies and the longest run of equal words.
+the places of the seeds only; the alignment's score decides, and the longest run of equal words tells whole passages.
+
+Edited copies share no five words in a row where every fifth is another. For them three words out of four, in three shapes, that few documents
+hold are seeds too, and an item is aligned with a document where several such seeds lie near one diagonal: that is what a copy with
+words exchanged, left out or put in looks like, and what phrases that both merely use do not.
 No text is shuffled: both passes work where the document is read.
 """
 
@@ -26,13 +29,19 @@ from ..session import materialize
 SEED = 5
 #: Words of a passage that gives an item away.
 PASSAGE = 13
-#: Number of documents, and share of all, up to which an n-gram is a seed by itself where edited copies are asked for.
+#: Places of the words of the seeds of edited copies: at least one shape is spared if, in any stretch of five words, one is another.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+#: Number of documents, and share of all, up to which such a seed counts.
 RARE, RARE_SHARE = 100, 0.01
+#: Seeds that must lie within two neighbouring bands of this many diagonals, and words of the document that they may span for each word of the item.
+LEAST_SEEDS, BAND = 4, 8
 #: Words of all items that are broadcast at a time; further items are taken in further blocks.
 BLOCK_WORDS = 500_000
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Score from which a document holds an edited copy: that of a whole passage.
+COPIED = PASSAGE * MATCH
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,15 +67,19 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in words(text)], np.int64)
 
-    def grams(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the n-grams of item words only."""
-        n = len(coded) - self.seed + 1
+    def grams(self, coded: np.ndarray, shape: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the n-grams of item words only; ``shape`` gives the places of their words."""
+        places = shape or tuple(range(self.seed))
+        n = len(coded) - places[-1]
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        inside = np.concatenate([[0], np.cumsum(coded < 0)])
-        at = np.flatnonzero(inside[self.seed :] == inside[:n])
-        value = np.zeros(len(at), np.uint64)
-        for k in range(self.seed):
+        known = coded >= 0
+        inside = known[:n].copy()
+        for k in places[1:]:
+            inside &= known[k : k + n]
+        at = np.flatnonzero(inside)
+        value = np.full(len(at), 0 if shape is None else 1 + sum(1 << k for k in shape), np.uint64)
+        for k in places:
             value = (value ^ (coded[at + k].astype(np.uint64) + np.uint64(1))) * _PRIME
             value ^= value >> np.uint64(29)
         return at, value
@@ -98,10 +111,10 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
     return best, best_end, longest, best_item
 
 
-def _frequencies(source: DataFrame, items: Items) -> DataFrame:
+def _frequencies(source: DataFrame, items: Items, shapes: tuple) -> DataFrame:
     """(gram, documents) of the items' n-grams, over all documents."""
     spark = source.sparkSession
-    every = np.unique(np.concatenate([items.grams(c)[1] for c in items.coded] or [np.empty(0, np.uint64)]))
+    every = np.unique(np.concatenate([items.grams(c, shape)[1] for c in items.coded for shape in shapes] or [np.empty(0, np.uint64)]))
     sent = spark.sparkContext.broadcast((items, every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,86 +122,130 @@ def _frequencies(source: DataFrame, items: Items) -> DataFrame:
         count = np.zeros(len(known), np.int64)
         for b in batches:
             for value in b.column(1):
-                found = held.grams(held.code(value.as_py()))[1]
-                if len(found) and len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    count[np.unique(at[known[at] == found])] += 1
+                coded = held.code(value.as_py())
+                if not len(known) or not (coded >= 0).any():
+                    continue
+                found = np.concatenate([held.grams(coded, shape)[1] for shape in shapes])
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                count[np.unique(at[known[at] == found])] += 1
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(count[some])], names=["gram", "documents"])
 
     return source.mapInArrow(run, "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents"))
 
 
-def choose_seeds(items: Items, frequency: dict[int, int], passage: int, rare: int = 0) -> dict[int, list[int]]:
+def choose_seeds(items: Items, frequency: dict[int, int], passage: int) -> dict[int, list[int]]:
     """Of every window of ``passage`` words the rarest n-gram that documents hold: gram -> items.
 
-    A document with the whole window holds all its n-grams, so this seed too; one with an edited copy holds it
-    if the edits spared it. Windows of which no document holds any n-gram need no seed. With ``rare`` every n-gram that up to so many documents
-    hold is a seed, and for copies that share commoner ones only, the rarest of every ``seed`` n-grams that follow each other.
+    A document with the whole window holds all its n-grams, so this seed too. Windows of which no document holds any n-gram need no seed.
     """
     seeds: dict[int, set[int]] = {}
     per = passage - items.seed + 1
-
-    def rarest(grams: list[int], k: int) -> None:
-        held = [g for g in grams if g in frequency]
-        if held:
-            seeds.setdefault(min(held, key=lambda g: (frequency[g], g)), set()).add(k)
-
     for k, coded in enumerate(items.coded):
         grams = items.grams(coded)[1].view(np.int64).tolist()
         for s in range(len(grams) - per + 1):
-            rarest(grams[s : s + per], k)
-        if rare:
-            for s in range(0, len(grams), items.seed):
-                rarest(grams[s : s + items.seed], k)
-            for g in grams:
-                if frequency.get(g, rare + 1) <= rare:
-                    seeds.setdefault(g, set()).add(k)
+            held = [g for g in grams[s : s + per] if g in frequency]
+            if held:
+                seeds.setdefault(min(held, key=lambda g: (frequency[g], g)), set()).add(k)
     return {g: sorted(v) for g, v in seeds.items()}
 
 
-def _block(source: DataFrame, block: list[tuple[int, list[str]]], seed: int, passage: int, rare: int) -> DataFrame:
+class Sown:
+    """Seeds of edited copies: sorted ``grams``, and for each the items and places in them where it stands."""
+
+    def __init__(self, items: Items, frequency: dict[int, int], most: int) -> None:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for k, coded in enumerate(items.coded):
+            for shape in SHAPES:
+                at, grams = items.grams(coded, shape)
+                found.append((grams.view(np.int64), np.full(len(at), k), at))
+        gram, item, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(zip(*found)) or [[], [], []]))
+        rare = np.array([0 < frequency.get(g, 0) <= most for g in gram.tolist()], bool)
+        order = np.argsort(gram[rare], kind="stable")
+        self.item, self.place = item[rare][order], place[rare][order]
+        self.grams, self.start = np.unique(gram[rare][order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(order)))
+
+    def places(self, items: Items, coded: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Item -> stretches of the document in which enough seeds lie near one diagonal of it."""
+        if not len(self.grams):
+            return {}
+        hits = [items.grams(coded, shape) for shape in SHAPES]
+        at, grams = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]).view(np.int64)
+        slot = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        met = self.grams[slot] == grams
+        at, slot = at[met], slot[met]
+        if len(at) < LEAST_SEEDS:
+            return {}
+        times = self.count[slot]
+        row = np.repeat(np.arange(len(at)), times)
+        other = self.start[slot][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        item, place, at = self.item[other], self.place[other], at[row]
+        span = 2 * (len(coded) + max(len(c) for c in items.coded)) // BAND + 4
+        key = item * span + (at - place + max(len(c) for c in items.coded)) // BAND
+        bands, where, n = np.unique(key, return_inverse=True, return_counts=True)
+        # A band and the next one; the last diagonals of an item are followed by an empty band.
+        following = np.append((np.diff(bands) == 1) * n[1:], 0)
+        leading = np.insert((np.diff(bands) == 1) * n[:-1], 0, 0)
+        good = np.maximum(n + following, n + leading) >= LEAST_SEEDS
+        out: dict[int, list[tuple[int, int]]] = {}
+        low, high = np.full(len(bands), len(coded)), np.full(len(bands), -1)
+        np.minimum.at(low, where, at)
+        np.maximum.at(high, where, at)
+        for b in np.flatnonzero(good).tolist():
+            out.setdefault(int(bands[b] // span), []).append((int(low[b]), int(high[b])))
+        return out
+
+
+def _block(source: DataFrame, block: list[tuple[int, list[str]]], seed: int, passage: int, most: int | None) -> DataFrame:
     spark = source.sparkSession
     items = Items(block, seed)
+    shapes = (None,) if most is None else (None, *SHAPES)
     # At most one row for each n-gram of the block, which BLOCK_WORDS bounds.
-    frequency = {r.gram: r.documents for r in _frequencies(source, items).collect()}
-    seeds = choose_seeds(items, frequency, passage, rare)
+    frequency = {r.gram: r.documents for r in _frequencies(source, items, shapes).collect()}
+    seeds = choose_seeds(items, frequency, passage)
     keys = np.array(sorted(seeds), np.int64)
-    sent = spark.sparkContext.broadcast((items, keys, [seeds[g] for g in keys.tolist()]))
+    sown = None if most is None else Sown(items, frequency, most)
+    sent = spark.sparkContext.broadcast((items, keys, [seeds[g] for g in keys.tolist()], sown))
     names = ["doc_id", "item_id", "score", "longest_run", "doc_end"]
 
+    def stretches(held: Items, known: np.ndarray, owners: list[list[int]], more: Sown | None, coded: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        places: dict[int, list[tuple[int, int]]] = {}
+        if len(known):
+            at, grams = held.grams(coded)
+            grams = grams.view(np.int64)
+            slot = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            hit = known[slot] == grams
+            for p, s in zip(at[hit].tolist(), slot[hit].tolist()):
+                for k in owners[s]:
+                    places.setdefault(k, []).append((p, p))
+        if more is not None:
+            for k, found in more.places(held, coded).items():
+                places.setdefault(k, []).extend(found)
+        return places
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known, owners = sent.value
+        held, known, owners, more = sent.value
         out: list[tuple] = []
         for b in batches:
-            if not len(known):
-                continue
             for i in range(b.num_rows):
                 coded = held.code(b.column(1)[i].as_py())
-                at, grams = held.grams(coded)
-                grams = grams.view(np.int64)
-                slot = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                hit = known[slot] == grams
-                if not hit.any():
+                if not (coded >= 0).any():
                     continue
-                places: dict[int, list[int]] = {}
-                for p, s in zip(at[hit].tolist(), slot[hit].tolist()):
-                    for k in owners[s]:
-                        places.setdefault(k, []).append(p)
-                for k, ps in places.items():
+                for k, found in stretches(held, known, owners, more, coded).items():
                     item = held.coded[k]
                     reach = 2 * len(item)
                     best = (0, 0, 0)
                     start = stop = None
-                    for p in [*ps, None]:
-                        if start is not None and (p is None or p - reach > stop):
+                    for low, high in [*sorted(found), (None, None)]:
+                        if start is not None and (low is None or low - reach > stop):
                             lo, hi = max(0, start - reach), min(len(coded), stop + reach + held.seed)
                             score, end, longest, _ = align(coded[lo:hi], item)
                             best = (max(best[0], score), lo + end if score > best[0] else best[1], max(best[2], longest))
                             start = None
-                        if p is not None:
-                            start, stop = (p, p) if start is None else (start, p)
-                    out.append((b.column(0)[i].as_py(), int(held.ids[k]), *best[:1], best[2], best[1]))
+                        if low is not None:
+                            start, stop = (low, high) if start is None else (start, max(stop, high))
+                    out.append((b.column(0)[i].as_py(), int(held.ids[k]), best[0], best[2], best[1]))
         columns = list(zip(*out)) or [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -200,16 +257,16 @@ def find_leaks(
     documents: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, seed: int = SEED, passage: int = PASSAGE, block_words: int = BLOCK_WORDS,
     edited: bool = False,
 ) -> DataFrame:
-    """``doc_id, item_id, score, longest_run, doc_end`` of each document and item with a common seed.
+    """``doc_id, item_id, score, longest_run, doc_end`` of each document and item whose alignment scores as a whole passage does or higher.
 
-    ``longest_run`` is the number of consecutive common words, ``score`` that of the best local
-    alignment, ``doc_end`` the word where it ends. Pairs that share ``passage`` consecutive words are complete. With ``edited`` so
-    are those that share ``seed`` consecutive words which at most ``RARE`` documents, or ``RARE_SHARE`` of all, hold. Null and empty
+    ``score`` is that of the best local alignment over words (2 for equal words, -1 for others and for gaps), ``longest_run`` the number of consecutive common words,
+    ``doc_end`` the word where the alignment ends. Pairs that share ``passage`` consecutive words are complete. With ``edited`` pairs are looked for too that share
+    ``LEAST_SEEDS`` seeds of three words near one diagonal, each in at most ``RARE`` documents or ``RARE_SHARE`` of all. Null and empty
     texts, and items of fewer than ``passage`` words, give no pair. Items are read block by block on the driver, so any
     number of them can be asked for; each block is a fixed query set against all documents.
     """
     source = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rare = max(RARE, int(source.count() * RARE_SHARE)) if edited else 0
+    most = max(RARE, int(source.count() * RARE_SHARE)) if edited else None
     found: list[DataFrame] = []
     block: list[tuple[int, list[str]]] = []
     held = 0
@@ -220,13 +277,14 @@ def find_leaks(
             block.append((number, ws))
             held += len(ws)
         if held >= block_words:
-            found.append(materialize(_block(source, block, seed, passage, rare), "leaks"))
+            found.append(materialize(_block(source, block, seed, passage, most), "leaks"))
             block, held = [], 0
     if block or not found:
-        found.append(_block(source, block, seed, passage, rare))
+        found.append(_block(source, block, seed, passage, most))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
+    out = out.where(F.col("score") >= passage * MATCH)
     return out.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max_by("doc_end", "score").alias("doc_end")
     )

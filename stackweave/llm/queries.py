@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import function_term, library_term
 from ..joins import join_unique
 from ..operators.hierarchy import current_links, hierarchy
-from ..operators.timestamps import normalize_timestamps
+from ..operators.timestamps import dictionary_path, normalize_timestamps
 from ..session import materialize
 from ..tables import table
 from . import distinct, leakage, ngrams, runs, stuffing, survivors, tokenizer
@@ -97,7 +97,7 @@ def _p6_long(spark: SparkSession, folder: str) -> DataFrame:
     sizes = kept.groupBy("bug_id").agg(F.count("*").alias("n"))
     tree = hierarchy(current_links(reports, "bug_id", "dup_id", ["ingest_ts", "delivery_id"])).select(F.col("id").alias("bug_id"), "root_id")
     roots = materialize(sizes.join(tree, "bug_id", "left").select("bug_id", F.coalesce("root_id", "bug_id").alias("root_id"), "n"), "roots")
-    instants = normalize_timestamps(reports, trackers, "delivery_id", "creation_ts", "tracker_id")
+    instants = normalize_timestamps(reports, trackers, "delivery_id", "creation_ts", "tracker_id", dictionary_path(spark))
     base = kept.select("bug_id", "delivery_id", "tracker_id", "ingest_ts", *_P6_FIELDS)
     base = join_unique(base, roots, ["bug_id"], "n", ["delivery_id"]).drop("bug_id")
     ranks = trackers.groupBy("tracker_id").agg(F.min("trust_rank").alias("trust"))
@@ -129,7 +129,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_alignments(spark: SparkSession, folder: str) -> DataFrame:
-    """Score of the best local alignment of each document with each item whose seed it holds."""
+    """Documents that hold an item's passage whole or edited: score of the best local alignment and longest run of equal words."""
     return _leaks(spark, folder, edited=True).select("doc_id", "item_id", "score", "longest_run")
 
 

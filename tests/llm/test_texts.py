@@ -102,12 +102,47 @@ def test_edited_copies_beside_whole_ones(spark):
     assert {r.doc_id: (r.score, r.longest_run) for r in found.collect()} == {0: (200, 100), 1: (90 * 2 - 9, 9), 3: (200, 100)}
 
 
-def test_seeds_of_common_grams():
-    items = leakage.Items([(1, [f"i{k}" for k in range(40)])], 5)
-    grams = items.grams(items.coded[0])[1].view(np.int64).tolist()
-    frequency = {g: 500 + k for k, g in enumerate(grams)}
-    assert set(grams[::5]) <= set(leakage.choose_seeds(items, frequency, 13, 100))
-    assert set(leakage.choose_seeds(items, frequency | {grams[7]: 100}, 13, 100)) >= {grams[7], grams[35]}
+def copied(words, share, way, rng):
+    """A passage with a share of its words exchanged (at random or in step), or exchanged, left out and put in."""
+    out = []
+    for i, w in enumerate(words):
+        if int((i + 1) * share) > int(i * share) if way == "step" else rng.random() < share:
+            kind = rng.choice(["other", "none", "more"]) if way == "mixed" else "other"
+            out += {"other": [rng.choice(WORDS)], "none": [], "more": [w, rng.choice(WORDS)]}[kind]
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3])
+@pytest.mark.parametrize("way", ["random", "step", "mixed"])
+def test_edited_copies_are_found(spark, share, way):
+    """Nine in ten copies of 40 words or more, and hardly a text that only uses the same words and phrases."""
+    rng = random.Random(int(share * 10))
+    phrases = [[rng.choice(WORDS) for _ in range(4)] for _ in range(40)]
+    text = lambda n: [w for _ in range(n // 4 + 1) for w in rng.choice(phrases)][:n]
+    items = [(i, [f"n{rng.randrange(300)}" if rng.random() < 0.4 else w for w in text(80)]) for i in range(20)]
+    texts, truth = [], set()
+    for d in range(200):
+        host = text(rng.randint(0, 120))
+        if d % 2:
+            i, words = rng.choice(items)
+            begin, at = rng.randrange(80 - 40), rng.randint(0, len(host))
+            host[at:at] = copied(words[begin : begin + 40], share, way, rng)
+            truth.add((d, i))
+        texts.append(" ".join(host))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = leakage.find_leaks(docs(spark, texts), frame, "doc_id", "item_id", "text", edited=True)
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert len(got & truth) >= 0.9 * len(truth) and len(got - truth) <= 0.05 * len(texts)
+
+
+def test_every_fifth_word_is_another(spark):
+    words = [f"i{k}" for k in range(200)]
+    edited = [f"other{k}" if k % 5 == 4 else w for k, w in enumerate(words)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12]))], "item_id long, text string")
+    found = leakage.find_leaks(docs(spark, [" ".join(edited), "i0 i1 i2 i3 i4 i5 i6"]), frame, "doc_id", "item_id", "text", edited=True)
+    assert [(r.doc_id, r.item_id, r.score, r.longest_run) for r in found.collect()] == [(0, 1, 160 * 2 - 39, 4)]
 
 
 def test_no_documents_and_no_items(spark):
