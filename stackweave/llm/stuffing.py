@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Lags of the autocorrelation and places on either side over which it is averaged.
 LAGS, REACH = 12, 10
+#: Terms of the longest line of a list, and how many lines away one that begins alike may be.
+SHORT, NEAR = 10, 4
 #: Terms of the longest sentence.
 LONGEST = 60
 #: Cost of passing from one state to the other, within a line and between lines.
@@ -39,14 +41,6 @@ le les un une des du de la au aux et ou dans avec pour sans sur ce cette est son
 der die das ein eine einen einem einer des dem den und oder nicht in im mit bei nach von zu auf für ist sind wenn es ich sie jedes nur ab
 """.split()
 )
-# Words with which pages ask for searches.
-LURES = frozenset(
-    """
-best booster buy cheap cleaner coupon crack cracked deal deals discount download driver drivers fix free full guide how keygen latest licence license offer official online optimizer
-patch phone pro price prices promo related repair review reviews sale searches serial shop solved store tablet tagged tags tool tools top torrent update version why windows popular
-""".split()
-)
-
 _ANCHOR = re.compile(r"<a\s[^<>]*?href\s*=\s*[\"']?([^\"'<>\s]*)[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _BREAK = re.compile("\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]")
@@ -66,7 +60,7 @@ _MATERIAL = re.compile(
 
 
 #: Kinds of a chunk, one bit each.
-LINK, TAG, MODEL, FUNCTION, LURE, CODE, FOREIGN, END = (1 << k for k in range(8))
+LINK, TAG, MODEL, FUNCTION, CODE, FOREIGN, END = (1 << k for k in range(7))
 #: Chunks whose kinds a worker remembers.
 CACHE = 300_000
 _known: dict[str, tuple[int, str, int]] = {}
@@ -81,7 +75,7 @@ def _chunk(c: str) -> tuple[int, str, int]:
     link = scheme > 0 and len(c) > scheme + 3 and c[scheme - 1].isalnum() or 0 <= www < len(c) - 4 or bool(_HOST.match(c))
     tag = bool(_HASH.match(c))
     model = bool(_MODEL.match(term.upper() if not c.islower() else c))
-    kinds = link * LINK + tag * TAG + model * MODEL + (term in LURES) * LURE
+    kinds = link * LINK + tag * TAG + model * MODEL
     if term in FUNCTION_WORDS:
         kinds += FUNCTION
     if _FOREIGN.search(term):
@@ -180,6 +174,21 @@ def sentences(terms: list[str], end: np.ndarray) -> np.ndarray:
     return out
 
 
+def alike_lines(codes: np.ndarray, begins: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Places in lines of two to ``SHORT`` terms without a full stop that begin with the same term as another of the ``NEAR`` lines before or after."""
+    starts = np.flatnonzero(begins)
+    length = np.diff(np.append(starts, len(codes)))
+    closed = np.logical_or.reduceat(end, starts)
+    short = (length >= 2) & (length <= SHORT) & ~closed
+    first = np.where(short, codes[starts], -1 - np.arange(len(starts)))
+    found = np.zeros(len(starts), bool)
+    for k in range(1, min(NEAR, len(starts) - 1) + 1):
+        same = first[k:] == first[:-k]
+        found[k:] |= same
+        found[:-k] |= same
+    return np.repeat(found, length)
+
+
 def _smooth(x: np.ndarray, reach: int = REACH) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(x)])
     at = np.arange(len(x))
@@ -187,24 +196,26 @@ def _smooth(x: np.ndarray, reach: int = REACH) -> np.ndarray:
     return (total[hi] - total[lo]) / (hi - lo)
 
 
-def evidence(terms: list[str], kinds: np.ndarray, material: np.ndarray) -> np.ndarray:
+def evidence(terms: list[str], kinds: np.ndarray, material: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """For each chunk, how much it speaks for stuffing (positive) or against it."""
     n = len(terms)
     index: dict[str, int] = {}
     codes = np.array([index.setdefault(t, len(index)) for t in terms], np.int64)
-    link, tag, model, function, lure, code, foreign, end = ((kinds & k) > 0 for k in (LINK, TAG, MODEL, FUNCTION, LURE, CODE, FOREIGN, END))
+    link, tag, model, function, code, foreign, end = ((kinds & k) > 0 for k in (LINK, TAG, MODEL, FUNCTION, CODE, FOREIGN, END))
     content = ~(link | tag | function | code)
     gap, hits = recurrence(codes)
     repeated = content & (gap > 0) & (gap <= 8)
     # Autocorrelation: how many of the lags repeat here, over what chance would give.
     density = _smooth(np.where(content, np.minimum(hits, 6), 0) / 6.0)
-    grammar = _smooth((function & ~repeated).astype(float))
+    grammar = _smooth((function & ~repeated).astype(float) * np.clip(1 - 4 * (density - 0.15), 0, 1))
     bare = content & (grammar < 0.06)
     score = np.full(n, -0.4)
-    score[function] = -1.2
+    # Function words make no sentence where keywords come back at every few words, nor in short lines that begin alike.
+    score[function] = -1.2 * np.clip(1 - 4 * (density[function] - 0.15), 0, 1)
+    listed = alike_lines(codes, begins, end) & ~code & ~material
+    score[function & listed] = 0.15
     score[bare] = 0.15
     score[repeated] = 0.5
-    score[content & lure] += 0.6
     score += np.where(content, 1.5 * (density - 0.15), 0.0)
     strange = content & foreign
     if bare.any() or strange.any():
@@ -264,7 +275,7 @@ def stuffed_share(text: str | None) -> tuple[int, int]:
     terms, words, kinds, begins, material = _row(text)
     if not terms:
         return 0, 0
-    path = stuffed(evidence(terms, kinds, material), begins)
+    path = stuffed(evidence(terms, kinds, material, begins), begins)
     return int(words[path].sum()), int(words.sum())
 
 
