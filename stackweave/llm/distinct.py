@@ -1,8 +1,9 @@
 """How characteristic a term is of a record: a two-by-two contingency table of each (record, term).
 
 The cells are the term's count in the record (n), its count in all other records, and the counts
-of all other terms there. ``llr`` is Dunning's log-likelihood ratio of that table, signed by the
-direction; ``idf`` is n x ln(N / d) from the same counts.
+of all other terms there. A cell adds k x ln(k x total / (row x column)) to half of the log-likelihood ratio. ``llr`` is Dunning's ratio, all four
+cells with margins in occurrences, signed by the direction. ``own`` is the record's own cell alone with margins in records: the log-likelihood ratio of n draws that
+all gave the term, against its rate d / N in the collection, which is n x ln(N / d).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _g(k: Column, row: Column, column: Column, total: Column) -> Column:
 
 
 def score_terms(counts: DataFrame, records: Column, score: str = "llr", least_records: int = 1) -> DataFrame:
-    """``record, term, n, d, score`` of each counted (record, term) whose term occurs in ``least_records`` records or more.
+    """``record, term, n, d, score`` (``llr`` or ``own``) of each counted (record, term) whose term occurs in ``least_records`` records or more.
 
     ``records`` is the number N of all records, a literal or scalar subquery. Scores are rounded to six
     decimals. A term of one record in a collection of one has score 0. A term with a large share of all
@@ -35,9 +36,11 @@ def score_terms(counts: DataFrame, records: Column, score: str = "llr", least_re
     counts = materialize(counts, "term-counts")
     terms = materialize(counts.groupBy("term").agg(F.count("*").alias("d"), F.sum("n").alias("cf")), "terms")
     kept = terms.where(F.col("d") >= least_records).withColumn("weight", F.col("d"))
-    if score == "idf":
+    if score == "own":
         joined = join_unique(counts, kept.drop("cf"), ["term"], "weight", ["record"])
-        value = F.col("n") * F.ln(records.cast("double") / F.col("d"))
+        # The record's row holds the n draws, the term's column d of the N records.
+        n, d = F.col("n").cast("double"), F.col("d").cast("double")
+        value = _g(n, n, d, records.cast("double"))
     elif score == "llr":
         sizes = materialize(counts.groupBy("record").agg(F.sum("n").alias("size"), F.count("*").alias("weight")), "sizes")
         joined = join_unique(join_unique(counts, kept, ["term"], "weight", ["record"]), sizes, ["record"], "weight", ["term"])

@@ -30,7 +30,7 @@ def _term_counts(frames: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     frames = _frames(spark, folder)
-    scored = distinct.score_terms(_term_counts(frames), _record_count(frames), "idf", least_records=2)
+    scored = distinct.score_terms(_term_counts(frames), _record_count(frames), "own", least_records=2)
     return distinct.most_distinctive(scored).select(F.col("record").alias("bug_id"), "term")
 
 
@@ -111,8 +111,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_votes(spark: SparkSession, folder: str) -> DataFrame:
-    """One record a group, each field's value by the sum of its votes."""
-    won = survivors.elect(_p6_long(spark, folder), "root_id", "delivery_id", "trust", "instant_us")
+    """One record a group, each field's value by the sum of its votes; ages count from the latest instant of all deliveries."""
+    won = survivors.elect(materialize(_p6_long(spark, folder), "fields"), "root_id", "delivery_id", "trust", "instant_us")
     return survivors.pivot_back(won, "root_id", _P6_FIELDS)
 
 

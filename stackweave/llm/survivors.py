@@ -43,13 +43,17 @@ def prefer(long: DataFrame, group: str, item: str, order: list[Column]) -> DataF
     return won.select(group, "field_name", F.col("best.item").alias(item), F.col("best.value").alias("value"))
 
 
-def elect(long: DataFrame, group: str, item: str, trust: str, instant: str, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
+def elect(
+    long: DataFrame, group: str, item: str, trust: str, instant: str, half_life_days: float = HALF_LIFE_DAYS, now: Column | None = None
+) -> DataFrame:
     """``group, field_name, value, vote``: each field's normalised value with the largest sum of votes.
 
-    A vote is 1/trust rank, halved for every ``half_life_days`` of age before 2021; an unknown trust or instant
+    A vote is 1/trust rank, halved for every ``half_life_days`` of age before ``now``, an instant in microseconds, else the latest one of ``long``, which
+    is then read twice; an unknown trust or instant
     votes as rank 100 or 20 years. Copies vote once; of equal sums the value that is first in code-point order wins.
     """
-    age = F.coalesce((F.lit(1_609_459_200) - F.col(instant) / 1e6) / 86400, F.lit(7305.0))
+    latest = long.agg(F.max(instant)).scalar() if now is None else now
+    age = F.coalesce((latest - F.col(instant)) / 86_400e6, F.lit(7305.0))
     vote = F.exp(-F.ln(F.lit(2.0)) * age / half_life_days) / F.coalesce(F.col(trust), F.lit(100))
     norm = F.lower(F.trim(F.regexp_replace("value", r"[\s\p{Z}]+", " ")))
     once = long.where(F.col("value").isNotNull() & F.col(group).isNotNull()).select(group, "field_name", item, trust, instant, norm.alias("value")).distinct()

@@ -36,7 +36,7 @@ def test_idf_against_brute_force(spark):
             best = (-round(k * math.log(total / d[t]), 6), t)
             want[b] = min(want.get(b, best), best)
     counts = distinct.count_terms(df, "bug_id", ["stack_no", "depth"], "term")
-    scored = distinct.score_terms(counts, df.agg(F.count_distinct("bug_id")).scalar(), "idf", 2)
+    scored = distinct.score_terms(counts, df.agg(F.count_distinct("bug_id")).scalar(), "own", 2)
     assert {r.record: (-r.score + 0.0, r.term) for r in distinct.most_distinctive(scored).collect()} == {b: (s + 0.0, t) for b, (s, t) in want.items()}
 
 
@@ -67,10 +67,10 @@ def test_llr_against_brute_force(spark):
 
 def test_scores_of_nothing_and_of_one(spark):
     empty = distinct.count_terms(frames(spark, []), "bug_id", ["stack_no", "depth"], "term")
-    for score in ("idf", "llr"):
+    for score in ("own", "llr"):
         assert distinct.score_terms(empty, F.lit(0), score).count() == 0
     one = distinct.count_terms(frames(spark, [(1, 0, 0, "a"), (1, 0, 1, None), (None, 0, 0, "b")]), "bug_id", ["stack_no", "depth"], "term")
-    assert [tuple(r) for r in distinct.score_terms(one, F.lit(1), "idf").collect()] == [(1, "a", 1, 1, 0.0)]
+    assert [tuple(r) for r in distinct.score_terms(one, F.lit(1), "own").collect()] == [(1, "a", 1, 1, 0.0)]
     assert distinct.score_terms(one, F.lit(1), "llr").first().score == 0.0
     with pytest.raises(ValueError):
         distinct.score_terms(one, F.lit(1), "other")
