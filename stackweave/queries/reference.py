@@ -15,7 +15,7 @@ from ..operators import attachments
 from ..operators import candidates as cand
 from ..operators import canonical, docfreq, metrics, ordered, pairs, ranking, reports, splits
 from ..plans import scoring
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources import datasets, recommendations
 from ..tables import table
 from .reference_sql import SQL  # noqa: F401
@@ -108,7 +108,7 @@ _JAVA_CALL = r"\tat ([\w.$]+)\("
 @query
 def fn_package(spark: SparkSession, folder: str) -> DataFrame:
     names = F.regexp_extract_all("text", F.lit(_JAVA_CALL), F.lit(1))
-    docs = table(spark, folder, "documents").select("doc_id", names.alias("names")).where(F.size("names") > 0)
+    docs = _documents(spark, folder).select("doc_id", names.alias("names")).where(F.size("names") > 0)
     return docs.select("doc_id", fr.package_tokens(F.col("names"), F.col("doc_id"), max_depth=0).alias("packages"))
 
 
@@ -531,7 +531,7 @@ def reports_by_day(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text").where("text is not null")
+    return spread(table(spark, folder, "documents").select("doc_id", "text").where("text is not null"))
 
 
 @query

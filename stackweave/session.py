@@ -89,6 +89,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals ``rows`` out to all cores if the files they are read from have fewer splits than there are cores; else they stay where they are.
+
+    For rows whose work costs far more than a shuffle of them; of tables that are large the splits are many.
+    """
+    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if splits < cores else rows
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back.
 
