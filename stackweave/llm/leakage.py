@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 #: Words of a seed.
 SEED = 5
@@ -265,7 +265,7 @@ def find_leaks(
     texts, and items of fewer than ``passage`` words, give no pair. Items are read block by block on the driver, so any
     number of them can be asked for; each block is a fixed query set against all documents.
     """
-    source = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = spread(documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     most = max(RARE, int(source.count() * RARE_SHARE)) if edited else None
     found: list[DataFrame] = []
     block: list[tuple[int, list[str]]] = []

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Lags of the autocorrelation and places on either side over which it is averaged.
 LAGS, REACH = 12, 10
 #: Terms of the longest line of a list, and how many lines away one that begins alike may be.
@@ -289,5 +291,5 @@ def find_stuffed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
                 [b.column(0), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=[doc_id, "stuffed_words", "words"]
             )
 
-    source = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).alias("text"))
+    source = spread(documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).alias("text")))
     return source.mapInArrow(run, f"`{doc_id}` long, stuffed_words long, words long")

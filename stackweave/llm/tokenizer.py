@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Path of the rank file; a parameter, for the vocabulary is no part of this package.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
@@ -159,5 +161,5 @@ def encode_texts(rows: DataFrame, row_id: str, text: str, vocabulary: str = VOCA
                 flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["row_id", "ids"])
 
-    source = rows.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
+    source = spread(rows.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text")))
     return source.mapInArrow(run, "row_id long, ids array<int>").withColumnRenamed("row_id", row_id)
