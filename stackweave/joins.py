@@ -18,6 +18,7 @@ def join_unique(
     row_id: list[str],
     how: str = "inner",
     parts: int = HOT_PARTS,
+    merge: bool = False,
 ) -> DataFrame:
     """Joins ``left`` to the unique-key table ``right`` without a hot key ending in one task.
 
@@ -27,7 +28,7 @@ def join_unique(
     and their numbers of pieces are broadcast, fewer than ``parts`` pairs of 12 bytes; at most two times ``parts`` rows of ``right`` are repeats, however wide.
     Null keys match nothing and are dealt out too. ``right`` should be a
     written table or cheap, for it is read twice. Columns of ``right`` must not clash with those
-    of ``left`` but for ``on``. ``how`` is ``inner`` or ``left``.
+    of ``left`` but for ``on``. ``how`` is ``inner`` or ``left``. ``merge`` keeps Spark from broadcasting ``right`` even while it is below its threshold.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
@@ -42,4 +43,6 @@ def join_unique(
         pieces = F.when(F.col(c).isNull(), F.lit(parts)).otherwise(pieces)
     dealt = cut(left).withColumn("__piece", F.when(pieces == 1, 0).otherwise(F.pmod(F.xxhash64(*row_id), pieces)).cast("int"))
     repeated = cut(right.select(*on, *values)).withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
+    if merge:
+        repeated = repeated.hint("merge")
     return dealt.join(repeated, [*on, "__piece"], how).select(*left.columns, *values)

@@ -5,6 +5,8 @@ fragment's exit), to a root, or round a cycle. Only nodes that some other fragme
 the quotient forest; it is written, solved the same way, and its paths extend those of the fragments.
 A quotient that stops shrinking is solved by pointer doubling instead, which needs a number of
 rounds that is logarithmic in the depth.
+
+Tables of links are never broadcast, for they grow with the data and their paths with the depth.
 """
 
 from __future__ import annotations
@@ -104,11 +106,11 @@ def _double(links: DataFrame) -> DataFrame:
     state = materialize(links.select("id", "exit", "path", F.lit(None).cast("long").alias("cycle"), F.lit(True).alias("open")), "double")
     while True:
         up = state.groupBy(F.col("exit").alias("id")).agg(F.count("*").alias("n"))
-        up = state.join(up, "id").select(
+        up = state.join(up.hint("merge"), "id").select(
             F.col("id").alias("exit"), F.col("exit").alias("up_exit"), F.col("path").alias("up_path"), F.col("cycle").alias("up_cycle"), "n"
         )
         up = materialize(up, "double-up")
-        both = join_unique(state, up, ["exit"], "n", ["id"], "left")
+        both = join_unique(state, up, ["exit"], "n", ["id"], "left", merge=True)
         met = F.col("up_exit").isNotNull() | F.col("up_cycle").isNotNull()
         path = F.when(F.col("up_exit").isNotNull(), F.concat("up_path", "path")).otherwise(F.col("path"))
         step = both.select(
@@ -143,7 +145,7 @@ def _solve(links: DataFrame, count: int, fragment: int, level: int) -> DataFrame
         return materialize(contracted, "forest")
     contracted = materialize(contracted, "contracted")
     exits = contracted.where(F.col("exit").isNotNull()).groupBy(F.col("exit").alias("id")).agg(F.count("*").alias("n"))
-    quotient = materialize(contracted.join(exits, "id"), "quotient")
+    quotient = materialize(contracted.join(exits.hint("merge"), "id"), "quotient")
     left = quotient.count()
     _log.info("level %d: %d of %d nodes are left after contraction in %d fragments", level, left, count, parts)
     if left == 0:
@@ -156,14 +158,14 @@ def _solve(links: DataFrame, count: int, fragment: int, level: int) -> DataFrame
         solved = _solve(open_links, left, fragment, level + 1)
     # A chain may end in a node whose cycle was closed one level below.
     known = closed.select(F.col("id").alias("exit"), F.col("cycle").alias("closed_cycle"))
-    solved = solved.join(known, "exit", "left").select(
+    solved = solved.join(known.hint("merge"), "exit", "left").select(
         "id", F.when(F.col("closed_cycle").isNull(), F.col("exit")).alias("exit"), "path", F.coalesce("cycle", "closed_cycle").alias("cycle")
     ).unionByName(closed)
-    found = solved.join(quotient.select("id", "n"), "id").select(
+    found = solved.join(quotient.select("id", "n").hint("merge"), "id").select(
         F.col("id").alias("exit"), F.col("exit").alias("top_exit"), F.col("path").alias("top_path"), F.col("cycle").alias("top_cycle"), "n"
     )
     found = materialize(found, "solved")
-    both = join_unique(contracted, found, ["exit"], "n", ["id"], "left")
+    both = join_unique(contracted, found, ["exit"], "n", ["id"], "left", merge=True)
     met = F.col("top_exit").isNotNull()
     cycle = F.coalesce("cycle", "top_cycle")
     return materialize(
@@ -194,8 +196,8 @@ def hierarchy(links: DataFrame, fragment: int = FRAGMENT_NODES) -> DataFrame:
     """
     links = materialize(links.select(F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("parent")).where("id is not null"), "links")
     named = links.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n"))
-    known = materialize(named.join(links.select(F.col("id").alias("parent")), "parent").withColumn("there", F.lit(True)), "parents")
-    edges = join_unique(links.where("parent is not null"), known, ["parent"], "n", ["id"])
+    known = materialize(named.join(links.select(F.col("id").alias("parent")).hint("merge"), "parent").withColumn("there", F.lit(True)), "parents")
+    edges = join_unique(links.where("parent is not null"), known, ["parent"], "n", ["id"], merge=True)
     edges = materialize(edges.select("id", F.col("parent").alias("exit"), F.array("id").alias("path")), "edges")
     solved = _solve(edges, edges.count(), fragment, 0)
     return solved.select(
