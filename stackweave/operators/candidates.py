@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import day
-from ..session import materialize
 
 #: Chunks of days in one window, and parts of a chunk's buckets.
 PARTS, SPREAD = 16, 16
@@ -20,6 +19,10 @@ def universe(reports: DataFrame, queries: DataFrame) -> DataFrame:
     return reports.where(F.struct("ts", "bug_id") <= newest)
 
 
+def _pieces(size: Column, reports: DataFrame) -> Column:
+    return (1 + F.floor(size * HOT_PARTS / reports.agg(F.count("*")).scalar())).cast("int")
+
+
 def _spans(reports: DataFrame, window_days: int) -> DataFrame:
     """``bucket, first, until, pieces``: the stretches of time in which a query finds the bucket active.
 
@@ -34,8 +37,7 @@ def _spans(reports: DataFrame, window_days: int) -> DataFrame:
     fresh = F.when(day(F.col("first.ts")) - F.lag("last").over(w) <= window_days, 0).otherwise(1)
     cut = held.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(w)).withColumn("size", F.sum("n").over(Window.partitionBy("bucket")))
     spans = cut.groupBy("bucket", "span").agg(F.min("first").alias("first"), (F.max("last") + window_days).alias("until"), F.max("size").alias("size"))
-    total = reports.agg(F.count("*")).scalar()
-    return spans.withColumn("pieces", (1 + F.floor(F.col("size") * HOT_PARTS / total)).cast("int")).drop("span", "size")
+    return spans.withColumn("pieces", _pieces(F.col("size"), reports)).drop("span", "size")
 
 
 def _active(reports: DataFrame, queries: DataFrame, window_days: int) -> DataFrame:
@@ -66,9 +68,9 @@ def candidates(reports: DataFrame, queries: DataFrame, window_days: int | None)
     asked. With one, both joins are equi-joins, on day chunks and on buckets, a large bucket in pieces. Queries that are no report have no candidates.
     """
     if window_days:
-        active = materialize(_active(reports, queries, window_days), "active")
-        sizes = active.select("bucket", "pieces").where("pieces > 1").distinct()
+        active = _active(reports, queries, window_days)
         # Fewer than HOT_PARTS buckets have more than one piece.
+        sizes = reports.groupBy("bucket").agg(F.count("*").alias("size")).select("bucket", _pieces(F.col("size"), reports).alias("pieces")).where("pieces > 1")
         members = reports.select("bug_id", "bucket", "ts").join(F.broadcast(sizes), "bucket", "left")
         members = members.select("bug_id", "bucket", "ts", F.pmod(F.xxhash64("bug_id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"))
         asked = active.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))

@@ -23,8 +23,8 @@ from .reference_sql import SQL  # noqa: F401
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Window of the candidate and ranking queries, in days.
-WINDOW = 365
+#: Window of candidates, in days.
+WINDOW = 730
 #: 2015-01-01 and 2017-01-01 in days since 1970.
 DAY_2015, DAY_2017 = 16436, 17167
 
@@ -86,7 +86,7 @@ def frames_maxdepth(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def frames_distinct_stacks(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.distinct_stacks(_stacks(spark, folder, 3))
+    return reports.distinct_stacks(_stacks(spark, folder))
 
 
 @query
@@ -314,7 +314,7 @@ def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     """(candidates by prefix score, candidates, reports) of all evaluated queries."""
     canonical_ = materialize(_reports(spark, folder), "canonical")
     wanted = cand.evaluated(_asked(spark, folder), canonical_)
-    asked = materialize(cand.candidates(canonical_, wanted, WINDOW), "candidates")
+    asked = cand.candidates(canonical_, wanted, WINDOW)
     scored = pairs.best_of_pairs(asked, materialize(_stacks(spark, folder), "stacks"), kernels.common_prefix).withColumn("score", _six("score"))
     return scored, asked, canonical_
 
@@ -383,7 +383,7 @@ def metric_rr_mrr(spark: SparkSession, folder: str) -> DataFrame:
     canonical_ = materialize(_reports(spark, folder), "canonical")
     # Only duplicates have a position, so only they are scored.
     wanted = cand.evaluated(_asked(spark, folder), canonical_).join(canonical_.where("bucket <> bug_id").select("bug_id"), "bug_id", "left_semi")
-    asked = materialize(cand.candidates(canonical_, wanted, WINDOW), "candidates")
+    asked = cand.candidates(canonical_, wanted, WINDOW)
     scored = pairs.best_of_pairs(asked, materialize(_stacks(spark, folder), "stacks"), kernels.common_prefix).withColumn("score", _six("score"))
     found = metrics.recall_and_mrr(metrics.bucket_positions(scored, cand.masters(canonical_)))
     return found.select("queries", _six("mrr").alias("mrr"), F.transform("recall", lambda r: F.round(r, 6)).alias("recall"))
@@ -691,12 +691,11 @@ def _figures(done: scoring.Evaluation) -> DataFrame:
     return done.recall.select("queries", _six("mrr").alias("mrr"), F.round(F.get("recall", F.lit(0)), 6).alias("recall_1"), F.round(F.get("recall", F.lit(9)), 6).alias("recall_10"))
 
 
-# The reference's window of 730 days, but for eval_prefix, whose SQL has WINDOW.
-_TRIMMED = {"window_days": 730, "trim_percent": 20.0, "recursion": "repeats"}
+_TRIMMED = {"window_days": WINDOW, "trim_percent": 20.0, "recursion": "repeats"}
 EVALUATIONS = {
     "eval_prefix": scoring.Settings("prefix", window_days=WINDOW), "eval_weighted": scoring.Settings("weighted", **_TRIMMED), "eval_linear": scoring.Settings("linear", **_TRIMMED),
     "eval_alignment": scoring.Settings("alignment", **_TRIMMED), "eval_edit": scoring.Settings("edit", **_TRIMMED), "eval_positional": scoring.Settings("positional", **_TRIMMED),
-    "eval_bag": scoring.Settings("bag", window_days=730, n_gram=2),
+    "eval_bag": scoring.Settings("bag", window_days=WINDOW, n_gram=2),
 }
 for _name, _s in EVALUATIONS.items():
     _add(_name, _evaluation(_s))

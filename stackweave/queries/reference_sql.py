@@ -4,7 +4,7 @@ from __future__ import annotations
 
 _CANON = r"regexp_replace(regexp_replace(regexp_replace({x}, '\(.*\)', '', 'g'), '^_*GI_+', ''), '^_+', '')"
 _DAY = 86_400_000_000
-DAY_2015, DAY_2017, WINDOW = 16436, 17167, 365
+DAY_2015, DAY_2017, WINDOW = 16436, 17167, 730
 
 _REPORTS = """
 cur as (select bug_id, dup_id as dup, label from (
@@ -207,13 +207,13 @@ SQL: dict[str, str] = {
     "reports_canonical": f"with {_REPORTS} select * from reports",
     "frames_encode": f"with {_stacks()} select * from stacks",
     "frames_maxdepth": f"with {_stacks(5)} select * from stacks",
-    "frames_distinct_stacks": f"with {_stacks(3)} select bug_id, tokens, min(stack_no) as stack_no from stacks group by all",
+    "frames_distinct_stacks": f"with {_stacks()} select bug_id, tokens, min(stack_no) as stack_no from stacks group by all",
     "fn_canonical": f'select distinct "function", {_CANON.format(x=chr(34) + "function" + chr(34))} as canonical from stack_frame where "function" is not null',
     "fn_module_pairs": f"""with d as (select distinct "function" as f, file, dylib, string_split("function", '::') as p from stack_frame where "function" is not null)
 select f as "function", file, dylib, {_CANON.format(x="p[len(p)]")} as inner_function, case when len(p) > 1 then array_to_string(p[1 : len(p) - 1], '::') end as namespace,
   coalesce(string_split(file, '/')[-1], string_split(dylib, '/')[-1]) as file_module from d""",
     "fn_package": rf"""with n as (select doc_id, regexp_extract_all(text, '\tat ([\w.$]+)\(', 1) as names from documents),
-p as (select doc_id, list_transform(list_filter(names[1 : 300], lambda n: len(string_split(n, '.')) >= 3), lambda n: {_CANON.format(x="array_to_string(string_split(n, '.')[1 : len(string_split(n, '.')) - 2], '.')")}) as packages from n where len(names) > 0)
+p as (select doc_id, list_transform(list_filter(names, lambda n: len(string_split(n, '.')) >= 3), lambda n: {_CANON.format(x="array_to_string(string_split(n, '.')[1 : len(string_split(n, '.')) - 2], '.')")}) as packages from n where len(names) > 0)
 select doc_id, case when len(packages) > 0 then packages else ['@@@' || doc_id || '@@@'] end as packages from p""",
     "depth_segments": """with o as (select distinct bug_id, stack_no::bigint * 100000 + depth as place, depth from stack_frame),
 m as (select *, case when depth > lag(depth) over w or lag(depth) over w is null then 0 else 1 end as fresh from o window w as (partition by bug_id order by place))
@@ -530,7 +530,7 @@ select doc_id, field_name, arg_max(regexp_replace(raw, '^[\s\x0B]+|[\s\x0B]+$',
 _EVAL_STACKS = f"""{_stacks()},
 plain as (select bug_id, stack_no, list_transform(list_filter(range(1, len(tokens) + 1), lambda i: i = 1 or tokens[i] = '??' || bug_id or tokens[i] <> tokens[i - 1]), lambda i: tokens[i]) as tokens from stacks),
 placed as (select bug_id, stack_no, generate_subscripts(tokens, 1) as place, unnest(tokens) as token from plain)"""
-_EVAL_CANDS = f"{_REPORTS}, {_ASKED}, {_EVALUATED}, {_window('evaluated', 730)}"
+_EVAL_CANDS = f"{_REPORTS}, {_ASKED}, {_EVALUATED}, {_window('evaluated')}"
 _AT_QUERIES = f"""{_EVAL_CANDS}, {_EVAL_STACKS},
 num as (select bug_id, row_number() over (order by p, ts, bug_id) - 1 as number from (select bug_id, min((chunk_id, query_ord)) as p from query_report where bug_id is not null group by bug_id) join reports using (bug_id)),
 base as (select bug_id from reports where (ts, bug_id) <= (select max((ts, bug_id)) from reports where bug_id in (select bug_id from num)) and bug_id not in (select bug_id from num)),
