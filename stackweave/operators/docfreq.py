@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import join_unique
@@ -16,7 +16,11 @@ def document_frequency(stacks: DataFrame, by_stack: bool = False) -> DataFrame:
     total = stacks.select(*key).distinct().agg(F.count("*")).scalar()
     held = stacks.select(*key, F.explode("tokens").alias("token")).distinct()
     counted = held.groupBy("token").agg(F.count("*").alias("df"))
-    return counted.select("token", "df", (F.col("df").cast("double") / total.cast("double") * 100).alias("percent"))
+    return counted.select("token", "df", percent_of(F.col("df"), total).alias("percent"))
+
+
+def percent_of(count: Column, total: Column) -> Column:
+    return count.cast("double") / total.cast("double") * 100
 
 
 def inverse_frequency(frequency: DataFrame, total: "F.Column") -> DataFrame:

@@ -55,30 +55,43 @@ def _is_unknown(s: Settings) -> Column:
     return F.col("token") == "??" if s.keep_unknown else F.col("token").rlike(r"^\?\?-?\d+$")
 
 
-def encoded(flat: DataFrame, s: Settings) -> DataFrame:
-    """Stacks with tokens under the settings, written."""
+def tokens_of(flat: DataFrame, s: Settings) -> DataFrame:
+    """Stacks with tokens under the settings."""
     if s.trim_percent is not None and s.trim_percent <= 0:
         raise ValueError("trim_percent must be positive")
     stacks = reports.encode(reports.stack_names(flat, s.max_depth), s.keep_unknown)
     stacks = reports.remove_recursion(stacks, s.recursion, s.keep_unknown)
-    return materialize(reports.distinct_stacks(stacks) if s.distinct_stacks else stacks, "stacks")
+    return reports.distinct_stacks(stacks) if s.distinct_stacks else stacks
 
 
-def prepare(flat: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(stacks with tokens and frequencies, frequencies) under the settings, the frequencies those of all stacks given.
+def encoded(flat: DataFrame, s: Settings) -> DataFrame:
+    """``tokens_of``, written."""
+    return materialize(tokens_of(flat, s), "stacks")
+
+
+def weigh(stacks: DataFrame, frequency: DataFrame, s: Settings) -> DataFrame:
+    """Stacks with the frequencies of their tokens, trimmed and filtered under the settings; ``frequency`` is written and holds ``token, df, percent``.
 
     Unknown functions of a fixed frequency are never trimmed.
     """
-    stacks = encoded(flat, s)
-    frequency = docfreq.document_frequency(stacks, s.frequency_by_stack).withColumn("exempt", F.lit(False))
-    if s.frequency_of_unknown is not None:
-        unknown = _is_unknown(s)
-        frequency = frequency.withColumn("percent", F.when(unknown, F.lit(s.frequency_of_unknown)).otherwise(F.col("percent"))).withColumn("exempt", unknown)
-    frequency = materialize(frequency, "frequency")
     weighed = reports.with_frequencies(stacks, frequency)
     if s.trim_percent is not None:
         weighed = reports.trim(weighed, s.trim_percent, exempt=_is_unknown_token(s) if s.frequency_of_unknown is not None else None)
-    return _kept(weighed, frequency, s), frequency
+    return _kept(weighed, frequency, s)
+
+
+def fixed_unknown(frequency: DataFrame, s: Settings) -> DataFrame:
+    """The frequency table with the fixed frequency of unknown functions, if there is one."""
+    if s.frequency_of_unknown is None:
+        return frequency
+    return frequency.withColumn("percent", F.when(_is_unknown(s), F.lit(s.frequency_of_unknown)).otherwise(F.col("percent")))
+
+
+def prepare(flat: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(stacks with tokens and frequencies, frequencies) under the settings, the frequencies those of all stacks given."""
+    stacks = encoded(flat, s)
+    frequency = materialize(fixed_unknown(docfreq.document_frequency(stacks, s.frequency_by_stack), s), "frequency")
+    return weigh(stacks, frequency, s), frequency
 
 
 def _is_unknown_token(s: Settings) -> Callable[[Column], Column]:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stackweave.functions.instants import DAY_US
 from stackweave.operators import candidates as cand
@@ -272,3 +273,32 @@ def test_positions_from_scores_are_those_of_ranks(spark, mini):
     want = {tuple(r) for r in metrics.hit_positions(ranking.rank(scored), masters).collect()}
     assert {tuple(r) for r in metrics.bucket_positions(scored, masters).collect()} == want
     assert metrics.bucket_positions(scored.limit(0), masters).count() == 0
+
+
+def test_random_chunks(spark, timeline):
+    starts = splits.random_starts(timeline, 3, 4, 2, 5)
+    drawn = [r.start_day for r in starts.orderBy("chunk").collect()]
+    assert len(set(drawn)) == 3 and all(3 <= d <= 15 for d in drawn) and drawn == [r.start_day for r in splits.random_starts(timeline.repartition(3), 3, 4, 2, 5).orderBy("chunk").collect()]
+    chunks = splits.random_chunks(timeline, 3, 4, 2, 5)
+    for k, d in enumerate(drawn):
+        assert parts(chunks.where(f"chunk = {k}").drop("chunk")) == parts(splits.chunk(timeline, d, 4, 2))
+    assert splits.random_starts(timeline, 100, 4, 2, 5).count() == 13
+    assert splits.random_chunks(timeline, 3, 4, 99, 5).count() == 0 and splits.random_chunks(timeline.limit(0), 3, 4, 1, 5).count() == 0
+
+
+def test_reuse_and_first_attachments(spark):
+    from stackweave.operators import attachments
+
+    lists = "query_id long, cand_id long, score double, rec_rank int"
+    made, older = spark.createDataFrame([(1, 5, 0.5, 1), (2, 6, 0.6, 1), (3, 7, 0.7, 1)], lists), spark.createDataFrame([(1, 8, 0.8, 1), (3, 9, 0.9, 1)], lists)
+    order = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "query_id long, number int")
+    assert {(r.query_id, r.cand_id) for r in ranking.reuse(made, older, order, 2).collect()} == {(1, 8), (3, 7)}
+    assert {(r.query_id, r.cand_id) for r in ranking.reuse(made, older, order, 0).collect()} == {(1, 5), (2, 6), (3, 7)}
+    near = attachments.NEAR_US
+    rows = [(1, 10, 5, False), (1, 11, 6, True), (2, 20, near + 1, True), (2, 21, near + 2, True), (3, 31, 0, True), (3, 30, 0, True), (4, 40, None, True), (None, 50, 1, True), (5, 60, 1, False)]
+    files = spark.createDataFrame(rows, "bug_id long, attachment_id long, at long, stack boolean")
+    reports_ = spark.createDataFrame([(b, 0) for b in range(1, 6)], "bug_id long, ts long")
+    assert {tuple(r) for r in attachments.first_attachment(reports_, files).collect()} == {(1, 10), (3, 30), (5, 60)}
+    # Of those that hold a stack; one that came too late is not replaced by a later one.
+    assert {tuple(r) for r in attachments.first_attachment(reports_, files, F.col("stack")).collect()} == {(1, 11), (3, 30)}
+    assert attachments.first_attachment(reports_, files.limit(0)).count() == 0

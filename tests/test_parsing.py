@@ -168,3 +168,14 @@ def test_normal_field_names(spark):
     got = p.normal_field_names(row)
     assert got.columns == ["bug.id", "short_desc", "os"] and tuple(got.first())[:2] == (1, "a")
     assert p.normal_field_names(spark.createDataFrame([], "title string")).columns == ["title"]
+
+
+def test_threads_are_written_and_read_back(spark):
+    schema = "bug_id long, stack_no int, depth int, function string, file string, fileline string, dylib string, address string, args string"
+    rows = [(1, 0, 0, "f", "a.c", "3", None, "0x1", "x=1"), (1, 0, 1, None, None, None, "/l.so", None, None), (1, 2, 0, "g", None, None, None, "0x2", "a\nb"), (1, 2, 0, "g", None, None, None, "0x2", "a\nb")]
+    rows += [(2, 0, 0, "h", "b.c", None, "/l.so", "0x3", None), (2, 0, -1, "no", None, None, None, None, None), (2, 0, 300, "deep", None, None, None, None, None), (None, 0, 0, "n", None, None, None, None, None)]
+    texts = {r.bug_id: r.text for r in p.threads_text(spark.createDataFrame(rows, schema)).collect()}
+    assert texts == {1: "Thread 0:\n#0 0x1 in f (x=1) at a.c:3\n#1 0x0 in ?? () from /l.so\nThread 2:\n#0 0x2 in g (a b)", 2: "Thread 0:\n#0 0x3 in h () at b.c"}
+    got = one(spark, p.thread_stacks, texts[1])
+    assert [[(f.depth, f.function, f.file, f.dylib) for f in s] for s in got] == [[(0, "f", "a.c", None), (1, None, None, "/l.so")], [(0, "g", None, None)]]
+    assert p.threads_text(spark.createDataFrame([], schema)).count() == 0
