@@ -75,3 +75,25 @@ tree as (select bug_id, list_prepend(top, path) as path from walk where not ring
 select path[i] as ancestor_id, bug_id, (len(path) - i)::int as distance
 from tree, unnest(range(1, len(path))) as t(i)""",
 }
+_NODES = """with recursive texts as (select distinct delivery_id, stacktrace::json as j from bug_report where delivery_id is not null and json_valid(stacktrace)),
+walk as (
+  select delivery_id, '' as path, false as is_node, j from texts
+  union all
+  select delivery_id, n.path, n.is_node, n.j from (
+    select delivery_id, unnest(case
+      when json_type(j) = 'VARCHAR' and json_valid(j ->> '$') then [{'path': path, 'is_node': is_node, 'j': (j ->> '$')::json}]
+      when not is_node and json_type(j) = 'ARRAY' then list_transform(range(0, json_array_length(j)::bigint), lambda i: {'path': path || '.' || i, 'is_node': true, 'j': json_extract(j, '$[' || i || ']')})
+      when not is_node and json_type(j) = 'OBJECT' then [{'path': path || '.0', 'is_node': true, 'j': j}]
+      when is_node and json_type(j) = 'OBJECT' and json_exists(j, '$.nested') then [{'path': path, 'is_node': false, 'j': json_extract(j, '$.nested')}]
+      else [] end) as n from walk)),
+listed as (select delivery_id, path[2:] as stack_path, j, json_extract(j, '$.frames') as f from walk where is_node and json_type(j) = 'OBJECT'),
+unwrapped as (select delivery_id, stack_path, j, case when json_type(f) = 'VARCHAR' and json_valid(f ->> '$') then (f ->> '$')::json else f end as f from listed),
+stacks as (select distinct delivery_id, stack_path, j, coalesce(case json_type(f) when 'ARRAY' then len(list_filter(json_extract(f, '$[*]'), lambda x: json_type(x) <> 'NULL')) when 'OBJECT' then 1 end, 0)::int as n_frames
+  from unwrapped)"""
+SQL["p7_found"] = f"{_NODES} select distinct delivery_id, stack_path, n_frames from stacks"
+SQL["p7_stacks"] = f"""{_NODES} select distinct delivery_id, stack_path, nullif(regexp_replace(stack_path, '\\.?[0-9]+$', ''), '') as parent_stack, n_frames,
+  j ->> '$.exception' as exception, j ->> '$.message' as message from stacks"""
+SQL["p7_frames"] = f"""{_NODES}, held as (select distinct delivery_id, stack_path, case json_type(f) when 'ARRAY' then json_extract(f, '$[*]') when 'OBJECT' then [f] else [] end as fs from unwrapped),
+frames as (select delivery_id, stack_path, unnest(range(0, len(fs))) as position, unnest(fs) as f from held)
+select distinct delivery_id, stack_path, position::int as position, f ->> '$.depth' as depth, f ->> '$.function' as "function", f ->> '$.file' as file, f ->> '$.fileline' as fileline
+from frames where json_type(f) <> 'NULL'"""
