@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import timestamps
 from ..operators.dewey import frame_table, shred, stack_table
 from ..operators.hierarchy import current_links, descendants, hierarchy
 from ..operators.timestamps import dictionary_path, normalize_timestamps
@@ -97,3 +98,51 @@ SQL["p7_frames"] = f"""{_NODES}, held as (select distinct delivery_id, stack_pat
 frames as (select delivery_id, stack_path, unnest(range(0, len(fs))) as position, unnest(fs) as f from held)
 select distinct delivery_id, stack_path, position::int as position, f ->> '$.depth' as depth, f ->> '$.function' as "function", f ->> '$.file' as file, f ->> '$.fileline' as fileline
 from frames where json_type(f) <> 'NULL'"""
+
+
+def _instants_sql() -> str:
+    """``delivery_id, us`` of each delivery, by the same fixed forms; RE2 has no back-references, so a form whose marks must agree is one for each mark."""
+    time = timestamps._TIME.replace(r"m\.?(?![a-z])", r"m(?:\.|\b)")
+    forms: list[tuple[str, list[int], str]] = []
+    for pattern, order in timestamps._FORMS:
+        groups = [int(g[1:]) if g else 0 for g in order.split("|")]
+        forms.append((pattern.replace(timestamps._TIME, time), groups, "true"))
+    for date_order, groups in (("dmy", [4, 3, 1, 5, 6, 7, 8, 9, 10]), ("mdy", [4, 1, 3, 5, 6, 7, 8, 9, 10])):
+        forms.append((timestamps._YEAR_LAST.replace(timestamps._TIME, time), groups, f"date_order = '{date_order}'"))
+    tried = []
+    for pattern, groups, only in forms:
+        marked = r"\2" in pattern
+        for mark in "-/." if marked else " ":
+            one = pattern.replace("([-/.])", f"[{mark}]").replace(r"\2", f"[{mark}]")
+            parts = ", ".join(f"regexp_extract(t, '{one}', {g - 1 if marked and g > 2 else g})" if g else "''" for g in groups)
+            tried.append(f"when {only} and regexp_matches(t, '{one}') then [{parts}]")
+    names = ", ".join(f"'{z}|{a}': {m}" for z, known in timestamps.ABBREVIATIONS.items() for a, m in known.items())
+    months = ", ".join(f"'{m}'" for m in timestamps.MONTHS)
+    low, high = timestamps.FIRST_S, timestamps.LAST_S
+    white = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    return rf"""
+raw_ts as (select distinct delivery_id, creation_ts, home_zone, date_order from bug_report join tracker using (tracker_id) where creation_ts is not null and delivery_id is not null),
+clean_ts as (select *, lower(regexp_replace(creation_ts, '^{white}|{white}$', '', 'g')) as t from raw_ts),
+part_ts as (select *, case {' '.join(tried)} end as p, case when regexp_matches(t, '^\d{{1,20}}(?:\.\d+)?$') then try_cast(regexp_extract(t, '^\d+', 0) as bigint) end as whole,
+  rpad(regexp_extract(t, '\.(\d+)$', 1), 6, '0') as frac from clean_ts),
+field_ts as (select *, try_cast(p[1] as int) as y, coalesce(try_cast(p[2] as int), list_position([{months}], p[2][1:3])) as mo, try_cast(p[3] as int) as d,
+  try_cast(coalesce(nullif(p[4], ''), '0') as int) as h0, try_cast(coalesce(nullif(p[5], ''), '0') as int) as mi, try_cast(coalesce(nullif(p[6], ''), '0') as int) as se,
+  rpad(p[7], 6, '0')[1:6]::bigint as us, p[8] as half, upper(regexp_replace(p[9], '[\[\]]', '', 'g')) as zone from part_ts),
+clock_ts as (select *, case when half = '' then h0 when h0 between 1 and 12 then h0 % 12 + case half when 'p' then 12 else 0 end end as h from field_ts),
+local_ts as (select *, case when h < 24 and mi < 60 and se < 60 then try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, mo, d, h, mi, se) as timestamp) end as local,
+  case when zone in ('Z', 'UTC', 'GMT', 'UT') then 0 when regexp_matches(zone, '^[+-]\d\d(:?\d\d)?$') then
+    (case zone[1] when '-' then -1 else 1 end) * (zone[2:3]::int * 60 + coalesce(try_cast(regexp_extract(zone, '^...:?(\d\d)$', 1) as int), 0)) else map {{{names}}}[home_zone || '|' || zone] end as shift,
+  case when zone = '' then home_zone when contains(zone, '/') then (select any_value(name) from pg_timezone_names() where upper(name) = zone) end as region from clock_ts),
+moved_ts as (select *, timezone(region, local) as at_ from local_ts),
+instant_ts as (select delivery_id, coalesce(case
+  when whole >= {low} and whole < {high} then whole * 1000000 + coalesce(try_cast(frac as bigint), 0)
+  when whole >= {low}000 and whole < {high}000 then whole * 1000 + coalesce(try_cast(frac[1:3] as bigint), 0)
+  when whole >= {low}000000 and whole < {high}000000 then whole
+  when whole >= {low}000000000 and whole < {high}000000000 then whole // 1000 end,
+  case when shift is not null then epoch_us(local) - shift::bigint * 60000000
+    when timezone(region, at_ - interval 1 hour) = local then epoch_us(at_) - 3600000000 else epoch_us(at_) end + us) as us from moved_ts)"""
+
+
+INSTANTS_SQL = _instants_sql()
+SQL["p1_found"] = f"with {INSTANTS_SQL} select distinct delivery_id, us::bigint as creation_us from instant_ts where us is not null"
+TREE_SQL = _TREE
