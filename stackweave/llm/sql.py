@@ -1,5 +1,8 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
+from ..queries.problems import INSTANTS_SQL, TREE_SQL
+from .survivors import MISSING
+
 _TERM = r"""
 term as (
   select distinct bug_id, stack_no, depth, case when t similar to '<(.|\n)*>' then t else nullif(nullif(
@@ -54,3 +57,18 @@ select bug_id, stack_no, min(depth) as first_depth, max(depth) as last_depth fro
 g as (select doc_id, item_id, array_to_string(w[i : i + 12], ' ') as g from w, unnest(range(1, len(w) - 11)) as t(i))
 select distinct a.doc_id, b.item_id from g a join g b using (g) where a.doc_id is not null and b.item_id is not null""",
 }
+_SPACE = r"[\s\x0B\x{1C}-\x{1F}\x{85}\p{Z}]+"
+_GONE = ", ".join(f"'{m}'" for m in MISSING)
+_VALUES = " union all ".join(f"select root_id, delivery_id, trust, us, ingest_ts, '{f}' as field_name, {f} as value from member" for f in ("short_desc", "version", "os", "bug_severity"))
+SQL["p6_found"] = rf"""{TREE_SQL},
+tree as (select bug_id, case when ring then list_min(path[1 : list_position(path, top)]) else top end as root_id from walk where ring or top not in (select bug_id from edge)),
+{INSTANTS_SQL},
+ranks as (select tracker_id, min(trust_rank) as trust from tracker group by tracker_id),
+times as (select delivery_id, max(us)::bigint as us from instant_ts group by delivery_id),
+member as (select distinct coalesce(root_id, bug_id) as root_id, delivery_id, trust, us, ingest_ts, short_desc, version, os, bug_severity
+  from bug_report left join tree using (bug_id) left join ranks using (tracker_id) left join times using (delivery_id) where bug_id is not null),
+big as (select root_id from member group by root_id having count(distinct delivery_id) > 1),
+long_ as (select * from ({_VALUES}) join big using (root_id)),
+told as (select * from long_ where value is not null and regexp_matches(value, '[\p{{L}}\p{{N}}]') and lower(trim(regexp_replace(value, '{_SPACE}', ' ', 'g'))) not in ({_GONE}))
+select root_id, field_name, delivery_id from told
+qualify row_number() over (partition by root_id, field_name order by trust asc nulls last, us desc nulls last, ingest_ts desc nulls last, delivery_id desc) = 1"""
