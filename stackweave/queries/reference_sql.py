@@ -613,3 +613,8 @@ cells as (select row_number() over () as id, query_id, cand_id, a.tokens as q, b
 exact as (select query_id, cand_id, max({_POSITIONAL}) as s from cells t join real using (id) group by all),
 blended as (select query_id, cand_id, text as t, coalesce(s, -9999999.99) as s from first_stage left join exact using (query_id, cand_id)),
 scored as (select query_id, cand_id, case when s is null then -999999999.99 when 0.4 * s + 0.6 * t = 0 then 0 else t * s / (0.4 * s + 0.6 * t) end as score from cands left join blended using (query_id, cand_id)), {_FIGURES}"""
+
+# RE2 has no look-ahead, so a line feed parts capitals from the word that the last of them begins; and no back-references, so each mark's run is its own alternative.
+_RUNS = "|".join(f"[{chr(92) if m in '[]^' + chr(92) else ''}{m}]+".replace("'", "''") for m in _ALL_MARKS)
+_LOW = r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]"
+SQL["text_camel"] = _text(rf"regexp_extract_all(regexp_replace(text, '(\p{{Lu}})(\p{{Lu}}{_LOW})', '\1' || chr(10) || '\2', 'g'), '\p{{N}}+|\p{{Lu}}?{_LOW}+|\p{{Lu}}+|{_RUNS}|[^\p{{L}}\p{{N}}\s\x0B]')")
