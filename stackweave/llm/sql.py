@@ -60,15 +60,23 @@ select distinct a.doc_id, b.item_id from g a join g b using (g) where a.doc_id i
 _SPACE = r"[\s\x0B\x{1C}-\x{1F}\x{85}\p{Z}]+"
 _GONE = ", ".join(f"'{m}'" for m in MISSING)
 _VALUES = " union all ".join(f"select root_id, delivery_id, trust, us, ingest_ts, '{f}' as field_name, {f} as value from member" for f in ("short_desc", "version", "os", "bug_severity"))
-SQL["p6_found"] = rf"""{TREE_SQL},
+_MEMBERS = rf"""{TREE_SQL},
 tree as (select bug_id, case when ring then list_min(path[1 : list_position(path, top)]) else top end as root_id from walk where ring or top not in (select bug_id from edge)),
 {INSTANTS_SQL},
 ranks as (select tracker_id, min(trust_rank) as trust from tracker group by tracker_id),
 times as (select delivery_id, max(us)::bigint as us from instant_ts group by delivery_id),
 member as (select distinct coalesce(root_id, bug_id) as root_id, delivery_id, trust, us, ingest_ts, short_desc, version, os, bug_severity
-  from bug_report left join tree using (bug_id) left join ranks using (tracker_id) left join times using (delivery_id) where bug_id is not null),
+  from bug_report left join tree using (bug_id) left join ranks using (tracker_id) left join times using (delivery_id) where bug_id is not null)"""
+SQL["p6_found"] = rf"""{_MEMBERS},
 big as (select root_id from member group by root_id having count(distinct delivery_id) > 1),
 long_ as (select * from ({_VALUES}) join big using (root_id)),
 told as (select * from long_ where value is not null and regexp_matches(value, '[\p{{L}}\p{{N}}]') and lower(trim(regexp_replace(value, '{_SPACE}', ' ', 'g'))) not in ({_GONE}))
 select root_id, field_name, delivery_id from told
 qualify row_number() over (partition by root_id, field_name order by trust asc nulls last, us desc nulls last, ingest_ts desc nulls last, delivery_id desc) = 1"""
+SQL["p6_votes"] = rf"""{_MEMBERS},
+long_ as (select root_id, delivery_id, trust, us, field_name, lower(trim(regexp_replace(value, '{_SPACE}', ' ', 'g'))) as v, value from ({_VALUES})),
+once as (select distinct root_id, field_name, delivery_id, trust, us, v from long_ where value is not null and regexp_matches(value, '[\p{{L}}\p{{N}}]') and v not in ({_GONE})),
+votes as (select root_id, field_name, v, sum(exp(-ln(2.0) * coalesce(((select max(us) from long_) - us) / 86400e6, 7305.0) / 365.0) / coalesce(trust, 100)) as vote from once group by all),
+won as (select root_id, field_name, v from votes qualify row_number() over (partition by root_id, field_name order by vote desc, v) = 1)
+select root_id, max(v) filter (field_name = 'short_desc') as short_desc, max(v) filter (field_name = 'version') as version, max(v) filter (field_name = 'os') as os,
+  max(v) filter (field_name = 'bug_severity') as bug_severity from won group by root_id"""
