@@ -33,8 +33,10 @@ PASSAGE = 13
 SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Number of documents, and share of all, up to which such a seed counts.
 RARE, RARE_SHARE = 100, 0.01
-#: Seeds that must lie within two neighbouring bands of this many diagonals, and words of the document that they may span for each word of the item.
-LEAST_SEEDS, BAND = 4, 8
+#: Seeds that must lie within two neighbouring bands of this many diagonals, and by how many diagonals an alignment may leave these.
+LEAST_SEEDS, BAND, SLACK = 4, 8, 24
+#: Words of items, padding included, that are aligned at a time.
+ALIGNED = 100_000
 #: Words of all items that are broadcast at a time; further items are taken in further blocks.
 BLOCK_WORDS = 500_000
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
@@ -111,6 +113,38 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
     return best, best_end, longest, best_item
 
 
+def align_bands(docs: list[np.ndarray], items: list[np.ndarray], low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``align`` of many pairs at a time, each within ``2 * (BAND + SLACK)`` diagonals (place in the document less place in the item) from ``low - SLACK`` on: (scores, ends, longest runs).
+
+    Rows of the programme go along the diagonals, so a match comes from the same column of the row before, a skipped word of the item from the next one.
+    """
+    width, longest, n = 2 * (BAND + SLACK), max(len(i) for i in items), len(items)
+    item = np.full((n, longest), -2, np.int64)
+    doc = np.full((n, longest + width), -1, np.int64)
+    for k, (d, i) in enumerate(zip(docs, items)):
+        item[k, : len(i)] = i
+        begin = int(low[k]) - SLACK
+        have = d[max(begin, 0) : max(begin + len(i) + width, 0)]
+        doc[k, max(-begin, 0) : max(-begin, 0) + len(have)] = have
+    ramp = np.arange(width, dtype=np.int64) * -GAP
+    row, run = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
+    best, end, most = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    every = np.arange(n)
+    for i in range(longest):
+        equal = doc[:, i : i + width] == item[:, i : i + 1]
+        now = row + np.where(equal, MATCH, MISMATCH)
+        np.maximum(now[:, :-1], row[:, 1:] + GAP, out=now[:, :-1])
+        np.maximum(now, 0, out=now)
+        row = np.maximum.accumulate(now + ramp, axis=1) - ramp
+        run = np.where(equal, run + 1, 0)
+        at = row.argmax(axis=1)
+        better = row[every, at] > best
+        best = np.where(better, row[every, at], best)
+        end = np.where(better, low - SLACK + i + at, end)
+        most = np.maximum(most, run.max(axis=1))
+    return best, end, most
+
+
 def _frequencies(source: DataFrame, items: Items, shapes: tuple) -> DataFrame:
     """(gram, documents) of the items' n-grams, over all documents."""
     spark = source.sparkSession
@@ -166,34 +200,31 @@ class Sown:
         self.grams, self.start = np.unique(gram[rare][order], return_index=True)
         self.count = np.diff(np.append(self.start, len(order)))
 
-    def places(self, items: Items, coded: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Item -> stretches of the document in which enough seeds lie near one diagonal of it."""
+    def bands(self, items: Items, coded: np.ndarray) -> list[tuple[int, int]]:
+        """(item, first diagonal) of the pairs of bands in which enough seeds lie; of bands that follow each other every other one."""
         if not len(self.grams):
-            return {}
+            return []
         hits = [items.grams(coded, shape) for shape in SHAPES]
         at, grams = np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]).view(np.int64)
         slot = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         met = self.grams[slot] == grams
         at, slot = at[met], slot[met]
         if len(at) < LEAST_SEEDS:
-            return {}
+            return []
         times = self.count[slot]
         row = np.repeat(np.arange(len(at)), times)
         other = self.start[slot][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        item, place, at = self.item[other], self.place[other], at[row]
-        span = 2 * (len(coded) + max(len(c) for c in items.coded)) // BAND + 4
-        key = item * span + (at - place + max(len(c) for c in items.coded)) // BAND
-        bands, where, n = np.unique(key, return_inverse=True, return_counts=True)
-        # A band and the next one; the last diagonals of an item are followed by an empty band.
-        following = np.append((np.diff(bands) == 1) * n[1:], 0)
-        leading = np.insert((np.diff(bands) == 1) * n[:-1], 0, 0)
-        good = np.maximum(n + following, n + leading) >= LEAST_SEEDS
-        out: dict[int, list[tuple[int, int]]] = {}
-        low, high = np.full(len(bands), len(coded)), np.full(len(bands), -1)
-        np.minimum.at(low, where, at)
-        np.maximum.at(high, where, at)
-        for b in np.flatnonzero(good).tolist():
-            out.setdefault(int(bands[b] // span), []).append((int(low[b]), int(high[b])))
+        # Diagonals count from the longest item's last word at the document's first.
+        zero = max(len(c) for c in items.coded)
+        span = (len(coded) + zero) // BAND + 3
+        bands, n = np.unique(self.item[other] * span + (at[row] - self.place[other] + zero) // BAND, return_counts=True)
+        good = np.flatnonzero(n + np.append((np.diff(bands) == 1) * n[1:], 0) >= LEAST_SEEDS)
+        out: list[tuple[int, int]] = []
+        last = -9
+        for b in bands[good].tolist():
+            if b != last + 1:
+                out.append((b // span, b % span * BAND - zero))
+                last = b
         return out
 
 
@@ -209,46 +240,68 @@ def _block(source: DataFrame, block: list[tuple[int, list[str]]], seed: int, pas
     sent = spark.sparkContext.broadcast((items, keys, [seeds[g] for g in keys.tolist()], sown))
     names = ["doc_id", "item_id", "score", "longest_run", "doc_end"]
 
-    def stretches(held: Items, known: np.ndarray, owners: list[list[int]], more: Sown | None, coded: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        places: dict[int, list[tuple[int, int]]] = {}
-        if len(known):
-            at, grams = held.grams(coded)
-            grams = grams.view(np.int64)
-            slot = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            hit = known[slot] == grams
-            for p, s in zip(at[hit].tolist(), slot[hit].tolist()):
-                for k in owners[s]:
-                    places.setdefault(k, []).append((p, p))
-        if more is not None:
-            for k, found in more.places(held, coded).items():
-                places.setdefault(k, []).extend(found)
-        return places
+    def whole(held: Items, known: np.ndarray, owners: list[list[int]], coded: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, score, longest run, end) of the items whose seed of a whole passage the document holds."""
+        if not len(known):
+            return
+        at, grams = held.grams(coded)
+        grams = grams.view(np.int64)
+        slot = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        hit = known[slot] == grams
+        places: dict[int, list[int]] = {}
+        for p, s in zip(at[hit].tolist(), slot[hit].tolist()):
+            for k in owners[s]:
+                places.setdefault(k, []).append(p)
+        for k, ps in places.items():
+            item = held.coded[k]
+            reach = 2 * len(item)
+            best = (0, 0, 0)
+            start = stop = None
+            for p in [*ps, None]:
+                if start is not None and (p is None or p - reach > stop):
+                    lo, hi = max(0, start - reach), min(len(coded), stop + reach + held.seed)
+                    score, end, longest, _ = align(coded[lo:hi], item)
+                    best = (max(best[0], score), lo + end if score > best[0] else best[1], max(best[2], longest))
+                    start = None
+                if p is not None:
+                    start, stop = (p, p) if start is None else (start, p)
+            yield k, best[0], best[2], best[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known, owners, more = sent.value
-        out: list[tuple] = []
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        least = passage * MATCH
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        def banded(waiting: list[tuple[int, np.ndarray, int, int]]) -> list[tuple]:
+            waiting.sort(key=lambda w: len(held.coded[w[2]]))
+            low = np.array([w[3] for w in waiting], np.int64)
+            score, end, longest = align_bands([w[1] for w in waiting], [held.coded[w[2]] for w in waiting], low)
+            return [(waiting[k][0], int(held.ids[waiting[k][2]]), int(score[k]), int(longest[k]), int(end[k])) for k in np.flatnonzero(score >= least).tolist()]
+
         for b in batches:
+            out: list[tuple] = []
+            waiting: list[tuple[int, np.ndarray, int, int]] = []
+            load = 0
             for i in range(b.num_rows):
                 coded = held.code(b.column(1)[i].as_py())
                 if not (coded >= 0).any():
                     continue
-                for k, found in stretches(held, known, owners, more, coded).items():
-                    item = held.coded[k]
-                    reach = 2 * len(item)
-                    best = (0, 0, 0)
-                    start = stop = None
-                    for low, high in [*sorted(found), (None, None)]:
-                        if start is not None and (low is None or low - reach > stop):
-                            lo, hi = max(0, start - reach), min(len(coded), stop + reach + held.seed)
-                            score, end, longest, _ = align(coded[lo:hi], item)
-                            best = (max(best[0], score), lo + end if score > best[0] else best[1], max(best[2], longest))
-                            start = None
-                        if low is not None:
-                            start, stop = (low, high) if start is None else (start, max(stop, high))
-                    out.append((b.column(0)[i].as_py(), int(held.ids[k]), best[0], best[2], best[1]))
-        columns = list(zip(*out)) or [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                doc = b.column(0)[i].as_py()
+                out.extend((doc, int(held.ids[k]), *found) for k, *found in whole(held, known, owners, coded) if found[0] >= least)
+                if more is not None:
+                    for k, low in more.bands(held, coded):
+                        waiting.append((doc, coded, k, low))
+                        load = max(load, len(held.coded[k]))
+                        if load * len(waiting) >= ALIGNED:
+                            out.extend(banded(waiting))
+                            waiting, load = [], 0
+            if waiting:
+                out.extend(banded(waiting))
+            if out:
+                yield batch(out)
 
     return source.mapInArrow(run, "doc_id long, item_id long, score long, longest_run long, doc_end long")
 

@@ -159,6 +159,26 @@ def test_alignment():
     assert leakage.align(np.full(3, -1), item)[0] == 0
 
 
+def test_alignment_in_bands_is_the_plain_one():
+    rng = random.Random(9)
+    docs_, items_, low = [], [], []
+    for _ in range(60):
+        item = np.array([rng.randrange(9) for _ in range(rng.randint(1, 30))])
+        doc = np.array([rng.randrange(-1, 9) for _ in range(rng.randint(1, 40))])
+        docs_.append(doc)
+        items_.append(item)
+        low.append(rng.randint(-25, 5))
+    score, end, longest = leakage.align_bands(docs_, items_, np.array(low))
+    for k, (doc, item) in enumerate(zip(docs_, items_)):
+        first, last = low[k] - leakage.SLACK, low[k] + 2 * leakage.BAND + leakage.SLACK
+        # All cells lie in the band if even the corners do.
+        if first <= -len(item) and len(doc) < last:
+            want = leakage.align(doc, item)
+            assert (score[k], longest[k]) == (want[0], want[2])
+            assert not score[k] or 0 <= end[k] < len(doc)
+        assert score[k] <= leakage.align(doc, item)[0]
+
+
 def plain_alignment(doc, item):
     h = [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
     best = 0
