@@ -618,3 +618,7 @@ scored as (select query_id, cand_id, case when s is null then -999999999.99 when
 _RUNS = "|".join(f"[{chr(92) if m in '[]^' + chr(92) else ''}{m}]+".replace("'", "''") for m in _ALL_MARKS)
 _LOW = r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]"
 SQL["text_camel"] = _text(rf"regexp_extract_all(regexp_replace(text, '(\p{{Lu}})(\p{{Lu}}{_LOW})', '\1' || chr(10) || '\2', 'g'), '\p{{N}}+|\p{{Lu}}?{_LOW}+|\p{{Lu}}+|{_RUNS}|[^\p{{L}}\p{{N}}\s\x0B]')")
+_W = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}"
+_SP = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_PARTED = r"regexp_replace(regexp_replace(text, '(?i)\b(\w+)(n''t)\b', '\1 \2', 'g'), '(?i)(\w)(''(?:s|m|d|ll|re|ve))\b', '\1 \2', 'g')"
+SQL["text_words"] = _text(rf"regexp_extract_all({_PARTED}, 'n''t|''(?:s|m|d|ll|re|ve)\b|\p{{Nd}}+(?:[.,:]\p{{Nd}}+)*|[{_W}]+(?:-[{_W}]+)*|\.\.\.|--|[^{_W}{_SP}]')")
