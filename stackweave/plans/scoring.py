@@ -169,6 +169,8 @@ def score_at_queries(asked: DataFrame, stacks: DataFrame, canonical: DataFrame,
     coded = s.method != "merge"
     order = _order_of(stacks, canonical, queries, s)
     spark = stacks.sparkSession
+    if order.blocks > 1:
+        asked = materialize(asked, "candidates")
     done: list[DataFrame] = []
     for block in range(order.blocks):
         before = order.events.where(F.col("block") < block).groupBy("token").agg(F.count("*").alias("n"))
@@ -228,7 +230,7 @@ class Evaluation:
 def _asked_of(canonical: DataFrame, queries: DataFrame, s: Settings) -> DataFrame:
     every = queries.select("bug_id").where("bug_id is not null").distinct()
     wanted = cand.evaluated(every, canonical)
-    return materialize(cand.candidates(cand.universe(canonical, every), wanted, s.window_days), "candidates")
+    return cand.candidates(cand.universe(canonical, every), wanted, s.window_days)
 
 
 def _measured(scored: DataFrame, canonical: DataFrame) -> Evaluation:
@@ -245,6 +247,9 @@ def evaluate(canonical: DataFrame, flat: DataFrame, queries: DataFrame, s: Setti
     Methods that weigh or trim tokens see the frequencies as they stood at each query (``score_at_queries``); bags of words are static.
     """
     asked = _asked_of(canonical, queries, s)
+    if s.method == "bag" or s.aggregate != "max":
+        # Read more than once.
+        asked = materialize(asked, "candidates")
     if s.method == "bag":
         stacks = encoded(flat, s)
         return _measured(score_bags(asked, stacks, stacks.select("bug_id").distinct().agg(F.count("*")).scalar(), s.n_gram), canonical)
@@ -263,7 +268,7 @@ def evaluate_two_stage(canonical: DataFrame, flat: DataFrame, queries: DataFrame
 
     ``text_scores`` holds ``query_id, cand_id, score``, of which candidates of the window count; all other candidates have the score of unranked ones.
     """
-    asked = _asked_of(canonical, queries, s)
+    asked = materialize(_asked_of(canonical, queries, s), "candidates")
     known = text_scores.join(asked, ["query_id", "cand_id"], "left_semi")
     first = materialize(ranking.top(known, s.n_top).select("query_id", "cand_id", F.col("score").alias("text")), "first-stage")
     exact = _scored(first, flat, canonical, queries, replace(s, method="positional")).withColumnRenamed("score", "positional")
