@@ -75,7 +75,8 @@ def agglomerate(
 
     ``left`` and ``right`` tell that more runs may precede the first and follow the last. Runs whose merging depends on those come
     out open: a merge is made only if it is no worse than any that an unknown neighbour could make before it. Two runs
-    merge if they are alike by ``least`` and the second begins at most ``gap`` after the end of the first.
+    merge if they are alike by ``least`` and the second begins at most ``gap`` after the end of the first. Runs of likeness 1 merge
+    whether open or not: that changes no words, and no neighbour can come before it and undo it.
     """
     n = len(first)
     split = _whole if least >= 1 else words_of
@@ -102,10 +103,10 @@ def agglomerate(
     for i in range(n):
         offer(i)
     while queue:
-        _, _, i, j, vi, vj = heapq.heappop(queue)
+        unlike, _, i, j, vi, vj = heapq.heappop(queue)
         if not (alive[i] and alive[j]) or version[i] != vi or version[j] != vj:
             continue
-        if is_open[i] or is_open[j]:
+        if unlike > -1 and (is_open[i] or is_open[j]):
             is_open[i] = is_open[j] = True
             tied.add(j)
             continue
@@ -115,7 +116,7 @@ def agglomerate(
             merged[t] = (k + have[0], have[1]) if have else (k, f)
         names[i], last[i], after[i] = merged, last[j], after[j]
         common[i], every[i] = common[i] & common[j], every[i] | every[j]
-        alive[j] = False
+        alive[j], is_open[i] = False, is_open[i] or is_open[j]
         if after[j] >= 0:
             before[after[j]] = i
         version[i] += 1
@@ -140,45 +141,36 @@ def _collapser(least: float, gap: int, shortest: int, block: int) -> Callable[[I
         copy[1:] &= position[1:] == position[:-1]
         if copy.any():
             entity, part, position, code, same = (x[~copy] for x in (entity, part, position, code, same))
-        # Equal neighbours are as alike as can be and their merging changes no words, so they are made one before the queue.
-        near = same.copy()
-        near[1:] &= position[1:] - position[:-1] <= gap
-        equal = near.copy()
-        equal[1:] &= code[1:] == code[:-1]
-        at = np.flatnonzero(~equal)
-        end = np.append(at[1:], len(entity)) - 1
-        first, last, n, code = position[at], position[end], end - at + 1, code[at]
-        place = (position + BEFORE) % block
-        final = np.append(~same[1:], True)
-        starts = ~same[at] & (place[at] < gap)
-        ends = final[end] & (place[end] >= block - gap)
-        linked = near[at]
+        # Each event is a run of its own to the queue. A border of two events less alike than least never enters it, so sequences are cut there.
+        linked = same.copy()
+        linked[1:] &= position[1:] - position[:-1] <= gap
         if least >= 1:
-            linked[:] = False
+            linked[1:] &= code[1:] == code[:-1]
         elif linked.any():
             where = np.flatnonzero(linked)
             pairs, back = np.unique(np.stack([code[where - 1], code[where]]), axis=1, return_inverse=True)
             alike = np.array([likeness(terms[int(a)].as_py(), terms[int(b)].as_py()) >= least for a, b in pairs.T], bool)
             linked[where] = alike[back.reshape(-1)]
-        entity, part = entity[at], part[at]
-        alone = ~linked & ~np.append(linked[1:], False)
-        plain = np.flatnonzero(alone & ~starts & ~ends & (n >= shortest))
-        if len(plain):
+        place = (position + BEFORE) % block
+        starts = ~same & (place < gap)
+        ends = np.append(~same[1:], True) & (place >= block - gap)
+        heads = np.flatnonzero(~linked)
+        tails = np.append(heads[1:], len(entity))
+        alone = (tails - heads == 1) & ~starts[heads] & ~ends[tails - 1]
+        plain = heads[alone]
+        if shortest <= 1 and len(plain):
             no = pa.array(np.zeros(len(plain), bool))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(entity[plain]), pa.array(part[plain]), terms.take(pa.array(code[plain])), pa.array(first[plain]), pa.array(last[plain]), pa.array(n[plain]),
-                    no, no, no, no, pa.nulls(len(plain), _NAMES),
+                    pa.array(entity[plain]), pa.array(part[plain]), terms.take(pa.array(code[plain])), pa.array(position[plain]), pa.array(position[plain]),
+                    pa.array(np.ones(len(plain), np.int64)), no, no, no, no, pa.nulls(len(plain), _NAMES),
                 ], names=_COLUMNS,
             )
-        heads = np.flatnonzero(~linked)
-        tails = np.append(heads[1:], len(at))
-        out = []
-        for s, e in zip(heads.tolist(), tails.tolist()):
-            if e - s == 1 and not (starts[s] or ends[s]):
-                continue
-            given = [{terms[int(c)].as_py(): (int(k), int(f))} for c, k, f in zip(code[s:e], n[s:e], first[s:e])]
-            rows = agglomerate(given, first[s:e].tolist(), last[s:e].tolist(), least, gap, bool(starts[s]), bool(ends[e - 1]))
+        out, spelled = [], terms.to_pylist()
+        for s, e in zip(heads[~alone].tolist(), tails[~alone].tolist()):
+            at = position[s:e].tolist()
+            given = [{spelled[c]: (1, f)} for c, f in zip(code[s:e].tolist(), at)]
+            rows = agglomerate(given, at, at, least, gap, bool(starts[s]), bool(ends[e - 1]))
             for k, (names, f, l, is_open, tie) in enumerate(rows):
                 total = sum(c for c, _ in names.values())
                 if is_open or total >= shortest:

@@ -188,6 +188,18 @@ def test_near_runs_in_blocks_equal_one_queue(block, least):
         assert len(got) == len(set(got)) and set(got) == near_brute(rows, least, gap), (seed, block, least)
 
 
+@pytest.mark.parametrize("least", [0.5, 1.0])
+def test_the_queue_merges_equal_events(least, monkeypatch):
+    """Every event of a run is one of the queue's, equal ones too; a stretch of equal events leaves one open run in a block."""
+    seen, queue = [], runs.agglomerate
+    monkeypatch.setattr(runs, "agglomerate", lambda names, *a: seen.append([dict(m) for m in names]) or queue(names, *a))
+    rows = [(1, 0, d, "x") for d in range(3)] + [(1, 0, 3, "y"), (1, 0, 5, "y")]
+    assert in_blocks(rows, least, 1, 4096) == [(1, 0, "x", 0, 2, 3)]
+    assert seen == [[{"x": (1, 0)}, {"x": (1, 1)}, {"x": (1, 2)}]]
+    at = list(range(500))
+    assert queue([{"x": (1, d)} for d in at], at, at, least, 1, left=True, right=True) == [({"x": (500, 0)}, 0, 499, True, False)]
+
+
 def test_few_runs_stay_open():
     """What a block leaves to the second queue does not grow with the block, even where all neighbours are equally alike."""
     for terms in (["a_b", "b_c"], ["a", "a_b", "b", "b_c", "c"]):
