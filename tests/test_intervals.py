@@ -30,7 +30,7 @@ def test_pairs_of_intervals_are_the_candidates(spark, window, block, monkeypatch
     assert intervals.pairs_of(*none).count() == 0
 
 
-@pytest.mark.parametrize("name", ["cands_all"])
+@pytest.mark.parametrize("name", ["cands_all", "cands_window"])
 def test_pairs_are_not_shuffled(spark, name):
     """What is shuffled after the pairs are made, or joined without a key, grows as the pairs do."""
     import __spark_entry__ as e
