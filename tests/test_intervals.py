@@ -36,5 +36,38 @@ def test_pairs_are_not_shuffled(spark, name):
     import __spark_entry__ as e
 
     plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    above, _, below = plan.partition("Generate")
-    assert "Exchange" not in above and "CartesianProduct" not in plan and "NestedLoop" not in plan and "Exchange hashpartitioning" not in below.partition("Generate")[0]
+    above, made, below = plan.partition("Generate")
+    assert made and "Exchange" not in above and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    # The one exchange below gathers the queries' ids, the other side is read as it was written.
+    assert "BroadcastHashJoin" in below and below.count("Exchange hashpartitioning") == 1
+
+
+def stacks_of(spark, ids, seed, letters="aaabbcdefg"):
+    """One to three stacks of most reports, many with a common beginning, some tokens unknown."""
+    rng = random.Random(seed)
+    rows = [(b, s, d, rng.choice([*letters, None])) for b in ids if rng.random() < 0.8 for s in range(rng.randint(1, 3)) for d in range(rng.randint(1, 6))]
+    return spark.createDataFrame(rows, "bug_id long, stack_no int, depth int, function string")
+
+
+@pytest.mark.parametrize("n,chunks", [(1, 1), (5, 3), (40, 5)])
+def test_first_of_lists_are_those_of_all_pairs(spark, n, chunks, monkeypatch):
+    from stackweave.functions import kernels
+    from stackweave.operators import pairs, ranking
+    from stackweave.plans import scoring, sweep
+
+    monkeypatch.setattr(sweep, "chunks_of", lambda rows: chunks)
+    reports_, ids = timeline(spark, 3)
+    stacks = scoring.encoded(stacks_of(spark, ids, 4), scoring.Settings())
+    queries = spark.createDataFrame([(i,) for i in ids[::2]], "bug_id long")
+    every = pairs.best_of_pairs(cand.candidates(reports_, queries, 90), stacks, kernels.common_prefix)
+    want = sorted(map(tuple, ranking.top(every, n).select("query_id", "cand_id", "score", "rec_rank").collect()))
+    got = ranking.top(sweep.first_by_prefix(*intervals.intervals(reports_, queries, 90), stacks, n), n)
+    assert sorted(map(tuple, got.select("query_id", "cand_id", "score", "rec_rank").collect())) == want and len(want) > 20
+
+
+@pytest.mark.parametrize("name", ["rank_top5"])
+def test_lists_make_no_pairs(spark, name, monkeypatch):
+    import __spark_entry__ as e
+
+    monkeypatch.setattr(cand, "candidates", lambda *_: pytest.fail("all pairs of queries and candidates are made"))
+    e.queries()[name](spark, "/root/testdata/sf0.001").count()
