@@ -65,7 +65,7 @@ def test_first_of_lists_are_those_of_all_pairs(spark, n, chunks, monkeypatch):
     assert sorted(map(tuple, got.select("query_id", "cand_id", "score", "rec_rank").collect())) == want and len(want) > 20
 
 
-@pytest.mark.parametrize("name", ["rank_top5"])
+@pytest.mark.parametrize("name", ["rank_top5", "rank_reuse"])
 def test_lists_make_no_pairs(spark, name, monkeypatch):
     import __spark_entry__ as e
 
