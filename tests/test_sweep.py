@@ -39,7 +39,7 @@ def test_positions_are_those_of_whole_lists(spark, crashes, given, large, block,
         assert {tuple(r) for r in scoring.positions(*crashes, s, by_bucket=False).collect()} == ranks
 
 
-@pytest.mark.parametrize("name", ["eval_edit", "eval_linear", "metric_positions", "eval_prefix", "eval_alignment", "eval_positional", "eval_weighted"])
+@pytest.mark.parametrize("name", ["eval_edit", "eval_linear", "metric_positions", "eval_prefix", "eval_alignment", "eval_positional", "eval_weighted", "metric_positions_plain"])
 def test_positions_make_no_lists(spark, name, monkeypatch):
     import __spark_entry__ as e
 
