@@ -45,3 +45,17 @@ def test_positions_make_no_lists(spark, name, monkeypatch):
 
     monkeypatch.setattr(cand, "candidates", lambda *_: pytest.fail("all pairs of queries and candidates are made"))
     assert e.queries()[name](spark, "/root/testdata/sf0.001").where(F.lit(True)).count() >= 1
+
+
+def test_rest_of_lists_is_that_of_repaired_ones(spark, crashes, monkeypatch):
+    from stackweave.operators import intervals, pairs
+
+    monkeypatch.setattr(sweep, "chunks_of", lambda rows: 4)
+    monkeypatch.setattr(sweep, "LISTED", 8)
+    reports_, flat, queries = crashes
+    asked, found = intervals.intervals(reports_, queries, 90)
+    first = ranking.top(sweep.first_by_prefix(asked, found, scoring.encoded(flat, scoring.Settings()), 3), 3).where("query_id % 5 > 0").localCheckpoint()
+    want = ranking.repair(first, cand.candidates(reports_, queries, 90)).where(F.col("score") == pairs.NOT_RANKED)
+    got = sweep.rest_of_lists(asked, found, first)
+    columns = ["query_id", "cand_id", "rec_rank"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect())) and got.count() > 100
